@@ -167,3 +167,23 @@ def p6(where=TABLES):
 
 def p7(where=TABLES, limit=4096):
     return {(r["project_id"], r["chunk_id"]) for r in rows("source_chunks", where) if r["text"] and len(r["text"].strip(JS_SPACE).encode()) > limit}
+
+
+def p5(where=TABLES, k=5):
+    import numpy as np
+
+    groups = defaultdict(dict)
+    for r in rows("vec_source_chunks", where):
+        e = r["embedding"]
+        if e is not None and len(e) == 64 and None not in e and np.isfinite(e).all() and any(e):
+            groups[r["project_id"]][r["chunk_id"]] = np.array(e, dtype=np.float64)
+    out = set()
+    for p, vs in groups.items():
+        ids = np.array(sorted(vs))
+        x = np.array([vs[i] / np.linalg.norm(vs[i]) for i in ids])
+        for n, i in enumerate(ids):
+            s = np.round(x @ x[n], 9)
+            s[n] = -9
+            for o in np.argsort(-s, kind="stable")[: min(k, len(ids) - 1)]:
+                out.add((p, *sorted((i, ids[o]))))
+    return {(p, str(a), str(b)) for p, a, b in out}
