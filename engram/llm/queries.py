@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from engram.llm.conversations import conversations
+from engram.llm.mixing import mix, shares
+from engram.llm.packing import fill_report, pack
+from engram.llm.splitting import split_texts
+from engram.llm.tokens import with_tokens
 from engram.llm.vectors import nearest, neighbour_pairs
-from engram.session import read_table
+from engram.session import cut, read_table
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,4 +22,49 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbour_pairs(nearest(read_table(spark, sf_dir, "vec_source_chunks"), dim=64, k=5))
 
 
-QUERIES = {"p3_found": p3_found, "p5_found": p5_found}
+def p7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every version of every chunk."""
+    versions = read_table(spark, sf_dir, "source_chunks").select("project_id", "chunk_id", "updated_at", "text", "line_start").distinct()
+    return split_texts(versions, ["project_id", "chunk_id", "updated_at"])
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = read_table(spark, sf_dir, "source_chunks")
+    return split_texts(chunks, ["project_id", "chunk_id"]).where("n_pieces > 1").select("project_id", "chunk_id").distinct()
+
+
+def _sizes(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    return with_tokens(read_table(spark, sf_dir, "documents").select("doc_id", "text", *more))
+
+
+def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_sizes(spark, sf_dir), id_col="doc_id", size_col="n_tokens")
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_report(p8_pack(spark, sf_dir))
+
+
+def _mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text", F.unhex(F.md5("text")).alias("same"))
+    return mix(with_tokens(documents), read_table(spark, sf_dir, "mix_targets"), id_col="doc_id", size_col="n_tokens", identity_col="same")
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir)
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shares(cut(_mixture(spark, sf_dir)), read_table(spark, sf_dir, "mix_targets"))
+
+
+QUERIES = {
+    "p3_found": p3_found,
+    "p5_found": p5_found,
+    "p7_found": p7_found,
+    "p7_pieces": p7_pieces,
+    "p8_pack": p8_pack,
+    "p8_fill": p8_fill,
+    "p9_mix": p9_mix,
+    "p9_shares": p9_shares,
+}
