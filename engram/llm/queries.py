@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from engram.llm.conversations import conversations
 from engram.llm.mixing import mix, shares
 from engram.llm.packing import fill_report, pack
+from engram.llm.sentences import sentences
 from engram.llm.splitting import split_texts
 from engram.llm.tokens import with_tokens
 from engram.llm.vectors import nearest, neighbour_pairs
@@ -58,6 +59,10 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shares(cut(_mixture(spark, sf_dir)), read_table(spark, sf_dir, "mix_targets"))
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences(read_table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "end_pos")
+
+
 QUERIES = {
     "p3_found": p3_found,
     "p5_found": p5_found,
@@ -67,4 +72,5 @@ QUERIES = {
     "p8_fill": p8_fill,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
+    "p10_found": p10_found,
 }

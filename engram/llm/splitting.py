@@ -30,7 +30,7 @@ IMBALANCE = 4.0
 # Kinds of boundary with their penalties, strongest first; a cut lies behind the match.
 BOUNDARIES = (
     (0.0, re.compile(r"\n[ \t\r]*\n\s*")),
-    (1.0, re.compile(r"\r?\n|\r| | ")),
+    (1.0, re.compile("\r?\n|\r|\u2028|\u2029")),
     (2.0, re.compile(r"[.!?…؟۔।][\"'»”’)\]]*\s+|[。！？．｡][」』”’）]*")),
     (4.0, re.compile(r"[,;:،؛]\s+|[，、；：]")),
     (6.0, re.compile(r"\s+")),
