@@ -87,11 +87,11 @@ class Maker:
         if r.random() < 0.1:
             last = r.choice(["de ", "van der ", "von ", "Ní ", "van ", "di "]) + last
         form = r.random()
-        if form < 0.1:
+        if form < 0.16:
             text = f"{first[0]}. {last}"
-        elif form < 0.2:
+        elif form < 0.26:
             text = f"{first} {r.choice('ABCDEHJM')}. {last}"
-        elif form < 0.32:
+        elif form < 0.38:
             text = f"{last}, {first}"
         else:
             text = f"{first} {last}"

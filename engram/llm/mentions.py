@@ -49,14 +49,14 @@ NOT_NAME = frozenset(
     "branch service note release codename dashboard each every old new any all some there here once now then still only ask call ring "
     "mail see set run use host build row value tel phone owner signed cc assigned according please thank met laut gracias".split()
 )
-TITLE = r"(?:Dr|Prof|Mr|Mrs|Ms|Miss|Mx|Sir|Herr|Frau|Sr|Sra|Srta|Don|Doña|M|Mme|Mlle|Dott|Ing|Rev|Hon|г-н|г-жа|д-р)\.?"
+TITLE = r"(?:Dr|Prof|Mr|Mrs|Ms|Miss|Mx|Sir|Herr|Frau|Sr|Sra|Srta|Don|Doña|Mme|Mlle|Dott|Ing|Rev|Hon|г-н|г-жа|д-р)\.?"
 PARTICLE = "van|von|der|den|de|da|di|du|del|della|la|le|ten|ter|zu|zur|al|el|bin|ibn|ben|ní|nic|mac|af|dos|das|do|y|e|ter"
 HONORIFIC = "さん|さま|様|氏|くん|君|ちゃん|先生|殿|씨|님|女士"
 BEFORE_NAME = (
     r"assigned to|according to|thanks? to|thank|met with|meet with|talk to|talked to|spoke with|spoke to|ask|asked|signed,?|regards,|owner:|author:|"
     r"assignee:|reviewer:|reviewed by|approved by|written by|reported by|filed by|fixed by|signed[- ]off[- ]by:?|contact:|attn:?|cc:?|bcc:?|dear|hi|hello|"
-    r"hola|gracias a|según|laut|danke an|gemäß|selon|merci à|d'après|von|gesprochen mit|escribe a|спасибо|согласно|по словам|name:|nombre:|nom:|"
-    r"invite|invited|pinged|ping|by|from|with|for"
+    r"hola|gracias a|según|laut|danke an|gemäß|selon|merci à|d'après|gesprochen mit|escribe a|спасибо|согласно|по словам|name:|nombre:|nom:|"
+    r"invited|pinged|ping"
 )
 AFTER_NAME = (
     r"reviewed|approved|wrote|said|says|asked|merged|fixed|reported|confirmed|noticed|signed|filed|left|joined|lives|called|told|thinks|works|will|has|is|was|"
@@ -95,6 +95,50 @@ PARTICLE_ONLY = re.compile(rf"(?i)(?:{PARTICLE})$")
 INITIAL = re.compile(r"[^\W\d_]\.$")
 
 
+# Parts of which a text has at least one where the pattern beside it can match; looked up in lower case before it is run.
+HINTS = {
+    "name_left": tuple(
+        "assigned to |according to |thank |thanks to|met with |meet with |talk to |talked to |spoke with |spoke to |ask |asked |signed|regards|owner: |author: |assignee: |"
+        "reviewer: |reviewed by|approved by|written by|reported by|filed by|fixed by|-off-by|off by|contact: |attn|cc |cc: |dear | hi |hello |hola |gracias a |según |laut |"
+        "danke an |gemäß |selon |merci à |d'après |gesprochen mit |escribe a |спасибо |согласно |по словам |name: |nombre: |nom: |invited |pinged |ping ".split("|")
+    ),
+    "name_title": tuple(
+        "dr. |dr |prof. |prof |mr. |mr |mrs|ms. |ms |miss |mx. |mx |sir |herr |frau |sr. |sr |sra|srta|don |doña |mme|mlle|dott|ing. |rev. |hon. |г-н |г-жа |д-р".split("|")
+    ),
+    "name_right": tuple(f" {w}" for w in "reviewed approved wrote said merged fixed reported confirmed noticed schrieb dijo escribió написал".split()),
+    "honorific": tuple(HONORIFIC.split("|")),
+    "id": ("ssn", "s.s.n", "soc", "insurance n", "national ", "ni n", "nino", "passport", "passnummer", "reisepass", "pasaporte", "passeport", "ausweis", "dni", "nie", "nif", "documento", "tax id", "steuer", "id n", "id c", "identity ", "licen", "паспорт", "снилс", "инн"),
+    "number_first": tuple(f" {w.lower()}{end}" for w in STREET_EN.split("|") for end in (" ", ".", ",", "\n", ";", ")")),
+    "french": tuple(f" {w} " for w in STREET_FR.split("|")),
+    "german": tuple(f"{w} " for w in STREET_DE.replace("\\", "").split("|")),
+    "spanish": ("calle ", "c/ ", "avenida ", "avda", "plaza ", "paseo ", "camino ", "carrera ", "ronda ", "via ", "viale ", "piazza ", "corso ", "rua ", "travessa ", "ulica ", "ul. ", "улица ", "ул. ", "проспект ", "пр. "),
+}
+PHONE_HINT = re.compile(r"\d[\d ()./-]{4,}\d")
+
+
+@lru_cache(maxsize=1)
+def _hint_automaton():
+    """All hints in one automaton, so that a text is looked through once."""
+    import ahocorasick
+
+    kinds: dict[str, set[str]] = {}
+    for what, parts in HINTS.items():
+        for part in parts:
+            kinds.setdefault(part, set()).add(what)
+    automaton = ahocorasick.Automaton()
+    for part, whats in kinds.items():
+        automaton.add_word(part, frozenset(whats))
+    automaton.make_automaton()
+    return automaton
+
+
+def _hints(low: str) -> set[str]:
+    out: set[str] = set()
+    for _, whats in _hint_automaton().iter(low):
+        out |= whats
+    return out
+
+
 def plain(text: str) -> str:
     return text if text.isascii() else text.translate(PLAIN)
 
@@ -109,15 +153,16 @@ def _word_before(text: str, at: int) -> str:
     return text[start:end].lower()
 
 
-def _email_candidates(text: str):
+def _email_candidates(text: str, low: str, hints: set[str]):
     if "@" in text:
         for m in EMAIL.finditer(text):
             start = m.start()
             local, domain = m[0].rsplit("@", 1)
             yield start, m.end(), "email", _email_features(text, start, m.end(), local, domain.split("."), "plain")
-    low = text if "at" in text or "@" in text else text.lower()
-    if " at " in low or "at]" in low or "at)" in low or "@" in low or "AT" in low:
-        for m in HIDDEN_EMAIL.finditer(text):
+    if (" at " in low and "dot" in low) or "at]" in low or "(at" in low or "[at" in low or "at)" in low or "@" in low and "dot" in low:
+        at = 0
+        while m := HIDDEN_EMAIL.search(text, at):  # matches may overlap: a word before may look like a local part
+            at = m.end(1)
             if "@" == m[2] and "dot" not in m[3].lower():
                 continue
             parts = HIDDEN_DOT.split(m[3])
@@ -148,14 +193,16 @@ def _email_features(text, start, end, local, parts, form):
     if _word_before(text, start) in MAIL_WORDS:
         out.append("email:cue")
     following = HIDDEN_DOT.match(text, end)
-    if following and following[0].strip() not in (".", "") and form != "plain":
+    if following and form != "plain" and text[following.end() : following.end() + 1].isalnum():
         out.append("email:cut_short")
     if start and text[start - 1] in "/@":
         out.append("email:in_path")
     return out
 
 
-def _phone_candidates(text: str):
+def _phone_candidates(text: str, low: str, hints: set[str]):
+    if not PHONE_HINT.search(text):
+        return
     for m in PHONE.finditer(text):
         digits = sum(c.isdigit() for c in m[0])
         if not 7 <= digits <= 15 or m.end() - m.start() > 32:
@@ -213,9 +260,9 @@ def _id_class(s: str) -> str:
     return "other"
 
 
-def _id_candidates(text: str):
+def _id_candidates(text: str, low: str, hints: set[str]):
     seen = set()
-    for m in ID_AFTER.finditer(text):
+    for m in ID_AFTER.finditer(text) if "id" in hints else ():
         s = m[1]
         cuts = [len(s)] + [x.start() for x in re.finditer(r"[ -]", s)]
         for cut in cuts:
@@ -225,7 +272,7 @@ def _id_candidates(text: str):
             span = (m.start(1), m.start(1) + cut)
             seen.add(span)
             yield *span, "id_number", _id_features(text, *span, True)
-    for m in ID_SHAPE.finditer(text):
+    for m in ID_SHAPE.finditer(text) if PHONE_HINT.search(text) else ():
         if m.span() not in seen:
             yield m.start(), m.end(), "id_number", _id_features(text, m.start(), m.end(), False)
 
@@ -244,8 +291,10 @@ def _id_features(text, start, end, cue):
     return out
 
 
-def _address_candidates(text: str):
+def _address_candidates(text: str, low: str, hints: set[str]):
     for form, pattern in ADDRESS:
+        if form not in hints:
+            continue
         for m in pattern.finditer(text):
             start, end = m.span()
             if end - start > MAX_SEGMENT:
@@ -310,7 +359,7 @@ def _name_features(text: str, tokens: list[tuple[int, int]], left: str, title: b
     between = text[start:end]
     if "," in between:
         out.append("name:comma")
-        if between.count(",") == 1 and len(core) == 2 and words[0] in core and text[tokens[0][1]] == ",":
+        if between.count(",") == 1 and len(core) == 2 and between.split(",")[0].endswith(core[0]):
             out.append("name:reversed")
     if any(w.endswith(".") and not INITIAL.match(w) for w in words):
         out.append("name:dot_inside" if n > 1 and any(w.endswith(".") and not INITIAL.match(w) for w in words[:-1]) else "name:dot_at_end")
@@ -347,7 +396,7 @@ def _name_tokens(text: str, at: int) -> list[tuple[int, int]]:
         if m[0].endswith(".") and not INITIAL.match(m[0]):
             end -= 1
         out.append((m.start(), end))
-        if text.startswith(", ", end) and len(out) == 1:
+        if text.startswith(", ", end) and all(PARTICLE_ONLY.match(text[a:b]) for a, b in out[:-1]) and not PARTICLE_ONLY.match(m[0]):
             at = end + 2
         elif end < len(text) and text[end] == " ":
             at = end + 1
@@ -356,18 +405,19 @@ def _name_tokens(text: str, at: int) -> list[tuple[int, int]]:
     return out
 
 
-def _name_candidates(text: str):
+def _name_candidates(text: str, low: str, hints: set[str]):
     seen = set()
-    for pattern, left in ((NAME_LEFT, "cue"), (NAME_TITLE, "none")):
+    for pattern, left, hint in ((NAME_LEFT, "cue", "name_left"), (NAME_TITLE, "none", "name_title")):
+        if hint not in hints:
+            continue
         for m in pattern.finditer(text):
             at, titled = m.end(), left == "none"
             title = TITLE_AT.match(text, at)
             if title and left == "cue":
                 at, titled = title.end(), True
             label = left
-            if left == "cue":
-                word = m[0].strip().lower().rstrip(":,")
-                label = "weak" if word in ("by", "from", "with", "for", "ask", "asked", "hi", "hello", "von", "invite", "invited") else "cue"
+            if left == "cue" and m[0].strip().lower() in ("ask", "asked", "hi", "hello", "invited", "ping", "pinged"):
+                label = "weak"
             tokens = _name_tokens(text, at)
             for n in range(1, len(tokens) + 1):
                 key = (tokens[0][0], tokens[n - 1][1])
@@ -375,7 +425,7 @@ def _name_candidates(text: str):
                     continue
                 seen.add(key)
                 yield *key, "name", _name_features(text, tokens[:n], label, titled)
-    for m in NAME_RIGHT.finditer(text):
+    for m in NAME_RIGHT.finditer(text) if "name_right" in hints else ():
         line = max(text.rfind("\n", 0, m.start()) + 1, m.start() - MAX_SEGMENT)
         found = [(x.start(), x.end() - (x[0].endswith(".") and not INITIAL.match(x[0]))) for x in TOKEN.finditer(text, line, m.start())][-MAX_NAME:]
         for n in range(len(found)):
@@ -384,14 +434,14 @@ def _name_candidates(text: str):
             if tokens[-1][1] != m.start() or any(g not in (" ", ", ") for g in gaps):
                 continue
             key = (tokens[0][0], tokens[-1][1])
-            if key in seen:
+            if key in seen or key[0] > line and not (text[key[0] - 1].isspace() or text[key[0] - 1] in "([\"'“«„"):
                 continue
             seen.add(key)
             before = text[max(0, key[0] - 8) : key[0]]
             titled = re.search(rf"{TITLE}[ ]$", before) is not None
             left = "start" if not before.strip() or before.rstrip(" ")[-1:] in ".!?。！？\n:।؟\"”»" or "\n" in before[-1:] else "word"
             yield *key, "name", _name_features(text, tokens, left, titled)
-    for m in NAME_HONORIFIC.finditer(text):
+    for m in NAME_HONORIFIC.finditer(text) if "honorific" in hints else ():
         whole = [(m.start(1), m.end(1))]
         parts = [(x.start(), x.end()) for x in re.finditer(r"[^ ・]+", text[: m.end(1)]) if x.start() >= m.start(1)]
         for tokens in (parts or whole, (parts or whole)[-1:]):
@@ -401,9 +451,10 @@ def _name_candidates(text: str):
 
 def candidates(text: str) -> list[tuple[int, int, str, list[str]]]:
     """All candidate segments of ``plain`` text: start, end, kind, features; by end."""
-    out = []
+    out, low = [], text.lower() + "\n"
+    hints = _hints(low)
     for source in (_email_candidates, _phone_candidates, _id_candidates, _address_candidates, _name_candidates):
-        out += source(text)
+        out += source(text, low, hints)
     return sorted(out, key=lambda c: (c[1], c[0], c[2]))
 
 

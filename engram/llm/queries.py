@@ -6,15 +6,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engram.llm.conversations import conversations
+from engram.llm.mentions import mentions, redacted
 from engram.llm.mixing import mix, shares
 from engram.llm.packing import fill_report, pack
 from engram.llm.sentences import sentences
 from engram.llm.splitting import split_texts
 from engram.llm.tokens import with_tokens
 from engram.llm.vectors import nearest, neighbour_pairs
+from engram.functions.text import message_text
 from engram.session import cut, read_table
 
 
+def _free_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """origin, key_a, key_b, text of all chunk versions and all messages."""
+    chunks = read_table(spark, sf_dir, "source_chunks").select(
+        F.lit("source_chunks").alias("origin"), F.col("project_id").alias("key_a"), F.col("chunk_id").alias("key_b"), "text"
+    )
+    messages = read_table(spark, sf_dir, "mixed_session").where("type = 'message'").select(
+        F.lit("mixed_session").alias("origin"),
+        F.col("source_uri").alias("key_a"),
+        F.col("line_number").cast("string").alias("key_b"),
+        message_text(F.col("message.content")).alias("text"),
+    )
+    return chunks.unionByName(messages)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mentions(_free_texts(spark, sf_dir), ["origin", "key_a", "key_b"]).select("origin", "key_a", "key_b", "kind", "found").distinct()
+
+
+def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redacted(_free_texts(spark, sf_dir), ["origin", "key_a", "key_b"]).distinct()
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations(read_table(spark, sf_dir, "mixed_session"))
 
@@ -64,6 +88,8 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_redacted": p1_redacted,
     "p3_found": p3_found,
     "p5_found": p5_found,
     "p7_found": p7_found,
