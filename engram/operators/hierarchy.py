@@ -29,6 +29,15 @@ BATCH_ROWS = 131_072
 BLOCK_POSITIONS = 8_192
 
 
+def _rows_above(keys: np.ndarray, parents: np.ndarray) -> np.ndarray:
+    """The row of each row's parent, -1 where that is none of the rows."""
+    n = len(keys)
+    codes, _ = pd.factorize(np.concatenate([keys, parents]))
+    row_of = np.full(codes.max() + 1 if len(codes) else 1, -1, dtype=np.int64)
+    row_of[codes[:n]] = np.arange(n)
+    return row_of[codes[n:]]
+
+
 def _local_forest(keys: np.ndarray, parents: np.ndarray, weights: np.ndarray):
     """Highest reachable ancestor of each row among the rows, by pointer doubling over (pointer, weight) pairs.
 
@@ -36,10 +45,7 @@ def _local_forest(keys: np.ndarray, parents: np.ndarray, weights: np.ndarray):
     Returns (row of the top, distance to it, whether a circle was met instead).
     """
     n = len(keys)
-    codes, _ = pd.factorize(np.concatenate([keys, parents]))
-    row_of = np.full(codes.max() + 1 if len(codes) else 1, -1, dtype=np.int64)
-    row_of[codes[:n]] = np.arange(n)
-    up = np.where(codes[n:] >= 0, row_of[codes[n:]], -1)
+    up = _rows_above(keys, parents)
     ends = up < 0
     pointer = np.where(ends, np.arange(n), up)
     distance = np.where(ends, 0, weights)
@@ -69,6 +75,30 @@ def _objects(table: pa.Table, name: str) -> np.ndarray:
     return table.column(name).to_pandas().to_numpy(dtype=object)
 
 
+#: Path elements in one batch of output.
+PATH_ELEMENTS = 500_000
+
+
+def _paths(ids: np.ndarray, up: np.ndarray) -> Iterator[tuple[int, int, pa.Array]]:
+    """Slices (from, to, paths) of the rows with the path from each row's top down to it; ``up`` is the row above, -1 at
+    a top. A row that never reaches a top has no path."""
+    start, values, offsets = 0, [], [0]
+    for i in range(len(ids)):
+        path, at, steps = [], i, 0
+        while at >= 0 and steps <= len(ids):
+            path.append(ids[at])
+            at = up[at]
+            steps += 1
+        if at < 0:
+            values += path[::-1]
+        offsets.append(len(values))
+        if len(values) >= PATH_ELEMENTS:
+            yield start, i + 1, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.string()))
+            start, values, offsets = i + 1, [], [0]
+    if start < len(ids):
+        yield start, len(ids), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.string()))
+
+
 def _link_step(schema: pa.Schema, batch_rows: int):
     """Links the rows of a task. In: _g, _id, _up, _w, _top, _off and columns to keep; out: the same with _up the link
     that leaves the task (null: none), _top and _off the root so far and the distance to it, _circle."""
@@ -93,7 +123,15 @@ def _link_step(schema: pa.Schema, batch_rows: int):
                 else:
                     values = pa.array(values)
                 table = table.set_column(table.schema.get_field_index(name), name, values.cast(schema.field(name).type))
-            yield from table.select(schema.names).cast(schema).to_batches()
+            if "_path" not in schema.names:
+                yield from table.select(schema.names).cast(schema).to_batches()
+                continue
+            up = _rows_above(keys, parents)
+            up[circle] = np.arange(n)[circle]  # leads nowhere
+            for start, end, paths in _paths(ids, up):
+                part = table.slice(start, end - start)
+                part = part.set_column(part.schema.get_field_index("_path"), "_path", paths)
+                yield from part.select(schema.names).cast(schema).to_batches()
 
     return step
 
@@ -112,6 +150,7 @@ def hierarchy(
     parent_col: str,
     position_col: str | None = None,
     keep: list[str] | None = None,
+    with_paths: bool = False,
     batch_rows: int = BATCH_ROWS,
     block_positions: int = BLOCK_POSITIONS,
 ) -> DataFrame:
@@ -120,6 +159,8 @@ def hierarchy(
     nodes: one row per (group, id); groups may hold nulls (null equals null). Rows with a null id are left out.
     A null or empty parent is none. A parent that is no node of the group makes the node a root. A node that is on a
     circle, or whose ancestors lead into one, has root_id '' and depth -1. An empty table gives an empty table.
+    with_paths: adds ``path``, the ids from the root to the node; null for circular nodes. Its size is the sum of all
+    depths; use ``descendants`` on it for all pairs of a node and one below it.
     position_col: a number that is close for related rows (a line number); it only makes the first step more local.
     Columns of the input that are not named are dropped, so clashing names do no harm.
     """
@@ -144,6 +185,8 @@ def hierarchy(
         .sortWithinPartitions("_g", "_place")
         .drop("_place")
     )
+    if with_paths:
+        base = base.withColumn("_path", F.array("_id"))
     local = _linked(base, batch_rows).persist()
     solved = _close(local, batch_rows)
     circle = F.col("_circle") | F.coalesce(F.col("s_circle"), F.lit(False))
@@ -153,21 +196,31 @@ def hierarchy(
         F.col("_row._parent").alias(parent_col),
         F.when(circle, "").otherwise(F.coalesce("s_top", "_top")).alias("root_id"),
         F.when(circle, -1).otherwise(F.col("_off") + F.coalesce(F.col("s_off") + 1, F.lit(0))).cast("long").alias("depth"),
+        *([F.when(~circle, F.concat(F.coalesce("s_path", F.array().cast("array<string>")), "_path")).alias("path")] if with_paths else []),
     )
     return out
 
 
+def descendants(tree: DataFrame, group_cols: list[str], id_col: str) -> DataFrame:
+    """All pairs of a node and one below it, from ``hierarchy(..., with_paths=True)``: group_cols, ancestor, descendant,
+    distance. Circular nodes have no pairs."""
+    steps = F.posexplode(F.expr("slice(path, 1, size(path) - 1)")).alias("_at", "ancestor")
+    return tree.where("depth > 0").select(*group_cols, F.col(id_col).alias("descendant"), "depth", steps).select(
+        *group_cols, "ancestor", "descendant", (F.col("depth") - F.col("_at")).alias("distance")
+    )
+
+
 def _close(local: DataFrame, batch_rows: int) -> DataFrame:
     """Root, distance and circle of every node that a link between tasks leads to: _g, _up, s_top, s_off, s_circle."""
+    paths = "_path" in local.columns
     leaving = local.where(F.col("_up").isNotNull() & ~F.col("_circle")).select("_g", F.col("_up").alias("_id")).distinct()
     between = local.drop("_row").join(leaving, ["_g", "_id"], "left_semi").withColumn("_w", F.col("_off") + 1)
     # a link from a boundary node goes from its local top to the node above that; merged group by group
-    merged = cut(_linked(between.repartition("_g").sortWithinPartitions("_g"), batch_rows))
+    merged = cut(between if paths else _linked(between.repartition("_g").sortWithinPartitions("_g"), batch_rows))
+    state = ["_g", "_id", "_up", "_top", "_off", "_circle", *(["_path"] if paths else [])]
     heads = merged.select("_g", F.col("_id").alias("_up"), F.lit(True).alias("_known"))
     merged = (  # a link to what is no node ends where it is
-        merged.join(heads, ["_g", "_up"], "left")
-        .withColumn("_up", F.when(F.col("_known"), F.col("_up")))
-        .select("_g", "_id", "_up", "_top", "_off", "_circle")
+        merged.join(heads, ["_g", "_up"], "left").withColumn("_up", F.when(F.col("_known") & ~F.col("_circle"), F.col("_up"))).select(*state)
     )
     rounds, first = 0, 0
     while open_links := merged.where(F.col("_up").isNotNull() & ~F.col("_circle")).count():
@@ -175,9 +228,7 @@ def _close(local: DataFrame, batch_rows: int) -> DataFrame:
         if 2**rounds > first:  # longer than any path of open links
             merged = merged.withColumn("_circle", F.col("_circle") | F.col("_up").isNotNull())
             break
-        above = merged.select(
-            "_g", F.col("_id").alias("_up"), F.col("_up").alias("a_up"), F.col("_top").alias("a_top"), F.col("_off").alias("a_off"), F.col("_circle").alias("a_circle")
-        )
+        above = merged.select("_g", F.col("_id").alias("_up"), *[F.col(c).alias(f"a{c}") for c in state[2:]])
         open_ = F.col("a_top").isNotNull() & ~F.col("_circle")
         merged = cut(
             merged.join(above, ["_g", "_up"], "left").select(
@@ -187,9 +238,15 @@ def _close(local: DataFrame, batch_rows: int) -> DataFrame:
                 F.when(open_, F.col("a_top")).otherwise(F.col("_top")).alias("_top"),
                 F.when(open_, F.col("_off") + 1 + F.col("a_off")).otherwise(F.col("_off")).alias("_off"),
                 (F.col("_circle") | F.coalesce(F.col("a_circle"), F.lit(False))).alias("_circle"),
+                *([F.when(open_, F.concat("a_path", "_path")).otherwise(F.col("_path")).alias("_path")] if paths else []),
             )
         )
         rounds += 1
     return merged.select(
-        "_g", F.col("_id").alias("_up"), F.col("_top").alias("s_top"), F.col("_off").alias("s_off"), F.col("_circle").alias("s_circle")
+        "_g",
+        F.col("_id").alias("_up"),
+        F.col("_top").alias("s_top"),
+        F.col("_off").alias("s_off"),
+        F.col("_circle").alias("s_circle"),
+        *([F.col("_path").alias("s_path")] if paths else []),
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from engram.functions.text import micros
 from engram.operators.changes import unseen
-from engram.operators.hierarchy import hierarchy
+from engram.operators.hierarchy import descendants, hierarchy
 from engram.operators.nested import label_nodes
 from engram.operators.sessions import ROLES, current_versions, forest_nodes, session_entries
 from engram.session import read_table
@@ -20,6 +20,18 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("origin", "project_id", "source_uri", "node_id", "root_id", "depth")
 
 
+def p2_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node with its path and the number of nodes below it."""
+    group = ["origin", "project_id", "source_uri"]
+    nodes = forest_nodes(read_table(spark, sf_dir, "mixed_session"), read_table(spark, sf_dir, "source_chunks"))
+    tree = hierarchy(nodes, group_cols=group, id_col="node_id", parent_col="parent_id", position_col="position", with_paths=True).persist()
+    below = descendants(tree, group, "node_id").groupBy(*[F.col(c).alias(f"_{c}") for c in group], F.col("ancestor").alias("_node_id")).agg(F.count("*").alias("n"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*group, "node_id"]]
+    return tree.join(below, same, "left").select(
+        *group, "node_id", "root_id", "depth", F.array_join("path", "/").alias("path"), F.coalesce("n", F.lit(0)).alias("descendants")
+    )
+
+
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each distinct line with JSON in it once."""
     return (
@@ -55,4 +67,4 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p6_found": p6_found, "p2_found": p2_found, "p4_found": p4_found}
+QUERIES = {"p6_found": p6_found, "p2_found": p2_found, "p2_tree": p2_tree, "p4_found": p4_found}
