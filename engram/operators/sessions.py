@@ -38,6 +38,53 @@ def session_entries(lines: DataFrame, *, with_text: bool = False, with_digest: b
     return rows.withColumn("_rn", F.row_number().over(newest)).where("_rn = 1").drop("_rn")
 
 
+def with_cwd(lines: DataFrame) -> DataFrame:
+    """Adds ``session_cwd``: the last non-empty cwd of a session line up to the row's line, null before the first."""
+    so_far = Window.partitionBy("source_uri").orderBy("line_number").rowsBetween(Window.unboundedPreceding, 0)
+    own = F.when((F.col("type") == "session") & (F.col("cwd") != ""), F.col("cwd"))
+    return lines.withColumn("session_cwd", F.last(own, ignorenulls=True).over(so_far))
+
+
+def parse_messages(lines: DataFrame, active: DataFrame | None = None) -> DataFrame:
+    """The messages of session files that are indexed, one row per line: source_uri, entry_id, parent_id, line_number,
+    timestamp, cwd, role, text.
+
+    Kept are rows of type message with a non-empty id, a role of user or assistant and non-blank text. ``active``
+    (source_uri, entry_id) restricts them to an active branch; an empty one keeps nothing. Absent values are null.
+    """
+    found = (
+        with_cwd(lines)
+        .where((F.col("type") == "message") & F.col("message.role").isin(*ROLES) & (F.col("id") != ""))
+        .select(
+            "source_uri",
+            F.col("id").alias("entry_id"),
+            blank_to_null(F.col("parentId")).alias("parent_id"),
+            "line_number",
+            blank_to_null(F.col("timestamp")).alias("timestamp"),
+            F.col("session_cwd").alias("cwd"),
+            F.col("message.role").alias("role"),
+            message_text(F.col("message.content")).alias("text"),
+        )
+        .where("text <> ''")
+    )
+    return found if active is None else found.join(active, ["source_uri", "entry_id"], "left_semi")
+
+
+def first_seen(messages: DataFrame) -> DataFrame:
+    """Of messages with the same (source_uri, entry_id) the one of the smallest line; ties by text."""
+    order = Window.partitionBy("source_uri", "entry_id").orderBy("line_number", "text")
+    return messages.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn")
+
+
+def last_messages(lines: DataFrame) -> DataFrame:
+    """source_uri and the id of the last message of each file, by line; any role, non-empty id."""
+    return (
+        lines.where((F.col("type") == "message") & (F.col("id") != ""))
+        .groupBy("source_uri")
+        .agg(F.max_by("id", F.struct("line_number", "id")).alias("leaf"))
+    )
+
+
 def current_versions(chunks: DataFrame, cols: list[str]) -> DataFrame:
     """Of every chunk (project_id, chunk_id) the version with the greatest updated_at as an instant.
 
