@@ -14,6 +14,8 @@ from engram.llm.splitting import split_texts
 from engram.llm.tokens import with_tokens
 from engram.llm.vectors import nearest, neighbour_pairs
 from engram.functions.text import message_text
+from engram.plans import sql
+from engram.plans.structure import TREE
 from engram.session import cut, read_table
 
 
@@ -87,6 +89,26 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences(read_table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "end_pos")
 
 
+_ON_LINE = f"""{TREE}, e AS MATERIALIZED (SELECT * FROM {sql.ENTRIES}),
+    k AS MATERIALIZED (SELECT e.*, t.root_id, t.depth FROM e JOIN tree t ON t.origin = 'mixed_session' AND t.source_uri = e.source_uri AND t.node_id = e.id),
+    leaf AS (SELECT source_uri, root_id, id FROM k WHERE type = 'message' QUALIFY row_number() OVER (PARTITION BY source_uri, root_id ORDER BY said_at DESC NULLS LAST, line_number DESC) = 1),
+    line(source_uri, root_id, id) AS (SELECT source_uri, root_id, id FROM leaf UNION ALL SELECT l.source_uri, l.root_id, k.parentId FROM line l
+        JOIN k ON k.source_uri = l.source_uri AND k.id = l.id WHERE k.depth > 0),
+    turn AS (SELECT k.source_uri, k.root_id, k.id, k.role, row_number() OVER w - 1 AS turn_no, lag(k.role) OVER w AS before, lead(k.role) OVER w AS after FROM line JOIN k USING (source_uri, root_id, id)
+        WHERE k.type = 'message' AND k.role IN ('user', 'assistant') AND k.text <> '' WINDOW w AS (PARTITION BY k.source_uri, k.root_id ORDER BY k.depth))"""
+
+ORACLE = {
+    "p3_found": f"""{_ON_LINE} SELECT source_uri, root_id, turn_no, id FROM turn
+        WHERE (source_uri, root_id) IN (SELECT (source_uri, id) FROM k WHERE coalesce(parentId, '') = '')
+        AND (source_uri, root_id) NOT IN (SELECT (source_uri, root_id) FROM turn WHERE (before IS NULL AND role <> 'user') OR (after IS NULL AND role <> 'assistant') OR (role = 'user' AND before = 'user'))""",
+    "p5_found": """WITH v AS MATERIALIZED (SELECT DISTINCT project_id, chunk_id, embedding::DOUBLE[] AS e FROM vec_source_chunks WHERE len(embedding) = 64
+          AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        near AS (SELECT a.project_id, a.chunk_id AS q, b.chunk_id AS m FROM v a JOIN v b ON a.project_id = b.project_id AND a.chunk_id <> b.chunk_id
+          QUALIFY row_number() OVER (PARTITION BY a.project_id, a.chunk_id ORDER BY round(list_cosine_similarity(a.e, b.e), 9) DESC, b.chunk_id) <= 5)
+        SELECT DISTINCT project_id, least(q, m) AS chunk_id_a, greatest(q, m) AS chunk_id_b FROM near""",
+    "p7_found": f"SELECT DISTINCT project_id, chunk_id FROM source_chunks WHERE strlen({sql.trimmed('text')}) > 4096",
+}
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_redacted": p1_redacted,
