@@ -33,11 +33,20 @@ def active_chain(lines: DataFrame) -> DataFrame:
     leaves = tree.join(last_messages(lines).select(F.col("source_uri").alias("grp"), F.col("leaf").alias("id")), ["grp", "id"]).persist()
     straight = main_lines(tree.where("depth >= 0"), leaves.where("depth >= 0").select("grp", "root", F.col("id").alias("leaf"), F.col("depth").alias("leaf_depth")))
     found = straight.select(F.col("grp").alias("source_uri"), F.col("id").alias("entry_id"))
-    frontier = cut(leaves.where("depth < 0").select("grp", "id", "parent"))
-    links = tree.where("depth < 0").select("grp", F.col("id").alias("up"), F.col("parent").alias("next"))
-    passed = frontier
-    while frontier.limit(1).count():  # circles only: one step a round, until every walk meets itself
-        step = frontier.join(links, (frontier.grp == links.grp) & (frontier.parent == links.up)).select(frontier.grp, F.col("up").alias("id"), F.col("next").alias("parent"))
-        frontier = cut(step.join(passed, ["grp", "id"], "left_anti"))
-        passed = passed.unionByName(frontier)
-    return found.unionByName(passed.select(F.col("grp").alias("source_uri"), F.col("id").alias("entry_id")))
+    return found.unionByName(_circular_walks(tree.where("depth < 0"), leaves.where("depth < 0")))
+
+
+def _circular_walks(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
+    """All entries met on the way up from leaves that lead into circles: the set is extended by jumps of doubling width."""
+    passed = cut(leaves.select("grp", "id"))
+    if not passed.limit(1).count():
+        return passed.select(F.col("grp").alias("source_uri"), F.col("id").alias("entry_id"))
+    jumps = cut(nodes.join(passed.select("grp").distinct(), "grp", "left_semi").select("grp", "id", F.col("parent").alias("up")))
+    width, longest = 1, jumps.count()
+    while width <= longest:
+        further = passed.join(jumps, ["grp", "id"]).select("grp", F.col("up").alias("id"))
+        passed = cut(passed.unionByName(further).distinct())
+        above = jumps.select("grp", F.col("id").alias("up"), F.col("up").alias("next"))
+        jumps = cut(jumps.join(above, ["grp", "up"]).select("grp", "id", F.col("next").alias("up")))
+        width *= 2
+    return passed.select(F.col("grp").alias("source_uri"), F.col("id").alias("entry_id"))

@@ -65,7 +65,7 @@ def _block_top_k(k: int):
     def run(key: tuple[pa.Scalar, ...], queries: pa.Table, vectors: pa.Table) -> pa.Table:
         if not queries.num_rows or not vectors.num_rows:
             return pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
-        q, v = (np.array(t.column("vector").to_pylist(), dtype=np.float64) for t in (queries, vectors))
+        q, v = (np.array(t.column(c).to_pylist(), dtype=np.float64) for t, c in ((queries, "q_vector"), (vectors, "v_vector")))
         qid, vid = queries.column("query_id").to_numpy(), vectors.column("id").to_numpy()
         square = (q * q).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * q @ v.T
         keep = min(len(vid), k + 8)
@@ -92,7 +92,8 @@ def batch_top_k(queries: DataFrame, vectors: DataFrame, k: int, *, dim: int) ->
     length or with a null are left out.
     """
     fits = (F.size("vector") == dim) & ~F.exists("vector", lambda x: x.isNull() | F.isnan(x)) & F.col("grp").isNotNull()
-    queries, vectors = queries.where(fits).select("grp", "query_id", "vector"), vectors.where(fits).select("grp", "id", "vector")
+    queries = queries.where(fits).select("grp", "query_id", "vector")
+    vectors = vectors.where(fits).select("grp", "id", "vector")
     sizes = (
         queries.groupBy("grp").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("nq"))
         .join(vectors.groupBy("grp").agg(F.ceil(F.count("*") / VECTOR_BLOCK).cast("int").alias("nv")), "grp")
@@ -100,8 +101,8 @@ def batch_top_k(queries: DataFrame, vectors: DataFrame, k: int, *, dim: int) ->
     all_ = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     q = queries.join(sizes, "grp").select("grp", F.pmod(F.hash("query_id"), F.col("nq")).alias("qb"), all_("nv").alias("vb"), "query_id", "vector")
     v = vectors.join(sizes, "grp").select("grp", all_("nq").alias("qb"), F.pmod(F.hash("id"), F.col("nv")).alias("vb"), "id", "vector")
-    on = ["grp", "qb", "vb"]
-    found = q.groupBy(*on).cogroup(v.groupBy(*on)).applyInArrow(_block_top_k(k), "query_id long, id long, distance double")
+    q, v = q.toDF("grp", "qb", "vb", "query_id", "q_vector"), v.toDF("v_grp", "v_qb", "v_vb", "id", "v_vector")
+    found = q.groupBy("grp", "qb", "vb").cogroup(v.groupBy("v_grp", "v_qb", "v_vb")).applyInArrow(_block_top_k(k), "query_id long, id long, distance double")
     order = Window.partitionBy("query_id").orderBy("distance", "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
         "query_id", "rank", "id", "distance", score(F.col("distance")).alias("score")

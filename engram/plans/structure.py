@@ -10,6 +10,7 @@ from engram.operators.changes import unseen
 from engram.operators.hierarchy import descendants, hierarchy
 from engram.operators.nested import label_nodes
 from engram.operators.sessions import ROLES, current_versions, forest_nodes, session_entries
+from engram.plans import sql
 from engram.session import read_table
 
 
@@ -68,3 +69,25 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p6_found": p6_found, "p2_found": p2_found, "p2_tree": p2_tree, "p4_found": p4_found}
+
+
+_NODES = f"""(SELECT 'mixed_session' AS origin, '' AS project_id, source_uri, id AS node_id, nullif(parentId, '') AS parent_id FROM {sql.ENTRIES}
+    UNION ALL SELECT 'source_chunks', project_id, source_uri, entry_id, nullif(parent_id, '') FROM {sql.CURRENT} WHERE entry_id <> '')"""
+#: Nodes are reached from the roots downwards; those never reached are circular.
+TREE = f"""WITH RECURSIVE nodes AS MATERIALIZED (SELECT * FROM {_NODES}),
+    tree(origin, project_id, source_uri, node_id, root_id, depth) AS (
+        SELECT n.origin, n.project_id, n.source_uri, n.node_id, n.node_id, 0::BIGINT FROM nodes n WHERE n.parent_id IS NULL OR NOT EXISTS
+            (SELECT 1 FROM nodes p WHERE p.origin = n.origin AND p.project_id = n.project_id AND p.source_uri = n.source_uri AND p.node_id = n.parent_id)
+        UNION ALL SELECT n.origin, n.project_id, n.source_uri, n.node_id, t.root_id, t.depth + 1 FROM tree t
+            JOIN nodes n ON n.origin = t.origin AND n.project_id = t.project_id AND n.source_uri = t.source_uri AND n.parent_id = t.node_id)"""
+
+ORACLE = {
+    "p2_found": f"""{TREE} SELECT n.origin, n.project_id, n.source_uri, n.node_id, coalesce(t.root_id, '') AS root_id, coalesce(t.depth, -1) AS depth
+        FROM nodes n LEFT JOIN tree t USING (origin, project_id, source_uri, node_id)""",
+    "p6_found": f"""SELECT 'source_chunks' AS origin, c.project_id AS key_a, c.chunk_id AS key_b FROM {sql.CURRENT} c WHERE NOT EXISTS (SELECT 1 FROM index_ledger l
+            JOIN index_runs r ON r.run_id = l.run_id AND r.attempt = l.attempt WHERE r.status = 'success' AND l.project_id = c.project_id AND l.chunk_id = c.chunk_id
+            AND {sql.instant('l.seen_updated_at')} = {sql.instant('c.updated_at')})
+        UNION ALL SELECT 'mixed_session', e.source_uri, e.id FROM {sql.ENTRIES} e LEFT JOIN (SELECT source_uri, entry_id, list(DISTINCT snippet) AS seen FROM pi_jsonl_chunks
+            WHERE entry_id IS NOT NULL GROUP BY ALL) i ON i.source_uri = e.source_uri AND i.entry_id = e.id
+        WHERE e.type = 'message' AND e.role IN ('user', 'assistant') AND e.text <> '' AND (i.seen IS NULL OR i.seen <> [e.text])""",
+}
