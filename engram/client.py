@@ -16,6 +16,7 @@ from engram.functions.text import JS_SPACE, iso_now, js_trim
 from engram.functions.vectors import is_valid
 from engram.operators.recall import ranked, top_k
 from engram.operators.state import last_write, upsert
+from engram.session import cut
 from engram.sources.config import load_config, private_dir
 from engram.sources.store import CHUNK_SCHEMA, SnapshotTable
 from engram.validate import (
@@ -124,7 +125,7 @@ class Client:
             have = [F.col(f.name).cast(f.dataType) if f.name in chunks.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in names]
             order = F.col("ordinal") if "ordinal" in chunks.columns else F.monotonically_increasing_id().alias("ordinal")
             rows = chunks.select(F.lit(project_id).alias("project_id"), js_trim(F.col("text")).alias("text"), *have, order)
-            rows = with_embeddings(rows, self.embedder).persist()  # ids and vectors are made once
+            rows = cut(with_embeddings(rows, self.embedder))  # ids and vectors are made once
         else:
             if not isinstance(chunks, Sequence) or isinstance(chunks, (str, bytes)):
                 raise InvalidArgumentError("chunks must be an array")

@@ -176,7 +176,7 @@ def create_embedder(config: dict) -> Embedder:
 
 def with_embeddings(rows: DataFrame, embedder: Embedder, text_col: str = "text", name: str = "embedding") -> DataFrame:
     """Adds the vector of each text, in Arrow batches; vectors are checked, a null text gives a null vector."""
-    schema = T.StructType([*rows.schema.fields, T.StructField(name, T.ArrayType(T.FloatType(), False))])
+    schema = T.StructType([*rows.schema.fields, T.StructField(name, T.ArrayType(T.FloatType()))])
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -78,6 +78,7 @@ class SessionIndex:
     def index_lines(self, lines: DataFrame, active: DataFrame | None = None) -> IndexReport:
         """One pass over session lines: stale entries go, new messages of active branches come. ``active`` None means no
         branch filter at all; an empty one is derived from the files."""
+        lines = cut(lines)  # files may grow while they are read
         if active is not None and not active.limit(1).count():
             active = active_chain(lines)
         if active is not None:

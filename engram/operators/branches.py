@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from engram.operators.hierarchy import hierarchy
 from engram.operators.paths import main_lines
 from engram.operators.sessions import last_messages
-from engram.session import cut
+from engram.session import cut, held
 
 
 def active_chain(lines: DataFrame) -> DataFrame:
@@ -29,8 +29,8 @@ def active_chain(lines: DataFrame) -> DataFrame:
     tree = hierarchy(entries, group_cols=["source_uri"], id_col="id", parent_col="parentId", position_col="line_number").select(
         F.col("source_uri").alias("grp"), F.col("root_id").alias("root"), "id", F.col("parentId").alias("parent"), "depth"
     )
-    tree = tree.persist()
-    leaves = tree.join(last_messages(lines).select(F.col("source_uri").alias("grp"), F.col("leaf").alias("id")), ["grp", "id"]).persist()
+    tree = held(tree)
+    leaves = held(tree.join(last_messages(lines).select(F.col("source_uri").alias("grp"), F.col("leaf").alias("id")), ["grp", "id"]))
     straight = main_lines(tree.where("depth >= 0"), leaves.where("depth >= 0").select("grp", "root", F.col("id").alias("leaf"), F.col("depth").alias("leaf_depth")))
     found = straight.select(F.col("grp").alias("source_uri"), F.col("id").alias("entry_id"))
     return found.unionByName(_circular_walks(tree.where("depth < 0"), leaves.where("depth < 0")))

@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from engram.session import cut, held
+
 #: Children of a node are FAN; a tree of LEVELS levels has FAN ** LEVELS leaves.
 FAN_BITS = 4
 LEVELS = 3
@@ -96,7 +98,7 @@ def unseen(current: DataFrame, saved: DataFrame, keys: list[str], version: str,
     every: the key is unseen also where saved has another version beside the same one.
     Null versions equal null; null keys equal null. An empty ``saved`` makes every key unseen.
     """
-    current, saved = current.select(*keys, version).persist(), saved.select(*keys, version).persist()
+    current, saved = held(current.select(*keys, version)), held(saved.select(*keys, version))
     latest = saved.groupBy(*keys).agg(F.max(version).alias(version)) if not every else saved.select(*keys, version).distinct()
     now, then = merkle_leaves(current, keys, [version], levels), merkle_leaves(latest, keys, [version], levels)
     leaves = F.broadcast(changed_leaves(now, then, levels))  # at most FAN ** levels numbers
@@ -144,7 +146,7 @@ class ChangeStore:
         """Give ``process`` the records that are new or changed since the last successful run, then publish its output
         together with the tree and the versions handled. Returns the output of this run. If anything fails, nothing is
         published."""
-        handled = current.select(*keys, version)
+        handled = cut(current.select(*keys, version))
         todo = current
         if self.version:
             todo = _semi(current, unseen(handled, self.read("handled"), keys, version), keys)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from engram.functions.text import group_key
-from engram.session import cut
+from engram.session import cut, held
 
 #: Rows that one task links at once.
 BATCH_ROWS = 131_072
@@ -187,7 +187,7 @@ def hierarchy(
     )
     if with_paths:
         base = base.withColumn("_path", F.array("_id"))
-    local = _linked(base, batch_rows).persist()
+    local = held(_linked(base, batch_rows))
     solved = _close(local, batch_rows)
     circle = F.col("_circle") | F.coalesce(F.col("s_circle"), F.lit(False))
     out = local.join(solved, ["_g", "_up"], "left").select(

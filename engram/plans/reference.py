@@ -16,7 +16,7 @@ from engram.operators.recall import batch_top_k, ranked, search_filter, top_k, t
 from engram.operators.sessions import current_versions, first_seen, parse_messages, with_cwd
 from engram.operators.state import delete, deleted_count, insert_or_ignore, new_rows, reconcile, stale_rows, upsert
 from engram.plans import sql
-from engram.session import read_table
+from engram.session import held, read_table
 from engram.validate import METADATA_LIMIT_BYTES, TEXT_LIMIT_BYTES
 
 QUERIES: dict = {}
@@ -341,13 +341,13 @@ def stale_index_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH chain AS MATERIALIZED (SELECT * FROM {sql.CHAIN}) SELECT chunk_id, source_uri, entry_id FROM {_INDEX} i WHERE source_uri NOT IN (SELECT source_uri FROM chain)
     OR EXISTS (SELECT 1 FROM chain c WHERE c.source_uri = i.source_uri AND c.entry_id = i.entry_id)""")
 def reconcile_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reconcile(_index(spark, sf_dir), active_chain(_lines(spark, sf_dir)).persist()).select("chunk_id", "source_uri", "entry_id")
+    return reconcile(_index(spark, sf_dir), held(active_chain(_lines(spark, sf_dir)))).select("chunk_id", "source_uri", "entry_id")
 
 
 @query(f"""SELECT (SELECT count(*) FROM {_FIRST} f ANTI JOIN {_INDEX} i USING (source_uri, entry_id)) AS indexed, (SELECT count(*) FROM {sql.PARSED}) AS messages,
     (SELECT count(*) FROM {sql.PARSED}) - (SELECT count(*) FROM {_FIRST} f ANTI JOIN {_INDEX} i USING (source_uri, entry_id)) AS skipped_duplicate""")
 def index_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = _parsed(spark, sf_dir).persist()
+    parsed = held(_parsed(spark, sf_dir))
     new = new_rows(_index(spark, sf_dir), first_seen(parsed)).agg(F.count("*").alias("indexed"))
     both = parsed.agg(F.count("*").alias("messages")).join(new)  # one row each
     return both.select("indexed", "messages", (F.col("messages") - F.col("indexed")).alias("skipped_duplicate"))

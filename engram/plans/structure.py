@@ -11,7 +11,7 @@ from engram.operators.hierarchy import descendants, hierarchy
 from engram.operators.nested import label_nodes
 from engram.operators.sessions import ROLES, current_versions, forest_nodes, session_entries
 from engram.plans import sql
-from engram.session import read_table
+from engram.session import held, read_table
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +25,8 @@ def p2_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every node with its path and the number of nodes below it."""
     group = ["origin", "project_id", "source_uri"]
     nodes = forest_nodes(read_table(spark, sf_dir, "mixed_session"), read_table(spark, sf_dir, "source_chunks"))
-    tree = hierarchy(nodes, group_cols=group, id_col="node_id", parent_col="parent_id", position_col="position", with_paths=True).persist()
+    tree = hierarchy(nodes, group_cols=group, id_col="node_id", parent_col="parent_id", position_col="position", with_paths=True)
+    tree = held(tree)
     below = descendants(tree, group, "node_id").groupBy(*[F.col(c).alias(f"_{c}") for c in group], F.col("ancestor").alias("_node_id")).agg(F.count("*").alias("n"))
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*group, "node_id"]]
     return tree.join(below, same, "left").select(

@@ -21,12 +21,12 @@ FORMAT = 1
 
 CHUNK_SCHEMA = T.StructType(
     [
-        *[T.StructField(c, T.StringType(), False) for c in ("project_id", "chunk_id", "text")],
+        *[T.StructField(c, T.StringType()) for c in ("project_id", "chunk_id", "text")],
         *[T.StructField(c, T.StringType()) for c in ("source_kind", "source_uri", "entry_id", "parent_id")],
         *[T.StructField(c, T.LongType()) for c in ("line_number", "line_start", "line_end")],
         *[T.StructField(c, T.StringType()) for c in ("timestamp", "metadata_json")],
-        *[T.StructField(c, T.StringType(), False) for c in ("created_at", "updated_at")],
-        T.StructField("embedding", T.ArrayType(T.FloatType(), False), False),
+        *[T.StructField(c, T.StringType()) for c in ("created_at", "updated_at")],
+        T.StructField("embedding", T.ArrayType(T.FloatType())),
     ]
 )
 SESSION_SCHEMA = T.StructType(
@@ -34,7 +34,7 @@ SESSION_SCHEMA = T.StructType(
         *[T.StructField(c, T.StringType()) for c in ("chunk_id", "source_kind", "source_uri", "entry_id", "parent_id")],
         T.StructField("line_number", T.LongType()),
         *[T.StructField(c, T.StringType()) for c in ("timestamp", "cwd", "snippet", "metadata_json", "created_at")],
-        T.StructField("embedding", T.ArrayType(T.FloatType(), False)),
+        T.StructField("embedding", T.ArrayType(T.FloatType())),
     ]
 )
 
