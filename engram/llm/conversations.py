@@ -18,6 +18,7 @@ from engram.functions.text import blank_to_null
 from engram.operators.hierarchy import hierarchy
 from engram.operators.paths import BAND, main_lines
 from engram.operators.sessions import ROLES, session_entries
+from engram.session import held
 
 # The automaton. States, and by state the next one after a turn of the user and of the assistant.
 START, ASKED, ANSWERED, BROKEN = range(4)
@@ -91,7 +92,7 @@ def conversations(lines: DataFrame, *, band: int = BAND) -> DataFrame:
         position_col="line_number",
         keep=["line_number", "type", "role", "at", "is_turn"],
     )
-    nodes = (
+    nodes = held(
         tree.where(F.col("depth") >= 0)
         .select(
             F.col("source_uri").alias("grp"),
@@ -106,15 +107,13 @@ def conversations(lines: DataFrame, *, band: int = BAND) -> DataFrame:
             "is_turn",
         )
         .where(F.col("grp").isNotNull())
-        .persist()
     )
     last = F.max(F.when(F.col("type") == "message", F.struct("at", "line_number", "id", "depth")))
-    leaves = (
+    leaves = held(
         nodes.groupBy("grp", "root")
         .agg(last.alias("last"), F.max((F.col("depth") == 0) & blank_to_null(F.col("parent")).isNull()).alias("whole"))
         .where(F.col("whole") & F.col("last").isNotNull())
         .select("grp", "root", F.col("last.id").alias("leaf"), F.col("last.depth").alias("leaf_depth"))
-        .persist()
     )
     lines_ = main_lines(nodes.select("grp", "root", "id", "parent", "depth", "role", "is_turn"), leaves, band)
     schema = to_arrow_schema(lines_.sparkSession.createDataFrame([], TURNS).schema)
@@ -122,7 +121,7 @@ def conversations(lines: DataFrame, *, band: int = BAND) -> DataFrame:
     short = turns.where("last_band = 0").where(F.col("states")[START] == ACCEPTED)
     out = short.select(F.col("grp").alias("source_uri"), F.col("root").alias("root_id"), F.col("turn").alias("turn_no"), "id")
     if leaves.where(F.col("leaf_depth") >= band).limit(1).count():
-        out = out.unionByName(_composed(turns.where("last_band > 0").persist()))
+        out = out.unionByName(_composed(held(turns.where("last_band > 0"))))
     return out
 
 

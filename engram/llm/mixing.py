@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from engram.session import held
+
 BLOCKS = 1_024
 SEED = 20_240_229
 #: Tokens that a shard holds about; there are never more shards than blocks in the mixture.
@@ -120,7 +122,7 @@ def mix(
     first = F.min(F.struct("source", id_col, "size")).alias("t")
     unique = named.groupBy(identity_col).agg(first).select(f"t.{id_col}", "t.source", "t.size")
     h = F.xxhash64(id_col, F.lit(seed))
-    placed = unique.withColumn("_h", h).withColumn("block", F.shiftrightunsigned("_h", 64 - (BLOCKS - 1).bit_length()).cast("int")).persist()
+    placed = held(unique.withColumn("_h", h).withColumn("block", F.shiftrightunsigned("_h", 64 - (BLOCKS - 1).bit_length()).cast("int")))
     blocks = placed.groupBy("source", "block").agg(F.sum("size").alias("tokens")).toPandas()  # at most len(want) x BLOCKS rows
     totals = {s: int(t) for s, t in blocks.groupby("source").tokens.sum().items()}
     quota = quotas(totals, {s: w for s, (w, _) in want.items()}, {s: int(r) for s, (_, r) in want.items()}, total)
