@@ -42,11 +42,13 @@ def _circular_walks(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
     if not passed.limit(1).count():
         return passed.select(F.col("grp").alias("source_uri"), F.col("id").alias("entry_id"))
     jumps = cut(nodes.join(passed.select("grp").distinct(), "grp", "left_semi").select("grp", "id", F.col("parent").alias("up")))
-    width, longest = 1, jumps.count()
-    while width <= longest:
+    known = passed.count()
+    while True:  # after k rounds the walks are 2 ** k entries long; they end once nothing new is met
         further = passed.join(jumps, ["grp", "id"]).select("grp", F.col("up").alias("id"))
         passed = cut(passed.unionByName(further).distinct())
+        if (n := passed.count()) == known:
+            break
+        known = n
         above = jumps.select("grp", F.col("id").alias("up"), F.col("up").alias("next"))
         jumps = cut(jumps.join(above, ["grp", "up"]).select("grp", "id", F.col("next").alias("up")))
-        width *= 2
     return passed.select(F.col("grp").alias("source_uri"), F.col("id").alias("entry_id"))

@@ -26,7 +26,9 @@ def get_spark(app: str = "engram", master: str | None = None, **conf) -> SparkSe
     }
     for key, value in (defaults | conf).items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
