@@ -47,7 +47,8 @@ NOT_NAME = frozenset(
     "we you he she they them us his her their your my me i il la le les un une des du de el los las una uno al del se su lo y o en por "
     "para con der die das dem den des ein eine einer und oder nicht wer warum im am zu zur zum auf mit von für platform team project "
     "branch service note release codename dashboard each every old new any all some there here once now then still only ask call ring "
-    "mail see set run use host build row value tel phone owner signed cc assigned according please thank met laut gracias".split()
+    "mail see set run use host build row value tel phone owner signed cc assigned according please thank met laut gracias "
+    "er sie wir ihr ich él ella ellos elle elles nous vous on он она оно они мы вы ты я это".split()
 )
 TITLE = r"(?:Dr|Prof|Mr|Mrs|Ms|Miss|Mx|Sir|Herr|Frau|Sr|Sra|Srta|Don|Doña|Mme|Mlle|Dott|Ing|Rev|Hon|г-н|г-жа|д-р)\.?"
 PARTICLE = "van|von|der|den|de|da|di|du|del|della|la|le|ten|ter|zu|zur|al|el|bin|ibn|ben|ní|nic|mac|af|dos|das|do|y|e|ter"
@@ -68,7 +69,7 @@ AT = r"(?:[ ]?[\[({<][ ]?(?:at|@)[ ]?[\])}>][ ]?|[ ]at[ ]|@)"
 DOT = r"(?:[ ]?[\[({<][ ]?(?:dot|\.)[ ]?[\])}>][ ]?|[ ]dot[ ]|\.)"
 HIDDEN_EMAIL = re.compile(rf"(?i)([^\W_][\w.+%-]*)({AT})([^\W_][\w-]*(?:{DOT}[^\W_][\w-]*){{1,3}})")
 HIDDEN_DOT = re.compile(rf"(?i){DOT}")
-PHONE = re.compile(r"(?<![\w.+@/#-])(?:\+ ?\d{1,3}|\(\d{2,5}\)|\d{2,12})(?:[ ./-]{0,2}(?:\(\d{1,5}\)|\d{1,12})){0,6}(?![\w@])")
+PHONE = re.compile(r"(?<![\w.+@/#-])(?:\+ ?\d{1,3}|\(\d{2,5}\)|\d{2,12})(?:(?:[ ./-]| - )?(?:\(\d{1,5}\)|\d{1,12})){0,6}(?![\w@])")
 ID_WORDS = (
     r"ssn|s\.s\.n\.|social security(?: (?:number|no\.?))?|soc\.? sec\.?(?: (?:number|no\.?))?|national insurance(?: (?:number|no\.?))?|ni (?:number|no\.?)|nino|"
     r"insurance (?:number|no\.?)|passport(?: (?:number|no\.?))?|passnummer|reisepass(?:nummer)?|pasaporte|passeport|personalausweis|ausweis(?:nummer)?|"
