@@ -66,16 +66,17 @@ STOPS = ".!?。！？．｡؟۔।॥…"
 TRAILING = "”\"'’»」』）)]"
 
 UPPER = "A-Z\u00c0-\u00de\u0386-\u03ab\u0400-\u042f"
+JOINED_WORD = re.compile(rf"[^\W\d_{UPPER}]+\.[{UPPER}]")
 # A word that begins a sentence without a space before it.
-JOINED = re.compile(rf"[{UPPER}][^\W\d_]*(?:[ \t\r\n\xa0’'-]|\.\.\.|, )")
+JOINED = re.compile(rf"[{UPPER}][^\W\d_]*(?:[ \t\r\n\xa0’'-]|\.\.\.|[,:] |\.[a-z]{{1,3}} )")
 EVENT = re.compile(
     rf"\.+(?=[\s{re.escape(TRAILING)}]|$|[{CJK}{UPPER}])|[!?؟۔।॥…]+|[。！？．｡]+|;(?=\s|$)|(?:{THAI_END})(?=\s|$)|[“”„«»「」『』()（）\"]"
 )
 LINE_END = re.compile("\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")
-HEADING = re.compile(r"[ \t]{0,3}#{1,6}(?:[ \t]|$)")
-FENCE = re.compile(r"[ \t]{0,3}(`{3,}|~{3,})")
-ITEM = re.compile(r"[ \t]*(?:[-*+•‣·]|(\d{1,3})[.)])[ \t\xa0]+")
-CHAT = re.compile(r"[ \t]*\[?\d{1,2}:\d{2}(?::\d{2})?\]?[ \t]+[^\s:]{1,32}:[ \t]*")
+HEADING = re.compile(r"#{1,6}(?:[ \t\xa0\u3000]|$)")
+FENCE = re.compile(r"(`{3,}|~{3,})")
+ITEM = re.compile(r"(?:[-*+•‣·]|(\d{1,3})[.)])[ \t\xa0\u3000]+")
+CHAT = re.compile(r"\[?\d{1,2}:\d{2}(?::\d{2})?\]?[ \t]+[^\s:]{1,32}:[ \t]*")
 GREEK = re.compile("[\u0370-\u03ff\u1f00-\u1fff]")
 TAG_CJK = re.compile("(?:と|って|という|などと|(?:他|她|它|我|你|他们|她们|我们|老师|对方)[^。！？]{0,3}?(?:问|問|说|說|道|答|喊|叫|写|寫|想)(?![道着著]?[：:]))")
 SPACE = frozenset(JS_SPACE + "\x85\x1c\x1d\x1e\x1f")
@@ -151,15 +152,15 @@ def blocks(text: str) -> Iterator[tuple[int, int, int, bool]]:
     in_list = False
     for end, following in bounds:
         line_start, start = start, following
+        body = line_start
+        while body < end and text[body] in SPACE:
+            body += 1
         if fence:
-            mark = FENCE.match(text, line_start, end)
+            mark = FENCE.match(text, body, end)
             if mark and mark[1].startswith(fence):
                 yield opened, opened, end, True
                 fence = None
             continue
-        body = line_start
-        while body < end and text[body] in SPACE:
-            body += 1
         if body == end:  # blank
             if para:
                 yield para[0], para[0], para[1], False
@@ -167,7 +168,7 @@ def blocks(text: str) -> Iterator[tuple[int, int, int, bool]]:
             in_list = False
             continue
         c = text[body]
-        if c in "`~" and (mark := FENCE.match(text, line_start, end)):
+        if c in "`~" and (mark := FENCE.match(text, body, end)):
             if para:
                 yield para[0], para[0], para[1], False
                 para = None
@@ -175,15 +176,15 @@ def blocks(text: str) -> Iterator[tuple[int, int, int, bool]]:
             continue
         marker, whole = None, False
         if c == "#":
-            whole = HEADING.match(text, line_start, end) is not None
+            whole = HEADING.match(text, body, end) is not None
         elif c == "[" or c.isdigit():
-            marker = CHAT.match(text, line_start, end)
-            if not marker and c != "[" and (item := ITEM.match(text, line_start, end)):
+            marker = CHAT.match(text, body, end)
+            if not marker and c != "[" and (item := ITEM.match(text, body, end)):
                 goes_on = para and text[max(para[0], para[1] - 10) : para[1]].split()[-1:]
                 ordinal = goes_on and goes_on[0].lower() in ORDINAL_BEFORE
                 marker = item if in_list or not para or item[1] == "1" and not ordinal else None
         elif c in "-*+•‣·":
-            marker = ITEM.match(text, line_start, end)
+            marker = ITEM.match(text, body, end)
         if whole or marker:
             if para:
                 yield para[0], para[0], para[1], False
@@ -220,6 +221,8 @@ def _word(text: str, at: int, end: int) -> str:
 
 def _technical(word: str) -> bool:
     """A name such as a file or a version, which may begin a sentence in lower case."""
+    if JOINED_WORD.match(word):  # a plain word and, with no space between, the next sentence
+        return False
     word = word.rstrip(".-/")
     return any(c in "_/." or c.isdigit() or c.isupper() for c in word[1:])
 
@@ -264,7 +267,8 @@ def _point_ends(text: str, begin: int, at: int, after: int, end: int) -> bool:
 
 def _joined(text: str, begin: int, at: int, nxt: int) -> bool:
     """Whether a plain word, its stop at ``at``, is followed at once by a word that begins a sentence."""
-    if not (text[at - 1].islower() or text[at - 1].isdigit() or text[at - 1] in TRAILING) or not JOINED.match(text, nxt):
+    ended = text[at - 1].islower() or text[at - 1].isdigit() or text[at - 1] in TRAILING or text[at - 2 : at].isupper()
+    if not ended or not JOINED.match(text, nxt):
         return False
     start = at
     while start > begin and text[start - 1] not in SPACE and at - start < 60:
