@@ -267,7 +267,7 @@ def _point_ends(text: str, begin: int, at: int, after: int, end: int) -> bool:
 
 def _joined(text: str, begin: int, at: int, nxt: int) -> bool:
     """Whether a plain word, its stop at ``at``, is followed at once by a word that begins a sentence."""
-    ended = text[at - 1].islower() or text[at - 1].isdigit() or text[at - 1] in TRAILING or text[at - 2 : at].isupper()
+    ended = text[at - 1].islower() or text[at - 1].isdigit() or text[at - 1] in TRAILING or (text[at - 2 : at].isupper() and text[at - 2].isalpha())
     if not ended or not JOINED.match(text, nxt):
         return False
     start = at
