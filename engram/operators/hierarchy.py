@@ -81,16 +81,14 @@ PATH_ELEMENTS = 500_000
 
 def _paths(ids: np.ndarray, up: np.ndarray) -> Iterator[tuple[int, int, pa.Array]]:
     """Slices (from, to, paths) of the rows with the path from each row's top down to it; ``up`` is the row above, -1 at
-    a top. A row that never reaches a top has no path."""
-    start, values, offsets = 0, [], [0]
+    a top, -2 where a row never reaches one and so has no path."""
+    start, values, offsets, up = 0, [], [0], up.tolist()
     for i in range(len(ids)):
-        path, at, steps = [], i, 0
-        while at >= 0 and steps <= len(ids):
+        path, at = [], i if up[i] != -2 else -1
+        while at >= 0:
             path.append(ids[at])
             at = up[at]
-            steps += 1
-        if at < 0:
-            values += path[::-1]
+        values += path[::-1]
         offsets.append(len(values))
         if len(values) >= PATH_ELEMENTS:
             yield start, i + 1, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.string()))
@@ -127,7 +125,7 @@ def _link_step(schema: pa.Schema, batch_rows: int):
                 yield from table.select(schema.names).cast(schema).to_batches()
                 continue
             up = _rows_above(keys, parents)
-            up[circle] = np.arange(n)[circle]  # leads nowhere
+            up[circle] = -2
             for start, end, paths in _paths(ids, up):
                 part = table.slice(start, end - start)
                 part = part.set_column(part.schema.get_field_index("_path"), "_path", paths)
