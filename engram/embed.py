@@ -16,7 +16,6 @@ from typing import Any, Protocol
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from engram.errors import EmbedderError
