@@ -44,7 +44,7 @@ NAME_LOOKALIKES = [
     "owner: platform team {}.", "Release codename {} {} is frozen.", "The {} {} dashboard is slow.", "{} {} 2 replaces it.", "Ask the {} team, Ltd. or Inc. alike.", "According to the log, it is slow.", "Assigned to nobody yet.",
     "Please thank the {} team for it.", "owner: none", "Signed, sealed and sent.", "cc the list on this", "Met with the {} team about search.", "The indexer reviewed the change", "Nobody reviewed the change", "Laut Protokoll läuft es.",
     "Gracias a la nota por el aviso.", "Every stored chunk reviewed the log", "ask for version 3.1", "by hand", "Run it with --limit=3.", "from source to sink", "The job ran from noon to dusk.", "Sorted by score.", "owner: data platform",
-    "M. le relecteur préfère la version 4.", "El Sr. revisor pidió la versión 2.", "Compare with app. 4.", "We compared it with fig. 4 in the {} memo.", "It was killed by the nightly job.", "Waiting for {} to finish.",
+    "M. le relecteur préfère la version 4.", "El Sr. revisor pidió la versión 2.", "La Sra. directora pidió más.", "The Dr. on call said no.", "Herr im Haus ist das Werkzeug.", "Compare with app. 4.", "We compared it with fig. 4 in the {} memo.", "It was killed by the nightly job.", "Waiting for {} to finish.", "Это ссылки и т. д. Он написал ответ.", "She wrote it down.", "They said no.", "He merged it.", "Er schrieb es auf.", "Ella dijo que no.", "Plan B. She wrote it.",
 ]
 MAIL_CONTEXTS = ["Mail me at {} if it stalls.", "The invite went to {}, please check.", "Forward the log to {} today.", "contact={}", "from: {}", "reply-to {} only", "Kontakt: {}", "Écrire à {} pour la suite.", "Write to {}.", "{}", "<{}>", "Forward the log to <mailto:{}> today."]
 MAIL_LOOKALIKES = ["@cached decorators broke.", "Pinned packlib@4.{}.2 for now.", "mailto links break at the dot before src/app.py.", "Look at the dot before it.", "git@host:repo/x is gone.", "Meet me at noon dot com style.", "It stops at the dot after line {}.", "user@host only", "See a@b and c."]
@@ -99,7 +99,7 @@ class Maker:
             text = text.lower()
         elif r.random() < 0.08:
             text = text.upper()
-        title = r.choice(["Dr. ", "Prof. ", "Mr. ", "Ms ", "Mrs. ", "Herr ", "Frau "]) if r.random() < 0.2 else ""
+        title = r.choice(["Dr. ", "Prof. ", "Mr. ", "Ms ", "Mrs. ", "Herr ", "Frau "]) if r.random() < 0.2 and not text.islower() else ""
         return title, text, ""
 
     def email(self) -> str:

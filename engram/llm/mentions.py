@@ -33,7 +33,7 @@ PLAIN |= dict.fromkeys((0x2010, 0x2011, 0x2012, 0x2013, 0x2212), 0x2D)
 # Words that come before a kind of information, or before what only looks like it.
 TLDS = frozenset("com org net edu gov mil int info biz io dev app ai co me eu uk us de fr es it nl be at ch se no dk fi pl cz pt gr ru ua jp cn kr in br mx ar au nz ca test example invalid local".split())
 NOT_MAIL = frozenset("a an the this that these those it is are was were be been look looks break breaks meet start starts stop stops only now here there at by in on of or and".split())
-MAIL_WORDS = frozenset("mail email e-mail mailto write contact kontakt écrire reply-to from to cc bcc address at me log invite send forward correo".split())
+MAIL_WORDS = frozenset("mail email e-mail mailto write contact kontakt écrire reply-to from to cc bcc address at me log invite send forward correo à".split())
 PHONE_WORDS = frozenset("tel phone telephone call ring llame al mobile cell fax number callback callback_number on-call is sms text whatsapp dial telefon anrufen rufnummer teléfono appeler тел телефон 電話 电话 전화".split())
 NOT_PHONE = frozenset("build ticket no lines line offset host id uuid trace ratio step version v row rows rate port page p item code order commit hash ref release bytes entries".split())
 STREET_EN = "Street|St|Road|Rd|Lane|Ln|Avenue|Ave|Crescent|Cres|Drive|Dr|Court|Ct|Way|Close|Square|Sq|Terrace|Place|Pl|Gardens|Boulevard|Blvd|Row|Mews|Parade|Highway|Hwy"
@@ -339,7 +339,7 @@ def _name_features(text: str, tokens: list[tuple[int, int]], left: str, title: b
             out.append("name:particle_last")
         if PARTICLE_ONLY.match(words[0]):
             out.append("name:particle_first")
-    if any(w.lower().rstrip(".") in NOT_NAME and not PARTICLE_ONLY.match(w) for w in words):
+    if any(w.lower().rstrip(".") in NOT_NAME and not PARTICLE_ONLY.match(w) and not (INITIAL.match(w) and w[0].isupper()) for w in words):
         out.append("name:common_word")
     cased = [w for w in core if w[0].isupper() or w[0].islower()]
     if not cased:
@@ -354,6 +354,8 @@ def _name_features(text: str, tokens: list[tuple[int, int]], left: str, title: b
         shape = "mixed"
     out.append(f"name:shape={shape}")
     out.append(f"name:{shape}:core={len(core)}")
+    if title:
+        out.append(f"name:title:{shape}")
     scripts = {"latin" if c < "ɐ" or "Ḁ" <= c < "ἀ" else "greek" if c < "Ѐ" else "cyrillic" if c < "԰" else "other" for w in core for c in w[:1]}
     if len(scripts) > 1:
         out.append("name:scripts")
