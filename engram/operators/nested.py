@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from engram.functions.text import JS_SPACE
+
 #: Keys whose string value is JSON itself and counts as the value in it.
 ENCODED_KEYS = frozenset({"arguments"})
 _MISSING = object()
@@ -81,7 +83,7 @@ def _record_nodes(content: str | None, usage: str | None):
         if value is _MISSING:
             continue
         if root == "content" and type(value) is str:
-            if value.strip():  # a string content is one text block
+            if value.strip(JS_SPACE):  # a string content is one text block
                 value = [{"type": "text", "text": value}]
             else:
                 continue
