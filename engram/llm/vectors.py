@@ -2,21 +2,26 @@
 
 Method: permutation index. A bounded sample of the vectors serves as pivots. Every vector is represented by the order of
 its nearest pivots and posted in the inverted files of the first few of them. Within a file, candidates are ranked by
-the footrule distance between the orders; the best of them are reranked by their exact cosine. Files are split into
-blocks, and every block of a file meets every other, so no task holds more than two blocks and no vector is left out.
-Groups (projects) of up to WHOLE blocks have a single file.
+the footrule distance between the orders; the best of them, and all that tie with the last of these, are reranked by
+their exact cosine. Files are split into blocks, and every block of a file meets every other, so no task holds more than
+two blocks and no vector is left out. Groups (projects) of up to WHOLE blocks have a single file.
+
+Vectors of one direction (copies) are indexed once per project, with the few smallest chunk_ids that anyone can need of
+them; a membership table gives the result back to every copy.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from engram.session import held
 
-#: Pivots in all: a bounded sample, the vectors with the smallest hashes.
+#: Pivots in all: a bounded sample, the distinct directions with the smallest hashes.
 PIVOTS = 512
 #: Files a vector is posted in, and that it looks up.
 POSTS = 4
@@ -26,7 +31,7 @@ PREFIX = 32
 BLOCK = 2_048
 #: Blocks up to which a project is one file: its few vectors near any one pivot would make its files too small.
 WHOLE = 4
-#: Candidates of a block that are reranked: at least RERANK, and at least this share of the block.
+#: Candidates of a block that are reranked: at least RERANK, and at least this share of the block, and all ties.
 RERANK = 1_024
 RERANK_SHARE = 0.5
 
@@ -56,6 +61,43 @@ def _matrix(column, dim: int) -> np.ndarray:
     return np.asarray(flat.flatten()).reshape(-1, dim)
 
 
+def _directions(dim: int):
+    """Adds direction, a digest of the unit vector (the same for exactly proportional vectors), and spread, one of the unit
+    vector in four decimals."""
+
+    def step(batches):
+        for b in batches:
+            x = _unit(_matrix(b.column("embedding"), dim)) + 0.0  # no negative zeros
+            digests = [[hashlib.blake2b(row.tobytes(), digest_size=16).digest() for row in y] for y in (x, np.round(x, 4) + 0.0)]
+            yield pa.RecordBatch.from_arrays(
+                b.columns + [pa.array(d, pa.binary()) for d in digests], names=[*b.schema.names, "direction", "spread"]
+            )
+
+    return step
+
+
+def _with_copies(usable: DataFrame, dim: int, k: int) -> DataFrame:
+    """Vectors with ``ids``, the k + 1 smallest chunk_ids of their direction in the project (null for one without copies),
+    and ``first``, the smallest of them: the vector that stands for all of them in the index.
+
+    k + 1 ids are enough: another direction can use k of them, a copy k besides itself.
+    """
+    directed = held(usable.select("project_id", "chunk_id", "embedding").mapInArrow(
+        _directions(dim), "project_id string, chunk_id string, embedding array<float>, direction binary, spread binary"
+    ))
+    place = F.row_number().over(Window.partitionBy("project_id", "direction").orderBy("chunk_id"))
+    copied = (
+        directed.select("project_id", "direction", "chunk_id", place.alias("place")).where(F.col("place") <= k + 1)
+        .groupBy("project_id", "direction").agg(F.sort_array(F.collect_list("chunk_id")).alias("ids"))  # at most k + 1 each
+        .where(F.size("ids") > 1)
+    )
+    return held(
+        directed.join(copied, ["project_id", "direction"], "left").select(
+            "project_id", "chunk_id", "embedding", "spread", "ids", F.coalesce(F.get("ids", F.lit(0)), "chunk_id").alias("first")
+        )
+    )
+
+
 def pivot_order(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     """For each row the numbers of its nearest pivots, nearest first."""
     sim = x.astype(np.float32) @ pivots.T
@@ -78,17 +120,21 @@ def _weights(order: np.ndarray, n_pivots: int) -> np.ndarray:
 
 
 def _search(q: dict, m: dict, n_pivots: int, k: int, head: int, posts: int):
-    """Best k members for each query of one pair of blocks: query, member, similarity."""
+    """Best k members of other directions for each query of one pair of blocks: query, member, similarity.
+
+    Members come in the order of their smallest ids. Of directions with equal similarity only the k with the smallest such
+    ids can give one of the best k, so k directions are opened in all.
+    """
     w = _weights(m["order"], n_pivots)
-    n = len(m["ids"])
+    n = len(m["own"])
     keep = max(RERANK, int(n * RERANK_SHARE))
     prefix = m["order"].shape[1]
     early = np.arange(prefix, 0, -1, dtype=np.uint8)[:, None]
     out_q, out_m, out_s = [], [], []
-    for i, own in enumerate(q["ids"]):
+    for i, own in enumerate(q["own"]):
         order = q["order"][i]
         closeness = np.minimum(w[order], early).sum(axis=0, dtype=np.int32)
-        closeness[m["ids"] == own] = -1
+        closeness[m["own"] == own] = -1
         if head >= 0:  # the pair is looked at in the first file of the query that has the member
             for p in order[:posts]:
                 if p == head:
@@ -96,7 +142,8 @@ def _search(q: dict, m: dict, n_pivots: int, k: int, head: int, posts: int):
                 closeness[w[p] > prefix - posts] = -1
         found = np.flatnonzero(closeness >= 0)
         if len(found) > keep:
-            found = found[np.argpartition(-closeness[found], keep - 1)[:keep]]
+            near = closeness[found]
+            found = found[near >= np.partition(near, len(near) - keep)[len(near) - keep]]  # with all ties
         if not len(found):
             continue
         sim = np.round(m["x"][found] @ q["x"][i], 9)
@@ -104,7 +151,8 @@ def _search(q: dict, m: dict, n_pivots: int, k: int, head: int, posts: int):
             edge = np.partition(sim, len(sim) - k)[len(sim) - k]
             close = sim >= edge
             found, sim = found[close], sim[close]
-        best = sorted(zip(-sim, m["ids"][found]))[:k]
+        opened = np.argsort(-sim, kind="stable")[:k]
+        best = sorted((-sim[j], b) for j in opened for b in m["ids"][found[j]])[:k]
         out_q += [own] * len(best)
         out_m += [b for _, b in best]
         out_s += [-s for s, _ in best]
@@ -114,11 +162,15 @@ def _search(q: dict, m: dict, n_pivots: int, k: int, head: int, posts: int):
 def _block_search(pivots: np.ndarray, dim: int, k: int, posts: int, prefix: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         project, head = key[0].as_py(), key[1].as_py()
+        own = np.array(table.column("chunk_id").to_pylist(), dtype=object)
+        rank = np.argsort(own)
+        own, table = own[rank], table.take(pa.array(rank))
         x = _unit(_matrix(table.column("embedding"), dim))
         order = pivot_order(x, pivots, prefix)
-        ids = np.array(table.column("chunk_id").to_pylist(), dtype=object)
+        ids = np.empty(len(own), dtype=object)
+        ids[:] = table.column("ids").to_pylist()
         query, member = (table.column(c).to_numpy(zero_copy_only=False) for c in ("as_query", "as_member"))
-        side = lambda rows: {"ids": ids[rows], "x": x[rows], "order": order[rows]}
+        side = lambda rows: {"own": own[rows], "ids": ids[rows], "x": x[rows], "order": order[rows]}
         found = _search(side(query), side(member), len(pivots), k, head, posts)
         return pa.table(
             {
@@ -141,8 +193,8 @@ def _post(pivots: np.ndarray, dim: int, posts: int):
             whole = b.column("whole").to_numpy(zero_copy_only=False)
             heads = [[-1] if w else o for w, o in zip(whole, order.tolist())]
             yield pa.RecordBatch.from_arrays(
-                [b.column(c) for c in ("project_id", "chunk_id", "embedding")] + [pa.array(heads, pa.list_(pa.int32()))],
-                names=["project_id", "chunk_id", "embedding", "heads"],
+                [b.column(c) for c in ("project_id", "chunk_id", "embedding", "ids")] + [pa.array(heads, pa.list_(pa.int32()))],
+                names=["project_id", "chunk_id", "embedding", "ids", "heads"],
             )
 
     return step
@@ -158,40 +210,48 @@ def nearest(
     neighbours like any others. Neighbours may be missed where neither lies in a file of the other; the share found is
     measured against brute force in the tests.
     """
-    usable = held(usable_vectors(vectors, dim))
-    sample = usable.orderBy(F.xxhash64("project_id", "chunk_id"), "project_id", "chunk_id").limit(n_pivots)  # bounded: n_pivots rows
+    marked = _with_copies(usable_vectors(vectors, dim), dim, k)
+    distinct = marked.where("chunk_id = first").withColumn("ids", F.coalesce("ids", F.array("chunk_id")))
+    chosen = distinct.select("spread").distinct().orderBy("spread").limit(n_pivots)  # near copies make no two pivots either
+    sample = distinct.join(F.broadcast(chosen), "spread").groupBy("spread").agg(F.min("embedding").alias("embedding"))  # bounded: n_pivots rows
+    sample = sample.orderBy("spread")
     rows = sample.select("embedding").collect()
     schema = "project_id string, query string, member string, sim double"
     if not rows:
-        return usable.sparkSession.createDataFrame([], schema)
+        return vectors.sparkSession.createDataFrame([], schema)
     pivots = _unit(np.array([r[0] for r in rows], dtype=np.float64)).astype(np.float32)
     posts = min(posts, len(pivots))
-    sizes = usable.groupBy("project_id").agg((F.count("*") <= WHOLE * block).alias("whole"))
-    posted = usable.join(sizes, "project_id").mapInArrow(
-        _post(pivots, dim, posts), "project_id string, chunk_id string, embedding array<float>, heads array<int>"
+    sizes = distinct.groupBy("project_id").agg((F.count("*") <= WHOLE * block).alias("whole"))
+    posted = distinct.drop("spread", "first").join(sizes, "project_id").mapInArrow(
+        _post(pivots, dim, posts), "project_id string, chunk_id string, embedding array<float>, ids array<string>, heads array<int>"
     )
-    entries = held(posted.select("project_id", "chunk_id", "embedding", F.explode("heads").alias("head")))
+    entries = held(posted.select("project_id", "chunk_id", "embedding", "ids", F.explode("heads").alias("head")))
     files = entries.groupBy("project_id", "head").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("chunk_id", "head"), F.col("blocks")).cast("int")
     placed = entries.join(files, ["project_id", "head"]).withColumn("own", own)
     # block (i, j): queries of i against members of j; a vector is a query in one row of blocks, a member in one column
     cells = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     as_query = placed.select("*", cells.alias("other")).select(
-        "project_id", "head", F.col("own").alias("i"), F.col("other").alias("j"), "chunk_id", "embedding",
+        "project_id", "head", F.col("own").alias("i"), F.col("other").alias("j"), "chunk_id", "embedding", "ids",
         F.lit(True).alias("as_query"), (F.col("own") == F.col("other")).alias("as_member"),
     )
     as_member = placed.select("*", cells.alias("other")).where("own <> other").select(
-        "project_id", "head", F.col("other").alias("i"), F.col("own").alias("j"), "chunk_id", "embedding",
+        "project_id", "head", F.col("other").alias("i"), F.col("own").alias("j"), "chunk_id", "embedding", "ids",
         F.lit(False).alias("as_query"), F.lit(True).alias("as_member"),
     )
     found = (
         as_query.unionByName(as_member).groupBy("project_id", "head", "i", "j").applyInArrow(_block_search(pivots, dim, k, posts, prefix), schema)
     )
+    pair = "array<struct<s:double,member:string>>"
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("s"), "member"))), 1, k)
+    near = found.groupBy("project_id", F.col("query").alias("first")).agg(best.alias("best"))  # at most k per block pair of at most ``posts`` files
+    none = F.array().cast(pair)
+    copies = F.coalesce(F.transform("ids", lambda c: F.struct(F.lit(-1.0).alias("s"), c.alias("member"))).cast(pair), none)
+    others = F.filter(F.concat(copies, F.coalesce("best", none)), lambda o: o["member"] != F.col("chunk_id"))
     return (
-        found.groupBy("project_id", "query")
-        .agg(best.alias("best"))  # at most k per block pair of at most ``posts`` files
-        .select("project_id", "query", F.explode("best").alias("b"))
+        marked.select("project_id", "chunk_id", "ids", "first")
+        .join(near, ["project_id", "first"], "left")
+        .select("project_id", F.col("chunk_id").alias("query"), F.explode(F.slice(F.array_sort(others), 1, k)).alias("b"))
         .select("project_id", "query", "b.member", (-F.col("b.s")).alias("sim"))
     )
 

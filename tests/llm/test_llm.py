@@ -93,6 +93,28 @@ def test_recall_with_files_and_blocks(spark):
     assert len(got) == 4500 and len(got & want) / len(want) > 0.95
 
 
+def test_many_copies_keep_the_smallest_ids(spark):
+    rng = np.random.default_rng(8)
+    hot = rng.normal(size=64).astype(np.float32)
+    x = rng.normal(size=(6000, 64)).astype(np.float32)
+    x[rng.permutation(6000)[:4000]] = hot
+    x[:3000:2] *= 2  # exactly proportional: copies as well
+    df = spark.createDataFrame([("p", f"c{i:04d}", v.tolist()) for i, v in enumerate(x)], "project_id string, chunk_id string, embedding array<float>")
+    got = {}
+    for r in nearest(df, dim=64).collect():
+        got.setdefault(int(r.query[1:]), set()).add(int(r.member[1:]))
+    u = x / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    copies = np.flatnonzero((np.round(u @ (hot / np.linalg.norm(hot.astype(np.float64))), 9) == 1))
+    assert len(copies) == 4000 and len(got) == 6000
+    for i in copies:
+        assert got[i] == set(copies[copies != i][:5].tolist())
+    single = np.setdiff1d(np.arange(6000), copies)
+    sim = np.round(u[single] @ u.T, 9)
+    sim[np.arange(len(single)), single] = -9
+    hits = sum(len(got[i] & set(np.argsort(-s, kind="stable")[:5].tolist())) for i, s in zip(single, sim))
+    assert hits / (5 * len(single)) > 0.95
+
+
 def test_vectors_of_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [("p", "a", [1.0, 0.0]), ("p", "a", [1.0, 0.0]), ("p", "b", [2.0, 0.0]), ("p", "c", [0.0, 3.0]), ("p", "d", [0.0, 0.0]), ("p", "e", [nan, 1.0]), ("p", "f", [inf, 1.0]),
