@@ -9,6 +9,7 @@ having been built together. ``label_nodes`` emits the labelled nodes, ``node_tab
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,13 +21,79 @@ from engram.functions.text import JS_SPACE
 #: Keys whose string value is JSON itself and counts as the value in it.
 ENCODED_KEYS = frozenset({"arguments"})
 _MISSING = object()
+_SPACE = re.compile(r"[ \t\n\r]*")
+_SCAN = json.JSONDecoder().scan_once
 
 
 def _decode(text):
     try:
         return json.loads(text)
-    except (ValueError, RecursionError):
+    except ValueError:
         return _MISSING
+    except RecursionError:  # too deep for the decoder of Python
+        try:
+            return _read_deep(text)
+        except ValueError:
+            return _MISSING
+
+
+def _read_deep(text: str):
+    """``json.loads`` for any depth: keeps its own stack of open objects and arrays, reads scalars with Python's scanner."""
+    skip = lambda i: _SPACE.match(text, i).end()
+    root: list = []
+    around = [root]
+    key = None
+
+    def read_key(i: int) -> int:
+        nonlocal key
+        if text[i : i + 1] != '"':
+            raise ValueError("no key")
+        key, i = _SCAN(text, i)
+        i = skip(i)
+        if text[i : i + 1] != ":":
+            raise ValueError("no colon")
+        return skip(i + 1)
+
+    at = skip(0)
+    while True:
+        mark = text[at : at + 1]
+        if mark and mark in "{[":
+            value, end = ({}, "}") if mark == "{" else ([], "]")
+            at = skip(at + 1)
+        else:
+            try:
+                value, at = _SCAN(text, at)
+            except StopIteration:
+                raise ValueError("no value") from None
+            end = None
+        if type(around[-1]) is dict:
+            around[-1][key] = value
+        else:
+            around[-1].append(value)
+        if end and text[at : at + 1] == end:
+            at += 1
+        elif end:
+            around.append(value)
+            if end == "}":
+                at = read_key(at)
+            continue
+        while True:  # behind a value
+            at = skip(at)
+            if len(around) == 1:
+                if at != len(text):
+                    raise ValueError("more than one value")
+                return root[0]
+            is_object = type(around[-1]) is dict
+            mark = text[at : at + 1]
+            if mark == ",":
+                at = skip(at + 1)
+                if is_object:
+                    at = read_key(at)
+                break
+            if mark != ("}" if is_object else "]"):
+                raise ValueError("not closed")
+            around.pop()
+            at += 1
 
 
 def label_document(root: str, value, encoded: frozenset = ENCODED_KEYS):

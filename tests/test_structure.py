@@ -9,7 +9,7 @@ import pytest
 from engram.operators.branches import active_chain
 from engram.operators.changes import ChangeStore, changed_leaves, merkle_leaves, merkle_tree, unseen
 from engram.operators.hierarchy import descendants, hierarchy
-from engram.operators.nested import label_document, label_nodes, nearest_container, node_tables
+from engram.operators.nested import _decode, _read_deep, label_document, label_nodes, nearest_container, node_tables
 
 EDGES = "g string, id string, up string, pos long, depth long, root_id string"
 
@@ -96,6 +96,30 @@ def test_labels_nest(spark):
     assert len(label_document("usage", deep)) == 501
 
 
+def test_records_deeper_than_the_decoder(spark):
+    depth = 20_000
+    text = "[" * depth + '{"a": [1, {}, "x\\n"], "b": {"c": null}}' + "]" * depth
+    with pytest.raises(RecursionError):
+        json.loads(text)
+    nodes = label_document("content", _decode(text))
+    assert len(nodes) == depth + 7 and sum(n[1] == "object" for n in nodes) == 3
+    assert _decode(text[:-1]) is _decode(text + "]") is _decode("no json")
+    assert len(label_document("usage", {"arguments": text})) == depth + 8
+    df = spark.createDataFrame([("f", text, None)], "source_uri string, content string, usage string")
+    assert label_nodes(df, ["source_uri"], objects_only=True).count() == 3
+
+
+def test_deep_reader_reads_as_json_does():
+    for text in ('{"a": [1, -2.5e3, true, null, NaN, "\\u00e9"], "b": {}, "a": [[], {}]}', " [ ] ", '"x"', "1", '[1,]', '{"a":1,}', '{"a" 1}', "[1 2]", "[1}", '{"a":1]', "", " ", "[", '{', '{"a":', "[1]x", "{1:2}", '["\n"]', "[,]", '{"a":,}'):
+        try:
+            want = repr(json.loads(text))
+        except ValueError:
+            with pytest.raises(ValueError):
+                _read_deep(text)
+        else:
+            assert repr(_read_deep(text)) == want
+
+
 def test_node_tables(spark):
     rows = [("k", '"hello"', None), ("k", '"  "', "{"), ("n", None, None), (None, '[{"type":"text","text":"\\ud800"}]', '{"a":{"b":null}}'), ("e", "", "3")]
     df = spark.createDataFrame(rows, "key string, content string, usage string")
