@@ -5,8 +5,8 @@ clause ends, white space and, where a stretch has none of these, between any two
 the text minimises the penalties of its cuts plus the squared deviation of the pieces from an even size, subject to the
 size limit; every piece but the first starts ``overlap`` bytes before the cut (at the next code point).
 
-To keep long texts linear, a stretch of ``limit`` / CELLS bytes offers only its boundaries of the strongest kind found
-there (the last of each such kind); the limit and the overlap hold exactly in any case.
+All boundaries are candidates. Only of the places between any two code points, a stretch of ``limit`` / CELLS bytes offers
+no more than its last, and only where it has no boundary; the limit and the overlap hold exactly in any case.
 """
 
 from __future__ import annotations
@@ -53,9 +53,10 @@ def _candidates(text: str, at: np.ndarray, cell: int) -> tuple[np.ndarray, np.nd
         ends = [m.end() for m in pattern.finditer(text)]
         penalty[ends] = cost
     cells = at[:-1] // cell  # the cell a position lies in
-    order = np.lexsort((np.arange(n), -penalty[:n], cells))  # within a cell: strongest kind last, of these the last one
-    last = np.flatnonzero(np.append(np.diff(cells[order]) != 0, True)) if n else np.array([], dtype=np.int64)
-    chosen = np.unique(np.concatenate([[0], order[last], [n]]))
+    natural = np.flatnonzero(penalty[:n] < ANYWHERE)
+    last = np.flatnonzero(np.append(np.diff(cells) != 0, True)) if n else np.array([], dtype=np.int64)
+    bare = last[~np.isin(cells[last], cells[natural])]
+    chosen = np.unique(np.concatenate([[0], natural, bare, [n]]))
     return chosen, penalty[chosen]
 
 

@@ -175,6 +175,12 @@ def test_split_rows(spark):
     assert split_texts(df.limit(0), ["key"]).count() == 0
 
 
+def test_every_boundary_may_be_chosen():
+    # two line ends in one stretch of 120 bytes; only the earlier keeps the first piece within the limit
+    text = "a" * 4094 + "\n" + "b" * 20 + "\n" + "c" * 3000
+    assert split_points(text, 4096, 256)[0] == (0, 4095)
+
+
 # --- packing ----------------------------------------------------------------------------------------------------------
 def test_plan_fills_and_keeps_all():
     rng = random.Random(2)
