@@ -19,14 +19,32 @@ from pyspark.sql import functions as F
 from engram.session import held
 
 CAPACITY = 4_096
-#: Lengths tried as the first of a triple.
-TRIPLES = 12
 #: Parts that texts of one length are numbered in, so that a length that many texts share is no single task.
 SALTS = 64
 
 
-def _complement(gap: int, left: np.ndarray) -> list[int] | None:
-    """One, two or three lengths with counts left that fill the gap exactly."""
+class _PairSums:
+    """How many ordered pairs of the lengths present have each sum, up to the capacity. Lengths only ever run out."""
+
+    def __init__(self, left: np.ndarray):
+        self.present = left > 0
+        self.count = np.zeros(len(left), dtype=np.int64)
+        for a in np.flatnonzero(self.present):
+            self.count[a:] += self.present[: len(left) - a]
+
+    def drop(self, a: int) -> None:
+        n = len(self.present) - a
+        self.count[a:] -= 2 * self.present[:n]
+        if a < n:
+            self.count[2 * a] += 1  # the pair of a with itself was counted once
+        self.present[a] = False
+
+
+def _complement(gap: int, left: np.ndarray, sums: np.ndarray) -> list[int] | None:
+    """One, two or three lengths with counts left that fill the gap exactly.
+
+    ``sums`` is above 0 at least for all sums of two lengths left; the counts of a triple are checked after the look-up.
+    """
     if gap < len(left) and left[gap]:
         return [gap]
     have = np.flatnonzero(left[: gap + 1])
@@ -47,9 +65,9 @@ def _complement(gap: int, left: np.ndarray) -> list[int] | None:
     found = pair(gap, gap)
     if found:
         return found
-    for a in have[::-1][:TRIPLES]:
+    for a in have[sums[gap - have] > 0][::-1]:
         left[a] -= 1
-        found = pair(gap - int(a), int(a)) if gap - a >= 2 else None
+        found = pair(gap - int(a), int(a))
         left[a] += 1
         if found:
             return [int(a), *found]
@@ -65,6 +83,7 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int],
     for length, n in histogram.items():
         left[length] += n
     out: list[tuple[dict[int, int], int]] = []
+    sums = _PairSums(left)
     top = capacity
     while True:
         while top > 0 and not left[top]:
@@ -74,7 +93,7 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int],
         items, gap = {top: 1}, capacity - top
         left[top] -= 1
         while gap:
-            more = _complement(gap, left)
+            more = _complement(gap, left, sums.count)
             if more is None:  # best fit: the longest that still goes in
                 fits = np.flatnonzero(left[: gap + 1])
                 fits = fits[fits > 0]
@@ -88,6 +107,8 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int],
         more_times = min(int(left[length]) // k for length, k in items.items())
         for length, k in items.items():
             left[length] -= k * more_times
+            if not left[length]:
+                sums.drop(length)
         out.append((items, 1 + more_times))
 
 

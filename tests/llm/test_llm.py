@@ -200,6 +200,15 @@ def test_plan_fills_and_keeps_all():
         assert sum(t for _, t in patterns) <= math.ceil(least) * 1.01 + 1
 
 
+def test_triple_behind_a_dozen_longer_lengths():
+    histogram = {500: 1, 200: 1, 180: 1, 120: 1} | {n: 1 for n in range(401, 413)}
+    assert ({500: 1, 200: 1, 180: 1, 120: 1}, 1) in plan(histogram, 1000)
+
+
+def test_triple_needs_enough_of_each_length():
+    assert plan({60: 1, 20: 1, 10: 1}, 100) == [({60: 1, 20: 1, 10: 1}, 1)]  # 20 + 10 + 10 would fill the gap
+
+
 def test_pack_rows(spark):
     rng = random.Random(8)
     sizes = [(i, rng.choice([0, None, 7, 7, 7, 30, rng.randrange(1, 101), rng.randrange(100, 900)]), "x") for i in range(2000)]
