@@ -100,20 +100,21 @@ INITIAL = re.compile(r"[^\W\d_]\.$")
 HINTS = {
     "name_left": tuple(
         "assigned to |according to |thank |thanks to|met with |meet with |talk to |talked to |spoke with |spoke to |ask |asked |signed|regards|owner: |author: |assignee: |"
-        "reviewer: |reviewed by|approved by|written by|reported by|filed by|fixed by|-off-by|off by|contact: |attn|cc |cc: |dear | hi |hello |hola |gracias a |según |laut |"
+        "reviewer: |reviewed by|approved by|written by|reported by|filed by|fixed by|-off-by|off by|contact: |attn|cc |cc: |dear |hi |hello |hola |gracias a |según |laut |"
         "danke an |gemäß |selon |merci à |d'après |gesprochen mit |escribe a |спасибо |согласно |по словам |name: |nombre: |nom: |invited |pinged |ping ".split("|")
     ),
     "name_title": tuple(
-        "dr. |dr |prof. |prof |mr. |mr |mrs|ms. |ms |miss |mx. |mx |sir |herr |frau |sr. |sr |sra|srta|don |doña |mme|mlle|dott|ing. |rev. |hon. |г-н |г-жа |д-р".split("|")
+        "dr. |dr |prof. |prof |mr. |mr |mrs|ms. |ms |miss |mx. |mx |sir |herr |frau |sr. |sr |sra|srta|don |doña |mme|mlle|dott|ing |ing. |rev |rev. |hon |hon. |г-н |г-жа |д-р".split("|")
     ),
     "name_right": tuple(f" {w}" for w in "reviewed approved wrote said merged fixed reported confirmed noticed schrieb dijo escribió написал".split()),
     "honorific": tuple(HONORIFIC.split("|")),
     "id": ("ssn", "s.s.n", "soc", "insurance n", "national ", "ni n", "nino", "passport", "passnummer", "reisepass", "pasaporte", "passeport", "ausweis", "dni", "nie", "nif", "documento", "tax id", "steuer", "id n", "id c", "identity ", "licen", "паспорт", "снилс", "инн"),
-    "number_first": tuple(f" {w.lower()}{end}" for w in STREET_EN.split("|") for end in (" ", ".", ",", "\n", ";", ")")),
+    "number_first": tuple(f" {w.lower()}" for w in STREET_EN.split("|")),
     "french": tuple(f" {w} " for w in STREET_FR.split("|")),
     "german": tuple(f"{w} " for w in STREET_DE.replace("\\", "").split("|")),
-    "spanish": ("calle ", "c/ ", "avenida ", "avda", "plaza ", "paseo ", "camino ", "carrera ", "ronda ", "via ", "viale ", "piazza ", "corso ", "rua ", "travessa ", "ulica ", "ul. ", "улица ", "ул. ", "проспект ", "пр. "),
+    "spanish": ("calle", "c/", "avenida", "avda", "plaza", "paseo", "camino", "carrera", "ronda", "via", "viale", "piazza", "corso", "rua", "travessa", "ulica", "ul.", "улица", "ул.", "проспект", "пр."),
 }
+BRACKETED_AT = re.compile(r"[\[({<][ ]?(?:at|@)[ ]?[\])}>]")
 PHONE_HINT = re.compile(r"\d[\d ()./-]{4,}\d")
 
 
@@ -160,7 +161,7 @@ def _email_candidates(text: str, low: str, hints: set[str]):
             start = m.start()
             local, domain = m[0].rsplit("@", 1)
             yield start, m.end(), "email", _email_features(text, start, m.end(), local, domain.split("."), "plain")
-    if (" at " in low and "dot" in low) or "at]" in low or "(at" in low or "[at" in low or "at)" in low or "@" in low and "dot" in low:
+    if (" at " in low and "dot" in low) or "at]" in low or "(at" in low or "[at" in low or "at)" in low or "@" in low and "dot" in low or BRACKETED_AT.search(low):
         at = 0
         while m := HIDDEN_EMAIL.search(text, at):  # matches may overlap: a word before may look like a local part
             at = m.end(1)

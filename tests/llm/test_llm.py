@@ -10,7 +10,7 @@ import pytest
 import __spark_entry__ as entry
 from engram.llm import mention_training
 from engram.llm.conversations import ANSWERED, BROKEN, START, conversations, run_automaton
-from engram.llm.mentions import find_mentions, mentions, normal_form, redact, redacted, trained_weights
+from engram.llm.mentions import candidates, find_mentions, mentions, normal_form, redact, redacted, trained_weights
 from engram.llm.mixing import block_plan, mix, quotas, shares, splitting_tree
 from engram.llm.packing import fill_report, pack, plan
 from engram.llm.sentences import N_STATES, blocks, sentence_ends, sentences, transduce
@@ -37,6 +37,17 @@ def test_training_is_repeatable():
     assert a == b
 
 
+def test_hints_let_through_what_the_patterns_match():
+    texts = {
+        "name": ("Hi Maria Lopez, see below.", "(hi Maria Lopez)", "Ing Rossi", "Rev Green", "Hon Green"),
+        "address": ("Is it 12 Oak Street?", '"12 Oak Street"', "12 Oak Street!", "C/Mayor 12", "ул.Ленина 5"),
+        "email": ("jo {at} team.test", "jo <at> team.test", "jo [@] team.test", "jo (@) team.test"),
+    }
+    for kind, some in texts.items():
+        for text in some:
+            assert any(c[2] == kind for c in candidates(text)), text
+
+
 def test_mention_kinds():
     text = ("Mail me at Jo.Doe+x@Mail.Example if it stalls. Call +49 (30) 23125-204 before. SSN 000-12-3456. Ship it to 12 Elmwick Street, Apt 3. "
             "Assigned to Dr. Runa Valdemoor. Kontakt: jo (at) team [dot] test\nAssigned to 森川 陽太さん. cc Doe, Runa on this")
