@@ -9,15 +9,17 @@ from __future__ import annotations
 import json
 import math
 import random
+import re
 from bisect import bisect_right
 from collections import defaultdict
 from pathlib import Path
 
+from engram.llm.mention_words import CHINESE, GIVEN, JAPANESE, KOREAN
 from engram.llm.mentions import candidates, decode, plain
 
-EXAMPLES = 6_000
+EXAMPLES = 16_000
 EPOCHS = 12
-RATE = 0.25
+RATE = 0.2
 L2 = 1e-4
 SEED = 7
 
@@ -28,35 +30,65 @@ CYR = "Анна Борис Вера Глеб Дарья Егор Зоя Игор
 CYR_SUR = "Берёзкин Волгина Громов Дубова Ершов Жилина Зорин Калинин Лугова Морев Носова Орлов Полева Рыбин Соснова".split()
 KANJI = ["森川 陽太", "白石 美咲", "高橋 蓮", "小野寺 楓", "三浦 湊", "長谷川 結衣", "青木 陸", "藤原 葵", "김 서연", "이 도현"]
 TAILS = [
-    "", "", "", "\n", " The cache was empty.", " Every row came twice.", " Is 4.2.1 stable?", " It failed again.", " Die Suche läuft weiter.", " Der Lauf war langsam.",
-    " La nota queda igual.", " El lector falla.", " Le projet avance.", " Индекс пропускает строки.", " Проект читает записи.", " 索引は最新です。", " 请安装新版本。",
-    " Το έργο προχωρά.", " المشروع جاهز.", " สาขาเก่าเก็บรายการครับ", " सूचकांक ठीक है।", " jsonl input stays open.", " v4.10.3 판을 쓰세요.", " She left early.", " \"Why 9?\" he asked.",
-    " Our tool reads it.", " A stale row was kept.", " Should it return the parent?", " This step drops it.", " Can we keep it?", " Das Werkzeug liest alles.", " Chaque ligne compte.",
-]
-HEADS = ["", "", "", "The table is fine. ", "It failed on Sat. night. ", "Das Projekt wartet. ", "La nota está lista. ", "索引は最新です。 ", "- ", "Ok! ", "Note:\n", "Индекс готов. ", "Is it done? ", "See lines 12-40. "]
+    "", "", "", "\n", " Lunch is at noon.", " We ran out of paper.", " Is the lift working again?", " Nothing else happened.", " Morgen regnet es wohl.", " Der Zug kam zu spät.",
+    " La tienda cierra pronto.", " El jardín está seco.", " Le musée ferme lundi.", " Погода хорошая.", " Поезд опоздал на час.", " 明日は雨です。", " 超市九点开门。",
+    " Το τρένο άργησε.", " السوق مغلق اليوم.", " ร้านปิดแล้วครับ", " दुकान बंद है।", " 가게가 문을 닫았다.", " He stayed until ten.", " \"Why so late?\" she said.",
+    " Our garden needs water.", " Two chairs are missing.", " Will the bus stop here?", " That recipe never works.", " May we open a window?", " Das Brot ist frisch.", " Chaque soir il pleut.", " Then the lights went out.", " A plate fell.", " I left early.", " L’hiver fut long.", " L'eau est froide.", " Y nadie vino.", " I am tired.",
+]
+HEADS = ["", "", "", "", "The soup was cold. ", "They met on Sun. evening. ", "Der Garten blüht. ", "La puerta está abierta. ", "今日は休みです。 ", "- ", "Well! ", "Agenda:\n", "Дом продан. ", "Are we late? ", "Bring 12 plates. "]
 
+# Sentences with a name: first with a cue, then without any.
 NAME_CONTEXTS = [
-    "Assigned to {}.", "According to {}, it is slow.", "Please thank {} for the fix.", "{} reviewed the patch.", "{} reviewed the change", "{} approved the patch.", "Gracias a {} por la ayuda.", "Gracias a {} por el aviso.",
-    "Signed, {}", "owner: {}", "author: {}", "reviewer: {}", "cc {} on this", "Met with {} about search.", "Laut {} geht es.", "Laut {} läuft es.", "Talk to {} about this.", "Thanks to {} for the trace.", "{} wrote the parser.",
-    "{} said it works.", "assignee: {}", "Reported by {}.", "According to {}, it works.", "Please thank {} for the trace.", "Signed, {}", "owner: {}", "cc {} on this",
+    "The case was assigned to {}.", "According to {}, prices will rise.", "A big thank you to {} and the kitchen.", "We want to thank {} warmly.", "Thanks to {} nobody got hurt.", "Kind regards, {}", "Yours sincerely, {}", "Signed, {}",
+    "Author: {}", "owner: {}", "assignee: {}", "reviewer: {}", "Contact: {}", "cc: {}", "cc {} please", "Attn: {}", "Dear {},", "Hello {},", "We met with {} on the terrace.", "I spoke with {} last night.", "You should talk to {} first.",
+    "The report was written by {}.", "Reviewed by {}.", "Approved by {} and the board.", "The form was filed by {}", "Según {}, el tren no sale.", "Gracias a {} llegamos bien.", "Laut {} bleibt es trocken.", "Laut {} kam niemand.", "Laut {} sagte er nichts.", "Según {} vive cerca.", "Selon {} habite ici.", "Danke an {} im dritten Stock.", "Selon {}, la route est barrée.",
+    "Merci à {} et bonne soirée.", "Спасибо {} и всем остальным.", "По словам {}, магазин закрыт.", "Nombre: {}", "name: {}", "{}", "From: {}", "To: {}", "On behalf of {}, I accept.", "I am {} from the bakery.", "My name is {}.", "Mein Name ist {}.", "Me llamo {} y vivo aquí.",
+    "Je m'appelle {}.", "Mi chiamo {}.", "Меня зовут {}.",
+]
+PLAIN_NAME_CONTEXTS = [
+    "{} and {} arrived together.", "{} attended the wedding.", "{} lives in Oslo now.", "I had dinner with {} on Friday.", "Our dentist is {}, born 1961.", "{} called about the roof.", "{} phoned twice.", "Please pass this to {} in the pharmacy.", "Please forward the keys to {}.",
+    "Contact {} at the reception.", "The winner was {}.", "A letter from {} came today.", "The house belongs to {} and her sons.", "{} was late again.", "{} is on holiday until May.", "{}'s bicycle is gone.", "Yesterday {} sold the boat.", "The neighbours {} and {} are away.",
+    "Ask {} for the recipe.", "{}, who sings in the choir, has moved.", "Invite {}, {} and {} as well.", "They hired {} as a cook.", "The nurse {} came in.", "My uncle {} repairs clocks.", "He married {} in 1998.", "\"No,\" said {} and left.", "I saw {} at the market.", "{} wrote three novels.",
+    "{} said nothing at all.", "{} reviewed the menu", "{} approved the budget.", "{} fixed the fence", "Mit {} war ich im Kino.", "{} wohnt in Graz.", "{} hat gewartet.", "{} hat das Fenster geschlossen.", "Frau Doktor sah {} gestern.", "{} vive en Sevilla.", "Ayer vi a {} en la plaza.", "La carta de {} llegó tarde.",
+    "{} habite à Lyon.", "J'ai vu {} au marché.", "Le voisin {} est parti.", "{} lavora a Torino.", "{} mora em Braga.", "Вчера {} купил лодку.", "{} живёт в Твери.", "Письмо от {} пришло.", "Minutes taken by {}", "Present: {}, {}, {}", "{} (chair) opened the meeting.", "The pilot, {}, was unhurt.",
+    "Interview with {}", "Tell {} I said hello.", "Happy birthday, {}!", "{} has two cats.", "{} will cook tonight.", "Was {} there?", "He works for {} in the harbour.", "Dinner: {}, {}", "That was {}.", "{} died in 1932.",
 ]
 NAME_LOOKALIKES = [
-    "owner: platform team {}.", "Release codename {} {} is frozen.", "The {} {} dashboard is slow.", "{} {} 2 replaces it.", "Ask the {} team, Ltd. or Inc. alike.", "According to the log, it is slow.", "Assigned to nobody yet.",
-    "Please thank the {} team for it.", "owner: none", "Signed, sealed and sent.", "cc the list on this", "Met with the {} team about search.", "The indexer reviewed the change", "Nobody reviewed the change", "Laut Protokoll läuft es.",
-    "Gracias a la nota por el aviso.", "Every stored chunk reviewed the log", "ask for version 3.1", "by hand", "Run it with --limit=3.", "from source to sink", "The job ran from noon to dusk.", "Sorted by score.", "owner: data platform",
-    "M. le relecteur préfère la version 4.", "El Sr. revisor pidió la versión 2.", "La Sra. directora pidió más.", "The Dr. on call said no.", "Herr im Haus ist das Werkzeug.", "Compare with app. 4.", "We compared it with fig. 4 in the {} memo.", "It was killed by the nightly job.", "Waiting for {} to finish.", "Это ссылки и т. д. Он написал ответ.", "She wrote it down.", "They said no.", "He merged it.", "Er schrieb es auf.", "Ella dijo que no.", "Plan B. She wrote it.",
+    "Project {} {} starts in May.", "The {} {} festival is open.", "Lake {} dried up.", "We crossed the {} {} bridge.", "{} {} Ltd. sells tea.", "A {} {} washing machine broke.", "The city of {} is large.", "They drove from {} to {}.", "{} Street is closed.", "{} University opened a lab.",
+    "The {} River rose.", "Flights to {} are late.", "Version {} {} 2 is out.", "The {} team won.", "Ask the {} team, please.", "owner: {} company", "owner: none", "owner: kitchen staff", "assigned to nobody", "According to the weather report, it rains.", "Please thank the {} club for it.", "Thank you for the tea.",
+    "Signed and sealed.", "cc everyone on this", "We met with the {} board.", "The cook reviewed the menu", "Nobody approved the budget.", "Every guest said yes.", "Laut Wetterbericht regnet es.", "Laut Fahrplan fährt er.", "Gracias a la lluvia crece todo.", "Selon la météo, il pleut.",
+    "a letter from last month", "the note from next door", "a message from the board", "an email from last night", "a call with two guests", "sent to every guest", "from house to house", "from the top", "by train", "by hand", "to be continued", "Run from noon to dusk.", "Sorted by size.", "El Sr. alcalde habló.", "La Sra. doctora llegó.", "The Dr. on duty slept.", "Herr im Haus ist der Hund.", "M. le maire est parti.", "Compare it with fig. 3.", "We saw it in the {} catalogue.",
+    "It is run by the {} bank.", "Waiting for {} to dry.", "He wrote it down.", "She said no.", "They merged it.", "Er schrieb viel.", "Ella dijo que sí.", "Он написал письмо.", "Plan C. She said no.", "Model T. It sold well.", "Ask for the green one.", "Hi all, dinner is ready.", "Hello everyone,", "Dear customer,",
+    "Das Neue {} Werk ist fertig.", "Die Alte Mühle steht noch.", "El Nuevo {} abre hoy.", "Le Grand {} ferme.", "The Old Town Hall is shut.", "White House officials met.", "Golden Gate Park is green.", "Monday Morning News", "Terms And Conditions", "Table Of Contents", "High Blood Pressure", "GREEN TEA SALE", "NO ENTRY",
+    "Christmas Eve dinner", "South {} wins again", "North {} Railway", "In {} it snows.", "{} beats {} 3:1.", "A {} {} costs nine euros.", "Read the {} Times.", "{} {} Award goes to a cook.", "Operation {} {} began.", "{} Airport is shut.", "The {} column is empty.", "The codename is {} {}.",
+    "The ship {} {} sank.", "{} {} Foundation pays.", "Der {} {} Verein lädt ein.", "La empresa {} {} cerró.", "La société {} {} recrute.", "{} {} GmbH liefert.", "Wait for {} {} support.", "Restart {} {} before noon.", "Open {} {} and press start.", "name: {}_{}", "author: unknown", "author: the editors",
+    "from: noreply", "to: all staff", "contact: front desk", "We use {} {} as our scheduler.", "The {} {} dashboard broke.", "The {} {} plugin is old.", "{} {} 3 replaces it.", "release {} {} is delayed",
 ]
-MAIL_CONTEXTS = ["Mail me at {} if it stalls.", "The invite went to {}, please check.", "Forward the log to {} today.", "contact={}", "from: {}", "reply-to {} only", "Kontakt: {}", "Écrire à {} pour la suite.", "Write to {}.", "{}", "<{}>", "Forward the log to <mailto:{}> today."]
-MAIL_LOOKALIKES = ["@cached decorators broke.", "Pinned packlib@4.{}.2 for now.", "mailto links break at the dot before src/app.py.", "Look at the dot before it.", "git@host:repo/x is gone.", "Meet me at noon dot com style.", "It stops at the dot after line {}.", "user@host only", "See a@b and c."]
-PHONE_CONTEXTS = ["Call {} before you restart it.", "Ring {} after lunch.", "tel {}", "phone: {}", "On-call number is {}.", "callback_number=\"{}\"", "Llame al {}.", "Text {} if it fails.", "fax {}", "mobile: {}", "Tel.: {}", "My number: {}."]
+HEADING_LOOKALIKES = ["# Green Salad\n", "## {} {}\n", "## {} {}\n\n", "## {} {}", "## Winter {}\n", "### Summer {} Plans\n", "# {} {}\n", "* {} {}: nine euros", "| {} {} | 12 |", "{}, {}, {} usw.", "Brot, Käse usw.", "Suppe, Salat etc.", "Hüte, Schuhe und so weiter"]
+EAST_NAMES = [
+    "{ja}さんに電話した。", "{ja}様、お世話になります。", "{ja}氏は欠席です。", "{ja}先生が来た。", "昨日{ja}さんと会った。", "担当は{ja}さんです。", "{ja_pair}は欠席です。", "{zh}写了一封信。", "{zh}说今天下雨。", "请联系{zh}。", "感谢{zh}的帮助。", "{zh}负责厨房。", "同事{zh}请假了。", "{zh}住在南京。", "{zh}已经回家。", "{ko} 씨가 왔다.", "{ko}님께 전화했다.", "Thanks to {ja}さん we won.", "According to {ja}さん, it rains.",
+]
+EAST_LOOKALIKES = [
+    "皆さん、お待ちください。", "お客さんが来た。", "お父さんは留守です。", "店員さんに聞いた。", "高速公路已经开通。", "王国的历史很长。", "马上出发。", "方法很简单。", "金色的花开了。", "石头很重。", "白天很热。", "程序已经停止。", "毛衣很贵。", "请安静。", "请马上回来。", "感谢大家。", "与方法有关。", "何时开门？", "何处可以停车？", "任何人都可以来。", "黄金价格上涨。",
+    "江水很冷。", "叶子落了。", "史书写了这件事。", "高山雪很多。", "손님이 왔다.", "선생님께 물었다.", "和平很重要。", "由于下雨，比赛取消。", "夏天到了。", "周末休息。", "严重的问题。", "陈旧的记录已删除。", "高效的方法。", "余下的部分。", "孔径很小。", "万一失败。", "许多人来了。", "方案已经通过。", "程度不同。", "金额已经核对。",
+]
+MAIL_CONTEXTS = ["Drop a line to {} by Friday.", "Invoices go to {}, thanks.", "Please cc {} on all bills.", "email={}", "from: {}", "reply-to: {}", "Kontakt: {}", "Correo: {}", "Écrivez à {} svp.", "Write to {}.", "{}", "<{}>", "See <mailto:{}> for tickets."]
+MAIL_LOOKALIKES = ["@everyone dinner is ready.", "We bought 4@2.{} each.", "Turn left at the dot before the river.", "Look at the dot on the map.", "ssh root@cellar:22 is closed.", "See you at noon dot sharp.", "Stop at the dot after page {}.", "cook@home is a slogan", "Rate a@b and b@c.", "They meet at two dot five."]
+PHONE_CONTEXTS = ["Dial {} for a table.", "Ring {} in the evening.", "tel {}", "phone: {}", "Her number is {}.", "callback=\"{}\"", "Telefonee al {} mañana.", "Text {} on arrival.", "fax {}", "mobile: {}", "Tel.: {}", "Telefon {}", "Call us: {}.", "Rufen Sie {} an.", "Appelez le {}."]
 PHONE_LOOKALIKES = [
-    "Build 20{:02d}0510{} passed.", "Ticket No. 20-{}-{} is closed.", "Offset 555-{} of the dump is bad.", "See lines 1204-12{}.", "Look at 0x00{}-{} in the dump.", "Host 192.0.2.{} timed out.", "uuid 5d0c{}f7e-79{}-4b1a-9e00-00aa2145.",
-    "Trace id 7f3e-10{}-aa01-9c.", "Ratio 20 {} at step 9{}.", "tel column has {} nulls.", "Version 10.{}.{}", "2024-0{}-1{} 05:06", "call(\"x\", {})", "The ratio was 15.82:1, not 79{}.", "| 12 | {} | 13.90 | 4{} |", "Order 100{}200{} shipped.", "Commit 77{}1234{} landed.",
+    "Batch 20{:02d}0612{} was sold.", "Receipt No. 20-{}-{} was paid.", "Locker 555-{} is empty.", "Seats 1204-12{} are taken.", "ISBN 978-3-16-{}-0", "Server 10.0.3.{} is down.", "Serial 7b2a{}f0c-81{}-4d2b-8e11-11bb3256.", "Part 4c9d-20{}-bb12-8a.",
+    "Odds 30 {} on day 7{}.", "The phone column had {} gaps.", "Model 12.{}.{}", "2021-0{}-1{} 07:45", "dial(\"y\", {})", "It scored 14.62:1, not 81{}.", "| 11 | {} | 12.70 | 5{} |", "Parcel 200{}300{} arrived.", "Card 66{}4321{} expired.", "Room 204-{} is free.", "Flight 20-{}-{} left.", "Page 12 {} to 45 {}.", "Invoice 2020-{}-{}.",
+    "Offset 77{} to 88{}.", "Line 1200 {} 14.", "Account 12345{}678{}.",
 ]
-ID_CONTEXTS = ["His record lists {}.", "The form still shows {}.", "Row had {} in plain text.", "value: {}", "{}", "Scan of {} attached.", "Her file says {}."]
-ID_LOOKALIKES = ["The SSN column is empty now.", "passport middleware 6.{}.0 was removed.", "The insurance no. field has {} nulls.", "NINO checks take 12{} ms.", "DNI parsing skips {} rows.", "ID 4{} is stale.", "Ref AB 12 was lost.", "id number {} of 90"]
-ADDRESS_CONTEXTS = ["Ship the test device to {}.", "She lives at {} now.", "The office moved to {}.", "addr: {}", "Lieferung an {}.", "Livrer au {} avant midi.", "meet at {} (back door)", "address: {}", "He lived in {}."]
-ADDRESS_LOOKALIKES = ["Meet at step {}, street view is off.", "Queue lane {} and road map item 4 wait.", "Got {} worker threads.", "Use {}, rue it later.", "Der Weg {} ist lang.", "Der 12. Versuch gelang!", "Am 5. Mai lief es.", "Zeile {} fehlt.", "La Calle está vacía {}."]
+ID_CONTEXTS = ["The file shows {}.", "On the form stands {}.", "It had {} in clear.", "field: {}", "{}", "A copy of {} is enclosed.", "The clerk noted {}."]
+ID_LOOKALIKES = ["The passport office closes at {}.", "SSN fields are hidden.", "passport photos cost {} euros.", "The insurance no. is missing {} times.", "NINO letters take 14{} days.", "DNI offices open at {}.", "ID 7{} is free.", "Gate CD 14 was shut.", "id number {} of 80", "Der Ausweis kostet {} Euro."]
+ADDRESS_CONTEXTS = ["Send the parcel to {}.", "He lives at {} now.", "The shop moved to {}.", "address: {}", "Paket an {}.", "Livrez au {} ce soir.", "We met at {} (side door)", "addr: {}", "She lived in {}.", "Mi casa está en {}.", "{}"]
+ADDRESS_LOOKALIKES = ["Stop at point {}, the road view is bad.", "Lane {} and track 5 are shut.", "She got {} old chairs.", "Add {}, stir it later.", "Der Weg {} war steil.", "Der 11. Stock ist leer!", "Am 6. Juni war es heiß.", "Tisch {} ist belegt.", "La Calle está sucia {}.", "5 Star Way of cooking", "Der Ring {} fehlt."]
+
+
+LISTED = re.compile(r"\{\} (?:reviewed|approved|fixed|wrote|merged|reported|confirmed|noticed|schrieb|dijo|написал)\b")
+#: Lists with an order, so that a seed gives the same sample in every process.
+LATIN_GIVEN, LISTED_JAPANESE = sorted(GIVEN), sorted(JAPANESE)
 
 
 class Maker:
@@ -69,7 +101,7 @@ class Maker:
     def digits(self, n: int) -> str:
         return "".join(self.r.choice("0123456789") for _ in range(n))
 
-    def name(self) -> tuple[str, str, str]:
+    def name(self, known: float = 0.4, odd: bool = True) -> tuple[str, str, str]:
         """What stands before the name, the name, what stands behind it."""
         r = self.r
         kind = r.random()
@@ -77,7 +109,8 @@ class Maker:
             return "", f"{r.choice(CYR)} {r.choice(CYR_SUR)}", ""
         if kind < 0.13:
             return "", r.choice(KANJI), r.choice(["さん", "さん", "様", "氏"])
-        first, last = self.word(2), self.word(2)
+        first = r.choice(LATIN_GIVEN).capitalize() if r.random() < known else self.word(2)
+        last = self.word(2)
         if r.random() < 0.12:
             first = r.choice("ÉÅØŁÖ") + first[1:].lower()
         if r.random() < 0.1:
@@ -88,20 +121,53 @@ class Maker:
             last = r.choice(["de ", "van der ", "von ", "Ní ", "van ", "di "]) + last
         form = r.random()
         if form < 0.16:
-            text = f"{first[0]}. {last}"
+            text = f"{first[0]}. {last}" if r.random() < 0.75 else f"{first[0]}. {r.choice('ABCDEHJMR')}. {last}"
         elif form < 0.26:
             text = f"{first} {r.choice('ABCDEHJM')}. {last}"
-        elif form < 0.38:
+        elif form < 0.38 and odd:
             text = f"{last}, {first}"
         else:
             text = f"{first} {last}"
-        if r.random() < 0.12:
+        if odd and r.random() < 0.25:
             text = text.lower()
-        elif r.random() < 0.08:
+        elif r.random() < 0.06:
             text = text.upper()
+        if r.random() < 0.08:
+            return r.choice(["Dr. ", "Mr. ", "Ms ", "Mrs. ", "Mr ", "Herr ", "Frau ", "Prof. "]), last.title() if " " not in last else last, ""
         title = r.choice(["Dr. ", "Prof. ", "Mr. ", "Ms ", "Mrs. ", "Herr ", "Frau "]) if r.random() < 0.2 and not text.islower() else ""
         return title, text, ""
 
+    def east(self) -> list[tuple[str, str | None]]:
+        """A sentence in Chinese, Japanese or Korean with a name."""
+        r = self.r
+        a, rest = r.choice(EAST_NAMES).split("{")
+        what, b = rest.split("}")
+        given = lambda n: "".join(chr(r.randrange(0x5000, 0x8FFF)) for _ in range(n))
+        family = r.choice(LISTED_JAPANESE)
+        if what == "zh":
+            name = r.choice(CHINESE) + given(r.choice([1, 2, 2]))
+        elif what == "ko":
+            name = r.choice(KOREAN) + "".join(chr(r.randrange(0xAC00, 0xD7A0)) for _ in range(2))
+        else:
+            if r.random() < 0.3:
+                family = given(2)
+                what = "ja" if what == "ja" else ""
+            name = f"{family} {given(2)}" if what != "ja" or r.random() < 0.5 else family
+            if not what:
+                return [(f"{name}", "name"), ("さんです。", None)]
+        return [(a, None), (name, "name"), (b, None)]
+
+    def plain_names(self) -> list[tuple[str, str | None]]:
+        """A sentence with names and no cue."""
+        out, template = [], self.r.choice(PLAIN_NAME_CONTEXTS)
+        listed = LISTED.match(template) is not None  # as in a list of changes, where names come in any form
+        for i, text in enumerate(template.split("{}")):
+            if i:
+                before, name, after = self.name(0.6, listed)
+                out += [(before, None), (name, "name"), (after, None)]
+            out.append((text, None))
+        return out
+
     def email(self) -> str:
         r = self.r
         a, b = self.word(1).lower(), self.word(2).lower()
@@ -139,6 +205,10 @@ class Maker:
             return r.choice(["passport ", "passport no. ", "Reisepass ", "Passport number: "]), r.choice([f"ZX {d(7)}", f"C{d(8)}", f"XK{d(7)}"])
         if kind == 3:
             return r.choice(["DNI ", "documento ", "DNI: "]), f"{d(8)}{r.choice('ABCDEFGHJKLMNP')}"
+        if r.random() < 0.3:
+            return r.choice(["CPF ", "CPF: "]), f"{d(3)}.{d(3)}.{d(3)}-{d(2)}"
+        if r.random() < 0.2:
+            return r.choice(["PESEL ", "BSN ", "NHS number ", "身份证", "マイナンバー "]), r.choice([d(11), f"{d(3)} {d(3)} {d(4)}", d(9)])
         return r.choice(["tax id ", "ID number ", "Ausweis "]), f"{d(4)}{r.choice(['', ' '])}{d(5)}"
 
     def address(self) -> tuple[str, str]:
@@ -147,6 +217,9 @@ class Maker:
         text = r.choice(
             [f"{n} {street} {r.choice(['Street', 'Road', 'Lane', 'Avenue', 'Ave', 'Rd', 'St'])}", f"{n}{r.choice('ab')} {street} Crescent", f"{n}, rue {street}", f"{street}{r.choice(['straße', 'weg', 'gasse'])} {n}", f"Calle {street} {n}", f"{n} rue de {street}", f"Avenida {street}, {n}"]
         )
+        if r.random() < 0.12:
+            a, b = (chr(r.randrange(0x5000, 0x8FFF)) for _ in range(2))
+            return r.choice([(f"{a}{b}{r.randint(1, 9)}丁目{r.randint(1, 30)}番{r.randint(1, 20)}号", "です。"), (f"{a}{b}路{n}号", "。")])
         tail = r.choice(["", "", f", {self.digits(5)} {self.word(2)}", f", Apt {r.randint(1, 30)}", f", {self.word(2)}", f", {self.word(1)}-{self.word(1)}"])
         if text.endswith(("Ave", "Rd", "St")) and r.random() < 0.5:
             tail = "." + tail
@@ -158,18 +231,24 @@ class Maker:
         while "{" in out:
             start = out.index("{")
             end = out.index("}", start)
-            wordy = out[max(0, start - 2) : start] in ("m ", "e ", "} ", "") and not template.startswith(("Build", "Ticket", "See", "Look")) or template in NAME_LOOKALIKES
-            out = out[:start] + (self.word(2) if wordy else self.digits(self.r.randint(1, 4)).lstrip("0") or "3") + out[end + 1 :]
+            wordy = out[max(0, start - 2) : start] in ("m ", "e ", "} ", "") and not template.startswith(("Batch", "Receipt", "Seats", "Serial")) or template in NAME_LOOKALIKES + HEADING_LOOKALIKES
+            out = out[:start] + ((self.r.choice(LATIN_GIVEN).capitalize() if self.r.random() < 0.1 else self.word(2)) if wordy else self.digits(self.r.randint(1, 4)).lstrip("0") or "3") + out[end + 1 :]
         return out
 
     def piece(self) -> list[tuple[str, str | None]]:
         """A sentence in parts, each with its kind or None."""
         r = self.r
-        kind = r.randrange(10)
-        if kind in (0, 1, 2):
+        kind = r.randrange(14)
+        if kind in (0, 1, 13):
             before, name, after = self.name()
             a, b = r.choice(NAME_CONTEXTS).split("{}")
             return [(a + before, None), (name, "name"), (after + b, None)]
+        if kind in (2, 10):
+            return self.plain_names()
+        if kind == 11:
+            return self.east() if r.random() < 0.7 else [(r.choice(EAST_LOOKALIKES), None)]
+        if kind == 12:
+            return [(self.fill(r.choice(NAME_LOOKALIKES)), None)]
         if kind == 3:
             a, b = r.choice(MAIL_CONTEXTS).split("{}")
             return [(a, None), (self.email(), "email"), (b, None)]
@@ -183,8 +262,12 @@ class Maker:
         if kind == 6:
             a, b = r.choice(ADDRESS_CONTEXTS).split("{}")
             street, tail = self.address()
+            if street.endswith("号"):
+                return [(r.choice(["住所は大阪市北区", "送り先: 千葉市"]) if "丁目" in street else r.choice(["地址：", "我住在"]), None), (street, "address"), (tail, None)]
             return [(a, None), (street, "address"), (tail + b, None)]
-        return [(self.fill(r.choice(r.choice([NAME_LOOKALIKES, MAIL_LOOKALIKES, PHONE_LOOKALIKES, ID_LOOKALIKES, ADDRESS_LOOKALIKES]))), None)]
+        if kind == 7:
+            return [(self.fill(r.choice(NAME_LOOKALIKES)), None)]
+        return [(self.fill(r.choice(r.choice([HEADING_LOOKALIKES, NAME_LOOKALIKES, MAIL_LOOKALIKES, PHONE_LOOKALIKES, ID_LOOKALIKES, ADDRESS_LOOKALIKES]))), None)]
 
     def example(self) -> tuple[str, list[tuple[int, int, str]]]:
         text, gold = self.r.choice(HEADS), []
@@ -229,7 +312,8 @@ def train(examples: int = EXAMPLES, epochs: int = EPOCHS, seed: int = SEED) -> d
     weights: dict[str, float] = defaultdict(float)
     speed: dict[str, float] = defaultdict(lambda: 1e-6)
     order = random.Random(seed)
-    for _ in range(epochs):
+    total: dict[str, float] = defaultdict(float)
+    for epoch in range(epochs):
         order.shuffle(data)
         for found, right in data:
             if not found:
@@ -243,7 +327,10 @@ def train(examples: int = EXAMPLES, epochs: int = EPOCHS, seed: int = SEED) -> d
                 g -= L2 * weights[f]
                 speed[f] += g * g
                 weights[f] += RATE * g / math.sqrt(speed[f])
-    return {f: round(w, 4) for f, w in sorted(weights.items())}
+        if epoch >= epochs // 2:  # the mean over the later epochs depends less on the order of the last examples
+            for f, w in weights.items():
+                total[f] += w / (epochs - epochs // 2)
+    return {f: round(w, 4) for f, w in sorted(total.items())}
 
 
 def accuracy(weights: dict[str, float], examples: int = 1_000, seed: int = 99) -> tuple[float, float]:

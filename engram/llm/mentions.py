@@ -1,10 +1,14 @@
 """Personal information inside free text: email addresses, phone numbers, identity numbers, street addresses, names.
 
-Method: a semi-Markov conditional random field. Patterns propose candidate segments, generously and with overlaps; every
-candidate, taken as a whole, is scored by features of its kind, shape and surroundings; dynamic programming over the
-candidates (whose lengths are bounded) then chooses the best set of segments that do not overlap, deciding boundaries
-and kinds together. Text outside all segments scores zero. The weights are trained by likelihood on sentences that
-``engram.llm.mention_training`` makes up, and stored beside this module.
+Method: a semi-Markov conditional random field. Every span of up to MAX_NAME words that could be a name is a candidate,
+and so is every stretch that has the form of an address, number or identity number, with overlaps; each, taken as a whole,
+is scored by features of its kind, shape and surroundings; dynamic programming over the candidates (whose lengths are
+bounded) then chooses the best set of segments that do not overlap, deciding boundaries and kinds together. Text outside
+all segments scores zero. The weights are trained by likelihood on sentences that ``engram.llm.mention_training`` makes up,
+and stored beside this module.
+
+Two kinds of spans are no candidates, as nothing in them tells a name: a single word that is no common given name and has
+neither cue, title nor honorific beside it, and words in small letters without any of these and not before a verb of speech.
 """
 
 from __future__ import annotations
@@ -20,124 +24,118 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from engram.llm.mention_words import (
+    ADDRESS_WORDS, BEING, CHINESE, CHINESE_AFTER, CHINESE_BEFORE, COORDINATORS, CUES, DETERMINERS, ENDING_THINGS, GIVEN, GIVEN_OTHER, HONORIFIC, ID_WORDS,
+    JAPANESE, KOREAN, MAIL_WORDS, NOT_MAIL, NOT_NAME, NOT_PHONE, PARTICLE, PHONE_WORDS, PREPOSITIONS, ROLES, STREET_EN, STREET_ES, STREET_FR, THINGS, TITLE, TLDS,
+    VERBS, WEAK_CUES,
+)
+
 KINDS = ("email", "phone", "id_number", "address", "name")
-#: Longest segment in code points.
-MAX_SEGMENT = 96
-#: Most tokens of a name.
-MAX_NAME = 5
+#: Longest segment in code points, and most words of a name: the bounds of the dynamic programming.
+MAX_SEGMENT = 128
+MAX_NAME = 6
+#: Longest local part and domain of an email address (RFC 5321).
+MAX_LOCAL, MAX_DOMAIN = 64, 255
 
 # Full-width ASCII to ASCII and odd spaces and hyphens to plain ones, one to one, so that offsets hold.
 PLAIN = {0xFF01 + i: 0x21 + i for i in range(94)} | {0x3000: 0x20, 0xA0: 0x20, 0x202F: 0x20, 0x2009: 0x20}
 PLAIN |= dict.fromkeys((0x2010, 0x2011, 0x2012, 0x2013, 0x2212), 0x2D)
 
-# Words that come before a kind of information, or before what only looks like it.
-TLDS = frozenset("com org net edu gov mil int info biz io dev app ai co me eu uk us de fr es it nl be at ch se no dk fi pl cz pt gr ru ua jp cn kr in br mx ar au nz ca test example invalid local".split())
-NOT_MAIL = frozenset("a an the this that these those it is are was were be been look looks break breaks meet start starts stop stops only now here there at by in on of or and".split())
-MAIL_WORDS = frozenset("mail email e-mail mailto write contact kontakt écrire reply-to from to cc bcc address at me log invite send forward correo à".split())
-PHONE_WORDS = frozenset("tel phone telephone call ring llame al mobile cell fax number callback callback_number on-call is sms text whatsapp dial telefon anrufen rufnummer teléfono appeler тел телефон 電話 电话 전화".split())
-NOT_PHONE = frozenset("build ticket no lines line offset host id uuid trace ratio step version v row rows rate port page p item code order commit hash ref release bytes entries".split())
-STREET_EN = "Street|St|Road|Rd|Lane|Ln|Avenue|Ave|Crescent|Cres|Drive|Dr|Court|Ct|Way|Close|Square|Sq|Terrace|Place|Pl|Gardens|Boulevard|Blvd|Row|Mews|Parade|Highway|Hwy"
-STREET_FR = "rue|avenue|boulevard|bd|place|chemin|allée|impasse|quai|cours|route|passage|square"
-STREET_DE = "straße|strasse|str\\.|weg|gasse|platz|allee|ring|damm|ufer|steig|stieg"
-STREET_ES = "Calle|C/|Avenida|Avda\\.?|Plaza|Paseo|Camino|Carrera|Ronda|Via|Viale|Piazza|Corso|Rua|Travessa|ulica|ul\\.|улица|ул\\.|проспект|пр\\."
-ADDRESS_WORDS = frozenset("to at addr address lives live moved an au à in from near on ship deliver office adresse dirección anschrift adres".split())
-NOT_NAME = frozenset(
-    "a an the this that these those it its is are was were be been has have had do does did will would can could may might must should "
-    "of in on at by for from to with about and or but nor not no yes if as so because while when who why how what where which whose our "
-    "we you he she they them us his her their your my me i il la le les un une des du de el los las una uno al del se su lo y o en por "
-    "para con der die das dem den des ein eine einer und oder nicht wer warum im am zu zur zum auf mit von für platform team project "
-    "branch service note release codename dashboard each every old new any all some there here once now then still only ask call ring "
-    "mail see set run use host build row value tel phone owner signed cc assigned according please thank met laut gracias "
-    "er sie wir ihr ich él ella ellos elle elles nous vous on он она оно они мы вы ты я это".split()
-)
-TITLE = r"(?:Dr|Prof|Mr|Mrs|Ms|Miss|Mx|Sir|Herr|Frau|Sr|Sra|Srta|Don|Doña|Mme|Mlle|Dott|Ing|Rev|Hon|г-н|г-жа|д-р)\.?"
-PARTICLE = "van|von|der|den|de|da|di|du|del|della|la|le|ten|ter|zu|zur|al|el|bin|ibn|ben|ní|nic|mac|af|dos|das|do|y|e|ter"
-HONORIFIC = "さん|さま|様|氏|くん|君|ちゃん|先生|殿|씨|님|女士"
-BEFORE_NAME = (
-    r"assigned to|according to|thanks? to|thank|met with|meet with|talk to|talked to|spoke with|spoke to|ask|asked|signed,?|regards,|owner:|author:|"
-    r"assignee:|reviewer:|reviewed by|approved by|written by|reported by|filed by|fixed by|signed[- ]off[- ]by:?|contact:|attn:?|cc:?|bcc:?|dear|hi|hello|"
-    r"hola|gracias a|según|laut|danke an|gemäß|selon|merci à|d'après|gesprochen mit|escribe a|спасибо|согласно|по словам|name:|nombre:|nom:|"
-    r"invited|pinged|ping"
-)
-AFTER_NAME = (
-    r"reviewed|approved|wrote|said|says|asked|merged|fixed|reported|confirmed|noticed|signed|filed|left|joined|lives|called|told|thinks|works|will|has|is|was|"
-    r"for the|on this|about|läuft|schrieb|sagt|por el|dijo|escribió|a écrit|dit|написал|написала|сказал|сказала|it is|,"
-)
-
-EMAIL = re.compile(r"[^\W_][\w.+%'-]*@[^\W_](?:[\w-]*[^\W_])?(?:\.[^\W_](?:[\w-]*[^\W_])?)+")
+# Capital letters of the scripts that have them.
+UPPER = "".join(chr(c) for c in range(0x41, 0x530) if chr(c).isupper())
+LOCAL = re.compile(r"[^\W_][\w.+%'-]*\Z")
+DOMAIN = re.compile(r"[^\W_](?:[\w-]*[^\W_])?(?:\.[^\W_](?:[\w-]*[^\W_])?)+")
 AT = r"(?:[ ]?[\[({<][ ]?(?:at|@)[ ]?[\])}>][ ]?|[ ]at[ ]|@)"
 DOT = r"(?:[ ]?[\[({<][ ]?(?:dot|\.)[ ]?[\])}>][ ]?|[ ]dot[ ]|\.)"
-HIDDEN_EMAIL = re.compile(rf"(?i)([^\W_][\w.+%-]*)({AT})([^\W_][\w-]*(?:{DOT}[^\W_][\w-]*){{1,3}})")
+HIDDEN_AT = re.compile(rf"(?i){AT}")
+HIDDEN_LOCAL = re.compile(r"[^\W_][\w.+%-]*\Z")
+HIDDEN_DOMAIN = re.compile(rf"(?i)[^\W_][\w-]{{0,62}}(?:{DOT}[^\W_][\w-]{{0,62}}){{1,3}}")
 HIDDEN_DOT = re.compile(rf"(?i){DOT}")
-PHONE = re.compile(r"(?<![\w.+@/#-])(?:\+ ?\d{1,3}|\(\d{2,5}\)|\d{2,12})(?:(?:[ ./-]| - )?(?:\(\d{1,5}\)|\d{1,12})){0,6}(?![\w@])")
-ID_WORDS = (
-    r"ssn|s\.s\.n\.|social security(?: (?:number|no\.?))?|soc\.? sec\.?(?: (?:number|no\.?))?|national insurance(?: (?:number|no\.?))?|ni (?:number|no\.?)|nino|"
-    r"insurance (?:number|no\.?)|passport(?: (?:number|no\.?))?|passnummer|reisepass(?:nummer)?|pasaporte|passeport|personalausweis|ausweis(?:nummer)?|"
-    r"dni(?: n\.?º)?|nie|nif|documento(?: n\.?º)?|tax id|steuer-?id|id (?:number|no\.?|card)|identity (?:number|no\.?|card)|national id|driver'?s licen[cs]e|"
-    r"licen[cs]e (?:number|no\.?)|паспорт|снилс|инн"
-)
-ID_AFTER = re.compile(rf"(?i)(?<![\w])(?:{ID_WORDS})[ ]{{0,2}}[:#=]?[ ]{{0,2}}((?=[a-z0-9 -]*\d)[a-z0-9]{{1,14}}(?:[ -][a-z0-9]{{1,9}}){{0,5}})")
-ID_SHAPE = re.compile(r"(?<![\w-])(?:\d{3}([ -])\d{2}\1\d{4}|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]|\d{8}[A-Z]|[XYZ]-?\d{7}-?[A-Z])(?![\w-])")
+PHONE = re.compile(r"(?<![\w.+@/#-])(?:\+ ?\d{1,3}|\(\d{2,5}\)|\d{2,12})(?:(?:[ ./-]| - )?(?:\(\d{1,5}\)|\d{1,12})){0,7}(?![\w@])")
+ID_AFTER = re.compile(rf"(?i)(?<![\w])(?:{ID_WORDS})[ ]{{0,2}}[:#=：]?[ ]{{0,2}}((?=[a-z0-9 .-]{{0,40}}\d)[a-z0-9]{{1,18}}(?:[ .-][a-z0-9]{{1,9}}){{0,5}})")
+ID_SHAPE = re.compile(r"(?<![\w-])(?:\d{3}([ -])\d{2}\1\d{4}|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]|\d{8}[A-Z]|[XYZ]-?\d{7}-?[A-Z]|\d{3}\.\d{3}\.\d{3}-\d{2})(?![\w-])")
 _CAP = r"[^\W\d_a-zà-öø-ÿ][\w'’]*(?:-[^\W\d_][\w'’]*)*"
+_HAN = "一-鿿々ヶケノ"
 ADDRESS = (
     ("number_first", re.compile(rf"(?<![\w.:/-])\d{{1,5}}[a-zA-Z]?,? (?:{_CAP} ){{1,3}}(?:{STREET_EN})(?![\w-])")),
     ("french", re.compile(rf"(?<![\w.:/-])\d{{1,5}}(?: ?(?:bis|ter|[a-zA-Z]))?,? (?:{STREET_FR}) (?:(?:de la|de l'|du|des|de|d'|la|le|les) ?)?{_CAP}(?: (?:{_CAP})){{0,2}}")),
-    ("german", re.compile(rf"(?<![\w-])(?:{_CAP}[ -])?{_CAP}(?:(?<=straße)|(?<=strasse)|(?<=weg)|(?<=gasse)|(?<=platz)|(?<=allee)|(?<=ring)|(?<=damm)|(?<=ufer)|(?<=steig)) \d{{1,4}}[a-zA-Z]?(?![\w-])")),
+    ("german", re.compile(rf"(?<![\w-])(?:{_CAP}[ -])?{_CAP}(?:(?<=straße)|(?<=strasse)|(?<=weg)|(?<=gasse)|(?<=platz)|(?<=allee)|(?<=ring)|(?<=damm)|(?<=ufer)|(?<=steig)|(?<=straat)) \d{{1,4}}[a-zA-Z]?(?![\w-])")),
     ("spanish", re.compile(rf"(?<![\w])(?:{STREET_ES}) ?(?:(?:de la|del|de los|de) )?{_CAP}(?: (?:{_CAP})){{0,2}},? \d{{1,5}}[a-zA-Z]?(?![\w-])")),
-)
+    ("east", re.compile(rf"(?<=[市区町村郡縣県])(?:(?![市区郡縣県])[{_HAN}ぁ-んァ-ヺー]){{1,10}}?\d{{1,3}}(?:丁目\d{{1,4}}番?地?(?:の?\d{{1,4}}号?)?|-\d{{1,4}}-\d{{1,4}}|番地?\d{{0,4}}号?)|[一-鿿]{{2,5}}(?:路|街|道|巷)\d{{1,5}}号|[가-힣]{{1,8}}(?:로|길) \d{{1,4}}(?:-\d{{1,4}})?")),
+)
+#: What every address of a form has, in lower case: the pattern is run only over texts with one of these.
+STREET_HINTS = {
+    "number_first": tuple(w.lower() for w in STREET_EN.split("|")),
+    "french": tuple(STREET_FR.split("|")),
+    "german": ("straße ", "strasse ", "weg ", "gasse ", "platz ", "allee ", "ring ", "damm ", "ufer ", "steig ", "straat "),
+    "spanish": tuple(w.lower().replace("\\", "").rstrip("?.") for w in STREET_ES.split("|")),
+    "east": ("号", "番", "市", "区", "町", "村", "郡", "縣", "県", "로 ", "길 "),
+}
 TOKEN = re.compile(r"[^\W\d_](?:[\w]|['’-](?=\w))*\.?")
-NAME_LEFT = re.compile(rf"(?i)(?<![\w])(?:{BEFORE_NAME})[ ]+")
-NAME_TITLE = re.compile(rf"(?<![\w]){TITLE}[ ]+(?=[^\W\d_])")
-NAME_RIGHT = re.compile(r"(?<=[\w.])[ ](?=(?:reviewed|approved|wrote|said|merged|fixed|reported|confirmed|noticed|schrieb|dijo|escribió|написал|написала)\b)")
+_NAME_WORD = rf"[{UPPER}](?:\w|['’-](?=\w))*\.?"
+NAME_RUN = re.compile(rf"(?<![\w@/.'’-])(?:(?:{PARTICLE}) ){{0,2}}{_NAME_WORD}(?:,? (?:(?:{PARTICLE}) ){{0,2}}{_NAME_WORD})*")
 NAME_HONORIFIC = re.compile(rf"([㐀-鿿々぀-ヿ가-힯]{{1,6}}(?:[ ・][㐀-鿿々぀-ヿ가-힯]{{1,6}})?) ?(?:{HONORIFIC})")
+HAN_RUN = re.compile(r"[一-鿿々]{2,}")
+HAN_BEFORE = re.compile(rf"(?:{CHINESE_BEFORE})\Z")
+HAN_AFTER = re.compile(CHINESE_AFTER)
+HANGUL_NAME = re.compile(rf"(?<![가-힣])[{KOREAN}][가-힣]{{2}}(?=(?:이|가|은|는|을|를|에게|와|과|의)(?![가-힣]))")
 TITLE_AT = re.compile(rf"{TITLE}[ ]+")
-AFTER_AT = re.compile(rf"[ ]?(?:{AFTER_NAME})(?![\w])")
+TITLE_BEFORE = re.compile(rf"(?<![\w]){TITLE}[ ]+\Z")
+TITLE_ONLY = re.compile(rf"{TITLE}$")
+NAME_TITLE = re.compile(rf"(?<![\w]){TITLE}[ ]+(?=[^\W\d_])")
 PARTICLE_ONLY = re.compile(rf"(?i)(?:{PARTICLE})$")
 INITIAL = re.compile(r"[^\W\d_]\.$")
+DIGITS = re.compile(r"\d[\d ()./-]{3,}\d")
+LOWER_RIGHT = re.compile(r"(?<=[\w.])[ ](?=(?:reviewed|approved|wrote|said|merged|fixed|reported|confirmed|noticed|schrieb|dijo|escribió|написал|написала)\b)")
+HAS_DIGIT = re.compile(r"\d")
 
 
-# Parts of which a text has at least one where the pattern beside it can match; looked up in lower case before it is run.
-HINTS = {
-    "name_left": tuple(
-        "assigned to |according to |thank |thanks to|met with |meet with |talk to |talked to |spoke with |spoke to |ask |asked |signed|regards|owner: |author: |assignee: |"
-        "reviewer: |reviewed by|approved by|written by|reported by|filed by|fixed by|-off-by|off by|contact: |attn|cc |cc: |dear |hi |hello |hola |gracias a |según |laut |"
-        "danke an |gemäß |selon |merci à |d'après |gesprochen mit |escribe a |спасибо |согласно |по словам |name: |nombre: |nom: |invited |pinged |ping ".split("|")
-    ),
-    "name_title": tuple(
-        "dr. |dr |prof. |prof |mr. |mr |mrs|ms. |ms |miss |mx. |mx |sir |herr |frau |sr. |sr |sra|srta|don |doña |mme|mlle|dott|ing |ing. |rev |rev. |hon |hon. |г-н |г-жа |д-р".split("|")
-    ),
-    "name_right": tuple(f" {w}" for w in "reviewed approved wrote said merged fixed reported confirmed noticed schrieb dijo escribió написал".split()),
-    "honorific": tuple(HONORIFIC.split("|")),
-    "id": ("ssn", "s.s.n", "soc", "insurance n", "national ", "ni n", "nino", "passport", "passnummer", "reisepass", "pasaporte", "passeport", "ausweis", "dni", "nie", "nif", "documento", "tax id", "steuer", "id n", "id c", "identity ", "licen", "паспорт", "снилс", "инн"),
-    "number_first": tuple(f" {w.lower()}" for w in STREET_EN.split("|")),
-    "french": tuple(f" {w} " for w in STREET_FR.split("|")),
-    "german": tuple(f"{w} " for w in STREET_DE.replace("\\", "").split("|")),
-    "spanish": ("calle", "c/", "avenida", "avda", "plaza", "paseo", "camino", "carrera", "ronda", "via", "viale", "piazza", "corso", "rua", "travessa", "ulica", "ul.", "улица", "ул.", "проспект", "пр."),
-}
-BRACKETED_AT = re.compile(r"[\[({<][ ]?(?:at|@)[ ]?[\])}>]")
-PHONE_HINT = re.compile(r"\d[\d ()./-]{4,}\d")
-
-
-@lru_cache(maxsize=1)
-def _hint_automaton():
-    """All hints in one automaton, so that a text is looked through once."""
+@lru_cache(maxsize=2)
+def _automaton(which: str):
+    """All cues (or street words) in one automaton, so that a text is looked through once."""
     import ahocorasick
 
     kinds: dict[str, set[str]] = {}
-    for what, parts in HINTS.items():
-        for part in parts:
-            kinds.setdefault(part, set()).add(what)
+    if which == "streets":
+        for what, parts in STREET_HINTS.items():
+            for part in parts:
+                kinds.setdefault(part, set()).add(what)
+    else:
+        for cue in CUES:
+            kinds.setdefault(cue, set()).add("weak" if cue in WEAK_CUES else "cue")
+        for cue in WEAK_CUES - set(CUES):
+            kinds.setdefault(cue, set()).add("weak")
     automaton = ahocorasick.Automaton()
     for part, whats in kinds.items():
-        automaton.add_word(part, frozenset(whats))
+        automaton.add_word(part, (len(part), frozenset(whats)))
     automaton.make_automaton()
     return automaton
 
 
-def _hints(low: str) -> set[str]:
-    out: set[str] = set()
-    for _, whats in _hint_automaton().iter(low):
-        out |= whats
+def _cue_ends(low: str) -> dict[int, str]:
+    """Where a name may start behind a cue (spaces and punctuation of labels skipped): the strongest cue there."""
+    out: dict[int, str] = {}
+    n = len(low)
+    for last, (length, whats) in _automaton("cues").iter(low):
+        end = last + 1
+        start = end - length
+        if start and (low[start - 1].isalnum() or low[start - 1] == "_") or end < n and (low[end].isalnum() or low[end] in "_-"):
+            continue
+        kind = "weak" if "weak" in whats else "cue"
+        at, label, breaks = end, False, 0
+        while at < n and at - end < 4:
+            c = low[at]
+            if c in ":=" and not label:
+                label, kind = True, "cue"
+            elif c == "\n" and not breaks:
+                breaks = 1
+            elif c == "," and at == end:
+                pass
+            elif c not in " \"'“„«(":
+                break
+            at += 1
+        if at > end and (out.get(at) != "cue"):
+            out[at] = kind
     return out
 
 
@@ -155,27 +153,28 @@ def _word_before(text: str, at: int) -> str:
     return text[start:end].lower()
 
 
-def _email_candidates(text: str, low: str, hints: set[str]):
-    if "@" in text:
-        for m in EMAIL.finditer(text):
-            start = m.start()
-            local, domain = m[0].rsplit("@", 1)
-            yield start, m.end(), "email", _email_features(text, start, m.end(), local, domain.split("."), "plain")
-    if (" at " in low and "dot" in low) or "at]" in low or "(at" in low or "[at" in low or "at)" in low or "@" in low and "dot" in low or BRACKETED_AT.search(low):
-        at = 0
-        while m := HIDDEN_EMAIL.search(text, at):  # matches may overlap: a word before may look like a local part
-            at = m.end(1)
-            if "@" == m[2] and "dot" not in m[3].lower():
-                continue
-            parts = HIDDEN_DOT.split(m[3])
-            while len(parts) >= 2:  # the domain may be shorter than what matches
-                end = m.end(3) if len(parts) == len(HIDDEN_DOT.split(m[3])) else None
-                if end is None:
-                    seps = list(HIDDEN_DOT.finditer(text, m.start(3), m.end(3)))
-                    end = seps[len(parts) - 1].start()
-                form = "bracket" if m[2].strip()[:1] in "[({<" else "word"
-                yield m.start(), end, "email", _email_features(text, m.start(), end, m[1], parts, form)
-                parts = parts[:-1]
+def _email_candidates(text: str, low: str):
+    at = text.find("@")
+    while at >= 0:
+        local = LOCAL.search(text, max(0, at - MAX_LOCAL), at)
+        domain = DOMAIN.match(text, at + 1, at + 1 + MAX_DOMAIN) if local else None
+        if domain:
+            yield local.start(), domain.end(), "email", _email_features(text, local.start(), domain.end(), local[0], domain[0].split("."), "plain")
+        at = text.find("@", at + 1)
+    if not ("dot" in low and (" at " in low or "@" in low) or "at]" in low or "at)" in low or "at}" in low or "at>" in low or "@" in low or "at " in low):
+        return
+    for m in HIDDEN_AT.finditer(text):
+        if m[0] == " at " and "dot" not in low:
+            continue
+        domain = HIDDEN_DOMAIN.match(text, m.end())
+        local = HIDDEN_LOCAL.search(text, max(0, m.start() - MAX_LOCAL), m.start()) if domain else None
+        if not local or m[0] == "@" and "dot" not in domain[0].lower():
+            continue
+        seps = list(HIDDEN_DOT.finditer(text, domain.start(), domain.end()))
+        form = "bracket" if m[0].strip()[:1] in "[({<" else "word"
+        for end in [domain.end(), *(x.start() for x in seps[:0:-1])]:  # the domain may be shorter than what matches
+            parts = HIDDEN_DOT.split(text[domain.start() : end])
+            yield local.start(), end, "email", _email_features(text, local.start(), end, local[0], parts, form)
 
 
 def _email_features(text, start, end, local, parts, form):
@@ -202,12 +201,12 @@ def _email_features(text, start, end, local, parts, form):
     return out
 
 
-def _phone_candidates(text: str, low: str, hints: set[str]):
-    if not PHONE_HINT.search(text):
+def _phone_candidates(text: str, low: str):
+    if not DIGITS.search(text):
         return
     for m in PHONE.finditer(text):
         digits = sum(c.isdigit() for c in m[0])
-        if not 7 <= digits <= 15 or m.end() - m.start() > 32:
+        if not 6 <= digits <= 15 or m.end() - m.start() > MAX_SEGMENT:  # E.164: at most 15; local numbers have 6 and more
             continue
         start, end = m.span()
         out = ["phone", f"phone:digits={digits}"]
@@ -248,7 +247,7 @@ def _phone_candidates(text: str, low: str, hints: set[str]):
 
 
 def _id_class(s: str) -> str:
-    s = re.sub(r"[ -]", "", s).upper()
+    s = re.sub(r"[ .-]", "", s).upper()
     if re.fullmatch(r"\d{9}", s):
         return "nine_digits"
     if re.fullmatch(r"[A-Z]{2}\d{6}[A-D]", s):
@@ -257,16 +256,20 @@ def _id_class(s: str) -> str:
         return "letters_digits"
     if re.fullmatch(r"(?:\d{8}|[XYZ]\d{7})[A-Z]", s):
         return "digits_letter"
+    if re.fullmatch(r"[A-Z]{1,3}\d{6,9}[A-Z]", s):
+        return "letters_digits_letter"
     if re.fullmatch(r"[A-Z0-9]{8,14}", s) and sum(c.isdigit() for c in s) >= 6:
         return "mixed"
     return "other"
 
 
-def _id_candidates(text: str, low: str, hints: set[str]):
+def _id_candidates(text: str, low: str):
+    if not DIGITS.search(text) and not HAS_DIGIT.search(text):
+        return
     seen = set()
-    for m in ID_AFTER.finditer(text) if "id" in hints else ():
+    for m in ID_AFTER.finditer(text):
         s = m[1]
-        cuts = [len(s)] + [x.start() for x in re.finditer(r"[ -]", s)]
+        cuts = [len(s)] + [x.start() for x in re.finditer(r"[ .-]", s)]
         for cut in cuts:
             part = s[:cut]
             if sum(c.isdigit() for c in part) < 5:
@@ -274,7 +277,7 @@ def _id_candidates(text: str, low: str, hints: set[str]):
             span = (m.start(1), m.start(1) + cut)
             seen.add(span)
             yield *span, "id_number", _id_features(text, *span, True)
-    for m in ID_SHAPE.finditer(text) if PHONE_HINT.search(text) else ():
+    for m in ID_SHAPE.finditer(text):
         if m.span() not in seen:
             yield m.start(), m.end(), "id_number", _id_features(text, m.start(), m.end(), False)
 
@@ -290,10 +293,15 @@ def _id_features(text, start, end, cue):
         out.append("id:word_at_end")
     if start and text[start - 1] in "-/.":
         out.append("id:inside")
+    if re.search(r"[ -][A-Za-z]\Z", s):
+        out.append("id:letter_apart" if not re.match(r" [a-z]|['’]", text[end : end + 2]) else "id:letter_before_word")
     return out
 
 
-def _address_candidates(text: str, low: str, hints: set[str]):
+def _address_candidates(text: str, low: str):
+    if not HAS_DIGIT.search(text):
+        return
+    hints = set().union(*(whats for _, (_, whats) in _automaton("streets").iter(low)))
     for form, pattern in ADDRESS:
         if form not in hints:
             continue
@@ -316,32 +324,72 @@ def _address_candidates(text: str, low: str, hints: set[str]):
                     out.append("address:tail")
                 if form == "french" and b < end:
                     out.append("address:cut_short")
+                if b < end and (m2 := TOKEN.match(text, b + 1)) and m2[0].lower() in DETERMINERS:
+                    out.append("address:before_article")
+                if b == end and n > 3 and _word_class(text[a:b].split()[-1]) == "det":
+                    out.append("address:article_at_end")
                 yield a, b, "address", out
 
 
-def _name_features(text: str, tokens: list[tuple[int, int]], left: str, title: bool, honorific: bool = False):
+def _word_class(word: str) -> str:
+    """What a word beside a span is."""
+    w = word.lower()
+    for name, words in (("be", BEING), ("coord", COORDINATORS), ("prep", PREPOSITIONS), ("det", DETERMINERS), ("role", ROLES), ("thing", THINGS), ("verb", VERBS), ("common", NOT_NAME)):
+        if w in words:
+            return name
+    return "cap" if word[:1].isupper() else "lower" if word[:1].islower() else "digit" if word[:1].isdigit() else "other"
+
+
+def _left_of(text: str, at: int) -> tuple[str, str]:
+    """The kind of what stands before ``at``, and the word there if it is one."""
+    end = at
+    while end > 0 and text[end - 1] == " ":
+        end -= 1
+    if end == 0 or text[end - 1] == "\n":
+        return "start", ""
+    c = text[end - 1]
+    if c in ".!?…。！？؟।":
+        return "start", ""
+    if c in ",;，、":
+        return "comma", ""
+    if c in "([\"'“„«「‘":
+        return "open", ""
+    if c in "#*|":
+        return "heading", ""
+    if c in ":=-–—>：":
+        return "mark", ""
+    start = end
+    while start > 0 and end - start < 24 and (text[start - 1].isalnum() or text[start - 1] in "_'’"):
+        start -= 1
+    word = text[start:end]
+    return (_word_class(word), word.lower()) if word else ("other", "")
+
+
+def _right_of(text: str, end: int) -> str:
+    rest = text[end : end + 24]
+    if not rest.strip() or rest[0] in ".;:!?)\n\"'”»。、，" and not rest.startswith(("'s", "'S")):
+        return "end"
+    if rest.startswith(("'s", "’s")):
+        return "possessive"
+    if rest[0] == ",":
+        return "comma"
+    if rest[0] != " ":
+        return "other"
+    m = TOKEN.match(rest.lstrip(" "))
+    if not m:
+        return "digit" if rest.lstrip(" ")[:1].isdigit() else "mark"
+    w = m[0].rstrip(".").lower()
+    return "thing" if w in ENDING_THINGS else _word_class(m[0].rstrip("."))
+
+
+def _name_features(text: str, tokens: list[tuple[int, int]], cue: str, title: bool, form: str = "plain"):
+    """Features of a span of words. cue: "cue", "weak" or "" as found before it (and before its title)."""
     start, end = tokens[0][0], tokens[-1][1]
     words = [text[a:b] for a, b in tokens]
     n = len(words)
-    out = ["name", f"name:tokens={n}", f"name:left={left}"]
-    if title:
-        out.append("name:title")
     core = [w for w in words if not INITIAL.match(w) and not PARTICLE_ONLY.match(w)]
-    initials = sum(bool(INITIAL.match(w)) for w in words)
-    particles = sum(bool(PARTICLE_ONLY.match(w)) for w in words)
-    out.append(f"name:core={len(core)}")
-    if initials:
-        out.append("name:initial")
-        if INITIAL.match(words[-1]):
-            out.append("name:initial_last")
-    if particles:
-        out.append("name:particle")
-        if PARTICLE_ONLY.match(words[-1]):
-            out.append("name:particle_last")
-        if PARTICLE_ONLY.match(words[0]):
-            out.append("name:particle_first")
-    if any(w.lower().rstrip(".") in NOT_NAME and not PARTICLE_ONLY.match(w) and not (INITIAL.match(w) and w[0].isupper()) for w in words):
-        out.append("name:common_word")
+    initials = [bool(INITIAL.match(w)) for w in words]
+    particles = [bool(PARTICLE_ONLY.match(w)) for w in words]
     cased = [w for w in core if w[0].isupper() or w[0].islower()]
     if not cased:
         shape = "uncased"
@@ -353,10 +401,43 @@ def _name_features(text: str, tokens: list[tuple[int, int]], left: str, title: b
         shape = "lower"
     else:
         shape = "mixed"
-    out.append(f"name:shape={shape}")
-    out.append(f"name:{shape}:core={len(core)}")
+    before = start
     if title:
-        out.append(f"name:title:{shape}")
+        before = TITLE_BEFORE.search(text, max(0, start - 12), start).start() if TITLE_BEFORE.search(text, max(0, start - 12), start) else start
+    left, left_word = _left_of(text, before)
+    right = _right_of(text, end)
+    given = sum(w.lower().split("-")[0] in GIVEN or w.lower() in GIVEN_OTHER for w in core)
+    known = "given" if core and (core[0].lower().split("-")[0] in GIVEN or core[0].lower() in GIVEN_OTHER) else "given_later" if given else "unknown"
+    strong = "title" if title else form if form != "plain" else cue or "none"
+    size = "1" if len(core) == 1 and not any(initials) else "2" if len(core) < 3 else "3"
+    out = [
+        "name", f"name:tokens={n}", f"name:core={len(core)}", f"name:size={size}", f"name:shape={shape}", f"name:{shape}:size={size}", f"name:strong={strong}",
+        f"name:{strong}:{shape}", f"name:{strong}:size={size}", f"name:known={known}", f"name:{strong}:{known}", f"name:{known}:size={size}", f"name:right={right}", f"name:{strong}:right={right}",
+    ]
+    if strong in ("none", "weak"):
+        out += (f"name:left={left}", f"name:{known}:left={left}", f"name:{known}:right={right}", f"name:left={left}:right={right}", f"name:{size}:{known}:{strong}")
+    elif left in ("det", "thing"):
+        out.append(f"name:cue:left={left}")
+    if left_word in ("and", "or", "&", "y", "und", "et", "и", "e"):
+        out.append("name:joined")
+    if any(initials):
+        out += ("name:initial", f"name:{strong}:initial")
+        if initials[-1]:
+            out.append("name:initial_last")
+    if any(particles):
+        out.append("name:particle")
+        if particles[-1]:
+            out.append("name:particle_last")
+        if particles[0]:
+            out.append("name:particle_first")
+    if any(w.lower().rstrip(".") in NOT_NAME and not p and not (i and w[0].isupper()) for w, p, i in zip(words, particles, initials)):
+        out.append("name:common_word")
+    if any(w.lower() in THINGS or w.lower() in ENDING_THINGS for w in core):
+        out.append("name:thing_inside")
+    if any(w.lower() in VERBS or w.lower() in ROLES for w in core):
+        out.append("name:verb_inside")
+    if TITLE_ONLY.match(words[0]) or n > 1 and any(TITLE_ONLY.match(x) for x in words):
+        out.append("name:title_inside")
     scripts = {"latin" if c < "ɐ" or "Ḁ" <= c < "ἀ" else "greek" if c < "Ѐ" else "cyrillic" if c < "԰" else "other" for w in core for c in w[:1]}
     if len(scripts) > 1:
         out.append("name:scripts")
@@ -364,42 +445,35 @@ def _name_features(text: str, tokens: list[tuple[int, int]], left: str, title: b
     if "," in between:
         out.append("name:comma")
         if between.count(",") == 1 and len(core) == 2 and between.split(",")[0].endswith(core[0]):
-            out.append("name:reversed")
-    if any(w.endswith(".") and not INITIAL.match(w) for w in words):
-        out.append("name:dot_inside" if n > 1 and any(w.endswith(".") and not INITIAL.match(w) for w in words[:-1]) else "name:dot_at_end")
-    if honorific:
-        out.append("name:honorific")
-    rest = text[end : end + 24]
-    if AFTER_AT.match(rest):
-        out.append("name:right=cue")
-        if rest[0] == ",":
-            out.append("name:right=comma")
-    elif not rest.strip() or rest[0] in ".;:!?)\n\"'。、":
-        out.append("name:right=end")
-    elif (nxt := TOKEN.match(rest.lstrip(" "))) and rest[0] == " ":
-        w = nxt[0]
-        kind = "common" if w.lower() in NOT_NAME else "upper" if w.isupper() and len(w) > 1 else "title" if w[0].isupper() else "lower" if w[0].islower() else "other"
-        out.append(f"name:{shape}:right={kind}")
-    else:
-        out.append("name:right=other")
+            out += ("name:reversed", f"name:{strong}:reversed")
+    dotted = [w.endswith(".") and not i for w, i in zip(words, initials)]
+    if any(dotted):
+        out.append("name:dot_inside" if any(dotted[:-1]) else "name:dot_at_end")
+    if shape == "mixed" and any(w.isupper() and len(w) > 2 for w in core):
+        out.append("name:acronym")
+    if any(len(w) == 1 for w in core):
+        out.append("name:one_letter")
     if any(c.isdigit() or c == "_" for c in between):
         out.append("name:digit")
-    if rest[:1].isdigit() or re.match(r"[ ]\d", rest):
+    if right == "digit" or text[end : end + 1].isdigit():
         out.append("name:number_after")
     return out
 
 
+def _trim(m: re.Match) -> tuple[int, int]:
+    """A word without the full stop that ends a sentence; initials keep theirs."""
+    return m.start(), m.end() - (m[0].endswith(".") and not INITIAL.match(m[0]))
+
+
 def _name_tokens(text: str, at: int) -> list[tuple[int, int]]:
-    """Up to MAX_NAME tokens from ``at`` on, one space or comma and space apart."""
+    """Up to MAX_NAME words from ``at`` on, one space or comma and space apart."""
     out = []
     while len(out) < MAX_NAME:
         m = TOKEN.match(text, at)
         if not m:
             break
-        end = m.end()
-        if m[0].endswith(".") and not INITIAL.match(m[0]):
-            end -= 1
-        out.append((m.start(), end))
+        out.append(_trim(m))
+        end = out[-1][1]
         if text.startswith(", ", end) and all(PARTICLE_ONLY.match(text[a:b]) for a, b in out[:-1]) and not PARTICLE_ONLY.match(m[0]):
             at = end + 2
         elif end < len(text) and text[end] == " ":
@@ -409,56 +483,92 @@ def _name_tokens(text: str, at: int) -> list[tuple[int, int]]:
     return out
 
 
-def _name_candidates(text: str, low: str, hints: set[str]):
+def _name_candidates(text: str, low: str):
+    cues = _cue_ends(low)
+    titles = {m.end(): m.start() for m in NAME_TITLE.finditer(text)} if NAME_TITLE.search(text) else {}
     seen = set()
-    for pattern, left, hint in ((NAME_LEFT, "cue", "name_left"), (NAME_TITLE, "none", "name_title")):
-        if hint not in hints:
-            continue
-        for m in pattern.finditer(text):
-            at, titled = m.end(), left == "none"
+
+    def cue_at(start: int) -> tuple[str, bool]:
+        titled = start in titles
+        return cues.get(titles[start] if titled else start, ""), titled
+
+    def span(tokens, form="plain", *more):
+        key = (tokens[0][0], tokens[-1][1], form)
+        if key not in seen and key[1] - key[0] <= MAX_SEGMENT:
+            seen.add(key)
+            yield *key[:2], "name", _name_features(text, tokens, *cue_at(key[0]), form) + list(more)
+
+    # words with capital letters, wherever they stand
+    for run in NAME_RUN.finditer(text):
+        found = [_trim(m) for m in TOKEN.finditer(text, run.start(), run.end())]
+        for i, (first, end) in enumerate(found):
+            if i and not text[first - 1].isspace():  # inside an abbreviation
+                continue
+            known = low[first:end].split("-")[0] in GIVEN or low[first:end] in GIVEN_OTHER
+            single = known or first in titles or first in cues
+            commas = 0
+            for j in range(i, min(i + MAX_NAME, len(found))):
+                if j > i:
+                    gap = text[found[j - 1][1] : found[j][0]]
+                    if gap == ", " and not commas and j - i <= 3 and all(PARTICLE_ONLY.match(low[a:b]) for a, b in found[i : j - 1]):
+                        commas += 1
+                    elif gap != " ":
+                        break
+                if j > i or single:
+                    yield from span(found[i : j + 1])
+    # small letters and other scripts: behind a cue or a title
+    for at in {at for at, kind in cues.items() if kind == "cue"} | set(titles):
+        if at < len(text) and at not in titles and at + 1 < len(text):
             title = TITLE_AT.match(text, at)
-            if title and left == "cue":
-                at, titled = title.end(), True
-            label = left
-            if left == "cue" and m[0].strip().lower() in ("ask", "asked", "hi", "hello", "invited", "ping", "pinged"):
-                label = "weak"
-            tokens = _name_tokens(text, at)
-            for n in range(1, len(tokens) + 1):
-                key = (tokens[0][0], tokens[n - 1][1])
-                if key in seen or key[1] - key[0] > MAX_SEGMENT:
-                    continue
-                seen.add(key)
-                yield *key, "name", _name_features(text, tokens[:n], label, titled)
-    for m in NAME_RIGHT.finditer(text) if "name_right" in hints else ():
-        line = max(text.rfind("\n", 0, m.start()) + 1, m.start() - MAX_SEGMENT)
-        found = [(x.start(), x.end() - (x[0].endswith(".") and not INITIAL.match(x[0]))) for x in TOKEN.finditer(text, line, m.start())][-MAX_NAME:]
+            at = title.end() if title else at
+        tokens = _name_tokens(text, at)
+        for n in range(1, len(tokens) + 1):
+            yield from span(tokens[:n])
+    # small letters before what only people do, at the start of a sentence
+    for m in LOWER_RIGHT.finditer(low):
+        line = max(low.rfind("\n", 0, m.start()) + 1, m.start() - MAX_SEGMENT)
+        found = [_trim(x) for x in TOKEN.finditer(low, line, m.start())][-MAX_NAME:]
         for n in range(len(found)):
             tokens = found[n:]
-            gaps = [text[a[1] : b[0]] for a, b in zip(tokens, tokens[1:])]
-            if tokens[-1][1] != m.start() or any(g not in (" ", ", ") for g in gaps):
+            if tokens[-1][1] != m.start() or any(low[a[1] : b[0]] not in (" ", ", ") for a, b in zip(tokens, tokens[1:])):
                 continue
-            key = (tokens[0][0], tokens[-1][1])
-            if key in seen or key[0] > line and not (text[key[0] - 1].isspace() or text[key[0] - 1] in "([\"'“«„"):
+            if text[tokens[0][0] : m.start()].islower() and _left_of(text, tokens[0][0])[0] == "start":
+                yield from span(tokens)
+    for m in NAME_HONORIFIC.finditer(text):
+        parts = [x.span() for x in re.compile(r"[^ ・]+").finditer(text, m.start(1), m.end(1))]
+        for tokens in (parts, parts[-1:]):
+            family = text[tokens[0][0] : tokens[0][1]]
+            lexicon = "family" if any(family.startswith(f) for f in JAPANESE) or family[0] in KOREAN + CHINESE else "no_family"
+            yield from span(tokens, "honorific", f"name:honorific_{'whole' if len(tokens) == len(parts) else 'part'}", f"name:honorific_{lexicon}", f"name:honorific_length={min(len(family), 4)}:{len(parts)}", f"name:honorific_kana={any('ぁ' <= c <= 'ヿ' for c in family)}")
+    for run in HAN_RUN.finditer(text):
+        a, b = run.span()
+        for i in range(a, b - 1):
+            two = text[i : i + 2] in JAPANESE
+            if not two and text[i] not in CHINESE:
                 continue
-            seen.add(key)
-            before = text[max(0, key[0] - 8) : key[0]]
-            titled = re.search(rf"{TITLE}[ ]$", before) is not None
-            left = "start" if not before.strip() or before.rstrip(" ")[-1:] in ".!?。！？\n:।؟\"”»" or "\n" in before[-1:] else "word"
-            yield *key, "name", _name_features(text, tokens, left, titled)
-    for m in NAME_HONORIFIC.finditer(text) if "honorific" in hints else ():
-        whole = [(m.start(1), m.end(1))]
-        parts = [(x.start(), x.end()) for x in re.finditer(r"[^ ・]+", text[: m.end(1)]) if x.start() >= m.start(1)]
-        for tokens in (parts or whole, (parts or whole)[-1:]):
-            key = (tokens[0][0], tokens[-1][1])
-            yield *key, "name", _name_features(text, tokens, "none", False, True) + ["name:honorific_whole" if len(tokens) == len(parts) else "name:honorific_part"]
+            cue = bool(HAN_BEFORE.search(text, max(a, i - 3), i))
+            if i > a and not cue:
+                continue
+            place = "cue" if cue else "start"
+            for length in (2, 3, 4):
+                if i + length > b:
+                    break
+                right = "verb" if HAN_AFTER.match(text, i + length) else "end" if i + length == b else "inside"
+                yield from span([(i, i + length)], "han", f"name:han:{place}:{right}", f"name:han:length={length}:{two}", f"name:han:{right}:{length}")
+        if b + 3 <= len(text) and text[b] in " 　" and text[max(a, b - 3) : b].endswith(tuple(JAPANESE)) and (given := HAN_RUN.match(text, b + 1)):
+            start = b - (3 if text[max(a, b - 3) : b] in JAPANESE else 2)
+            if start == a and given.end() - given.start() <= 3:
+                yield from span([(start, b), given.span()], "han_pair")
 
 
 def candidates(text: str) -> list[tuple[int, int, str, list[str]]]:
     """All candidate segments of ``plain`` text: start, end, kind, features; by end."""
-    out, low = [], text.lower() + "\n"
-    hints = _hints(low)
+    low = text.lower()
+    if len(low) != len(text):  # offsets must hold
+        low = "".join(x if len(x := c.lower()) == 1 else c for c in text)
+    out = []
     for source in (_email_candidates, _phone_candidates, _id_candidates, _address_candidates, _name_candidates):
-        out += source(text, low, hints)
+        out += source(text, low)
     return sorted(out, key=lambda c: (c[1], c[0], c[2]))
 
 
