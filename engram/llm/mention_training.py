@@ -241,6 +241,8 @@ class Maker:
         kind = r.randrange(14)
         if kind in (0, 1, 13):
             before, name, after = self.name()
+            if kind == 13 and name[0].isascii():
+                before, name = "", name.lower()
             a, b = r.choice(NAME_CONTEXTS).split("{}")
             return [(a + before, None), (name, "name"), (after + b, None)]
         if kind in (2, 10):

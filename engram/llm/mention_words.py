@@ -44,7 +44,7 @@ NOT_NAME = _words(
     "monday tuesday wednesday thursday friday saturday sunday january february march april june july august september october november december "
     "montag dienstag mittwoch donnerstag freitag samstag sonntag lunes martes miércoles jueves viernes sábado domingo lundi mardi mercredi jeudi vendredi samedi dimanche "
     "hi hello hey dear hallo hola bonjour ciao thanks merci danke yes please welcome sorry yesterday today tomorrow gestern heute ayer hier "
-    "nobody everyone someone everybody both support customer client manager director office company department"
+    "siehe nr bzw usw etc vgl ggf voir véase cf nobody everyone someone everybody both support customer client manager director office company department"
 )
 DETERMINERS = _words("a an the this that these those our your their its every each another der die das dem den des ein eine einem einen einer unser el la los las un una unos lo le les une ce cette il lo gli i o os as um uma het een")
 PREPOSITIONS = _words(
