@@ -28,7 +28,7 @@ ID_WORDS = (
     r"ssn|s\.s\.n\.|social security(?: (?:number|no\.?))?|soc\.? sec\.?(?: (?:number|no\.?))?|national insurance(?: (?:number|no\.?))?|ni (?:number|no\.?)|nino|"
     r"insurance (?:number|no\.?)|passport(?: (?:number|no\.?))?|passnummer|reisepass(?:nummer)?|pasaporte|passeport|personalausweis|ausweis(?:nummer)?|"
     r"dni(?: n\.?º)?|nie|nif|documento(?: n\.?º)?|tax id|steuer-?id|id (?:number|no\.?|card)|identity (?:number|no\.?|card)|national id|driver'?s licen[cs]e|"
-    r"licen[cs]e (?:number|no\.)|паспорт|снилс|инн|cpf|rg n\.?º|pesel|bsn|nhs (?:number|no\.?)|codice fiscale|curp|sin|aadhaar|personnummer|身份证号?|護照號?|护照号?|"
+    r"licen[cs]e (?:number|no\.)|паспорт|снилс|инн|cpf|rg n\.?º|pesel|bsn|nhs (?:number|no\.?)|codice fiscale|curp|aadhaar|personnummer|身份证号?|護照號?|护照号?|"
     r"マイナンバー|旅券番号|주민등록번호|여권번호"
 )
 

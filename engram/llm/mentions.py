@@ -40,6 +40,7 @@ MAX_LOCAL, MAX_DOMAIN = 64, 255
 # Full-width ASCII to ASCII and odd spaces and hyphens to plain ones, one to one, so that offsets hold.
 PLAIN = {0xFF01 + i: 0x21 + i for i in range(94)} | {0x3000: 0x20, 0xA0: 0x20, 0x202F: 0x20, 0x2009: 0x20}
 PLAIN |= dict.fromkeys((0x2010, 0x2011, 0x2012, 0x2013, 0x2212), 0x2D)
+NOT_PLAIN = re.compile("[" + "".join(map(chr, PLAIN)) + "]")
 
 # Capital letters of the scripts that have them.
 UPPER = "".join(chr(c) for c in range(0x41, 0x530) if chr(c).isupper())
@@ -63,8 +64,15 @@ ADDRESS = (
     ("spanish", re.compile(rf"(?<![\w])(?:{STREET_ES}) ?(?:(?:de la|del|de los|de) )?{_CAP}(?: (?:{_CAP})){{0,2}},? \d{{1,5}}[a-zA-Z]?(?![\w-])")),
     ("east", re.compile(rf"(?<=[市区町村郡縣県])(?:(?![市区郡縣県])[{_HAN}ぁ-んァ-ヺー]){{1,10}}?\d{{1,3}}(?:丁目\d{{1,4}}番?地?(?:の?\d{{1,4}}号?)?|-\d{{1,4}}-\d{{1,4}}|番地?\d{{0,4}}号?)|[一-鿿]{{2,5}}(?:路|街|道|巷)\d{{1,5}}号|[가-힣]{{1,8}}(?:로|길) \d{{1,4}}(?:-\d{{1,4}})?")),
 )
-#: What every address of a form has, in lower case: the pattern is run only over texts with one of these.
-STREET_HINTS = {
+#: What every match of a pattern has in it, in lower case: a pattern is run only over texts with one of its parts.
+HINTS = {
+    "id": (
+        "ssn", "s.s.n.", "social security", "soc. sec", "soc sec", "national insurance", "ni n", "nino", "insurance n", "passport", "passnummer", "reisepass", "pasaporte", "passeport", "ausweis", "dni", "nie", "nif",
+        "documento", "tax id", "steuer", "id n", "id c", "identity n", "identity c", "national id", "licen", "паспорт", "снилс", "инн", "cpf", "rg n", "pesel", "bsn", "nhs n", "codice", "curp",
+        "aadhaar", "personnummer", "身份证", "護照", "护照", "マイナンバー", "旅券番号", "주민등록번호", "여권번호",
+    ),
+    "honorific": tuple(HONORIFIC.split("|")),
+    "lower_right": tuple(" reviewed| approved| wrote| said| merged| fixed| reported| confirmed| noticed| schrieb| dijo| escribió| написал".split("|")),
     "number_first": tuple(w.lower() for w in STREET_EN.split("|")),
     "french": tuple(STREET_FR.split("|")),
     "german": ("straße ", "strasse ", "weg ", "gasse ", "platz ", "allee ", "ring ", "damm ", "ufer ", "steig ", "straat "),
@@ -76,7 +84,7 @@ _NAME_WORD = rf"[{UPPER}](?:\w|['’-](?=\w))*\.?"
 NAME_RUN = re.compile(rf"(?<![\w@/.'’-])(?:(?:{PARTICLE}) ){{0,2}}{_NAME_WORD}(?:,? (?:(?:{PARTICLE}) ){{0,2}}{_NAME_WORD})*")
 NAME_HONORIFIC = re.compile(rf"([㐀-鿿々぀-ヿ가-힯]{{1,6}}(?:[ ・][㐀-鿿々぀-ヿ가-힯]{{1,6}})?) ?(?:{HONORIFIC})")
 HAN_RUN = re.compile(r"[一-鿿々]{2,}")
-HAN_BEFORE = re.compile(rf"(?:{CHINESE_BEFORE})\Z")
+HAN_BEFORE = re.compile(CHINESE_BEFORE)
 HAN_AFTER = re.compile(CHINESE_AFTER)
 HANGUL_NAME = re.compile(rf"(?<![가-힣])[{KOREAN}][가-힣]{{2}}(?=(?:이|가|은|는|을|를|에게|와|과|의)(?![가-힣]))")
 TITLE_AT = re.compile(rf"{TITLE}[ ]+")
@@ -90,21 +98,17 @@ LOWER_RIGHT = re.compile(r"(?<=[\w.])[ ](?=(?:reviewed|approved|wrote|said|merge
 HAS_DIGIT = re.compile(r"\d")
 
 
-@lru_cache(maxsize=2)
-def _automaton(which: str):
-    """All cues (or street words) in one automaton, so that a text is looked through once."""
+@lru_cache(maxsize=1)
+def _automaton():
+    """All cues and hints in one automaton, so that a text is looked through once."""
     import ahocorasick
 
     kinds: dict[str, set[str]] = {}
-    if which == "streets":
-        for what, parts in STREET_HINTS.items():
-            for part in parts:
-                kinds.setdefault(part, set()).add(what)
-    else:
-        for cue in CUES:
-            kinds.setdefault(cue, set()).add("weak" if cue in WEAK_CUES else "cue")
-        for cue in WEAK_CUES - set(CUES):
-            kinds.setdefault(cue, set()).add("weak")
+    for what, parts in HINTS.items():
+        for part in parts:
+            kinds.setdefault(part, set()).add(what)
+    for cue in {*CUES, *WEAK_CUES}:
+        kinds.setdefault(cue, set()).add("weak" if cue in WEAK_CUES else "cue")
     automaton = ahocorasick.Automaton()
     for part, whats in kinds.items():
         automaton.add_word(part, (len(part), frozenset(whats)))
@@ -112,11 +116,16 @@ def _automaton(which: str):
     return automaton
 
 
-def _cue_ends(low: str) -> dict[int, str]:
-    """Where a name may start behind a cue (spaces and punctuation of labels skipped): the strongest cue there."""
+def _looked_through(low: str) -> tuple[set[str], dict[int, str]]:
+    """The hints that are in a text, and where a name may start behind a cue (spaces and punctuation of labels skipped) with
+    the strongest cue there."""
+    hints: set[str] = set()
     out: dict[int, str] = {}
     n = len(low)
-    for last, (length, whats) in _automaton("cues").iter(low):
+    for last, (length, whats) in _automaton().iter(low):
+        hints |= whats
+        if "cue" not in whats and "weak" not in whats:
+            continue
         end = last + 1
         start = end - length
         if start and (low[start - 1].isalnum() or low[start - 1] == "_") or end < n and (low[end].isalnum() or low[end] in "_-"):
@@ -136,11 +145,11 @@ def _cue_ends(low: str) -> dict[int, str]:
             at += 1
         if at > end and (out.get(at) != "cue"):
             out[at] = kind
-    return out
+    return hints, out
 
 
 def plain(text: str) -> str:
-    return text if text.isascii() else text.translate(PLAIN)
+    return text if text.isascii() or not NOT_PLAIN.search(text) else text.translate(PLAIN)
 
 
 def _word_before(text: str, at: int) -> str:
@@ -153,7 +162,7 @@ def _word_before(text: str, at: int) -> str:
     return text[start:end].lower()
 
 
-def _email_candidates(text: str, low: str):
+def _email_candidates(text: str, low: str, hints: set[str], cues: dict[int, str]):
     at = text.find("@")
     while at >= 0:
         local = LOCAL.search(text, max(0, at - MAX_LOCAL), at)
@@ -201,7 +210,7 @@ def _email_features(text, start, end, local, parts, form):
     return out
 
 
-def _phone_candidates(text: str, low: str):
+def _phone_candidates(text: str, low: str, hints: set[str], cues: dict[int, str]):
     if not DIGITS.search(text):
         return
     for m in PHONE.finditer(text):
@@ -263,11 +272,11 @@ def _id_class(s: str) -> str:
     return "other"
 
 
-def _id_candidates(text: str, low: str):
-    if not DIGITS.search(text) and not HAS_DIGIT.search(text):
+def _id_candidates(text: str, low: str, hints: set[str], cues: dict[int, str]):
+    if not HAS_DIGIT.search(text):
         return
     seen = set()
-    for m in ID_AFTER.finditer(text):
+    for m in ID_AFTER.finditer(text) if "id" in hints else ():
         s = m[1]
         cuts = [len(s)] + [x.start() for x in re.finditer(r"[ .-]", s)]
         for cut in cuts:
@@ -298,10 +307,9 @@ def _id_features(text, start, end, cue):
     return out
 
 
-def _address_candidates(text: str, low: str):
+def _address_candidates(text: str, low: str, hints: set[str], cues: dict[int, str]):
     if not HAS_DIGIT.search(text):
         return
-    hints = set().union(*(whats for _, (_, whats) in _automaton("streets").iter(low)))
     for form, pattern in ADDRESS:
         if form not in hints:
             continue
@@ -483,9 +491,8 @@ def _name_tokens(text: str, at: int) -> list[tuple[int, int]]:
     return out
 
 
-def _name_candidates(text: str, low: str):
-    cues = _cue_ends(low)
-    titles = {m.end(): m.start() for m in NAME_TITLE.finditer(text)} if NAME_TITLE.search(text) else {}
+def _name_candidates(text: str, low: str, hints: set[str], cues: dict[int, str]):
+    titles = {m.end(): m.start() for m in NAME_TITLE.finditer(text)}
     seen = set()
 
     def cue_at(start: int) -> tuple[str, bool]:
@@ -525,7 +532,7 @@ def _name_candidates(text: str, low: str):
         for n in range(1, len(tokens) + 1):
             yield from span(tokens[:n])
     # small letters before what only people do, at the start of a sentence
-    for m in LOWER_RIGHT.finditer(low):
+    for m in LOWER_RIGHT.finditer(low) if "lower_right" in hints else ():
         line = max(low.rfind("\n", 0, m.start()) + 1, m.start() - MAX_SEGMENT)
         found = [_trim(x) for x in TOKEN.finditer(low, line, m.start())][-MAX_NAME:]
         for n in range(len(found)):
@@ -534,7 +541,7 @@ def _name_candidates(text: str, low: str):
                 continue
             if text[tokens[0][0] : m.start()].islower() and _left_of(text, tokens[0][0])[0] == "start":
                 yield from span(tokens)
-    for m in NAME_HONORIFIC.finditer(text):
+    for m in NAME_HONORIFIC.finditer(text) if "honorific" in hints else ():
         parts = [x.span() for x in re.compile(r"[^ ・]+").finditer(text, m.start(1), m.end(1))]
         for tokens in (parts, parts[-1:]):
             family = text[tokens[0][0] : tokens[0][1]]
@@ -542,13 +549,12 @@ def _name_candidates(text: str, low: str):
             yield from span(tokens, "honorific", f"name:honorific_{'whole' if len(tokens) == len(parts) else 'part'}", f"name:honorific_{lexicon}", f"name:honorific_length={min(len(family), 4)}:{len(parts)}", f"name:honorific_kana={any('ぁ' <= c <= 'ヿ' for c in family)}")
     for run in HAN_RUN.finditer(text):
         a, b = run.span()
-        for i in range(a, b - 1):
+        behind = {m.end() for m in HAN_BEFORE.finditer(text, a, b)}
+        for i in sorted(behind | {a}):
             two = text[i : i + 2] in JAPANESE
-            if not two and text[i] not in CHINESE:
-                continue
-            cue = bool(HAN_BEFORE.search(text, max(a, i - 3), i))
-            if i > a and not cue:
+            if not two and text[i : i + 1] not in CHINESE:
                 continue
+            cue = i in behind
             place = "cue" if cue else "start"
             for length in (2, 3, 4):
                 if i + length > b:
@@ -567,8 +573,9 @@ def candidates(text: str) -> list[tuple[int, int, str, list[str]]]:
     if len(low) != len(text):  # offsets must hold
         low = "".join(x if len(x := c.lower()) == 1 else c for c in text)
     out = []
+    hints, cues = _looked_through(low)
     for source in (_email_candidates, _phone_candidates, _id_candidates, _address_candidates, _name_candidates):
-        out += source(text, low)
+        out += source(text, low, hints, cues)
     return sorted(out, key=lambda c: (c[1], c[0], c[2]))
 
 
