@@ -6,6 +6,7 @@ import time
 
 import brute
 import numpy as np
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -17,7 +18,7 @@ from engram.llm.packing import fill_report, pack, plan
 from engram.llm.sentences import N_STATES, blocks, sentence_ends, sentences, transduce
 from engram.llm.splitting import split_points, split_texts
 from engram.llm.tokens import VOCABULARY, count_tokens, encoder, text_parts, with_tokens
-from engram.llm.vectors import nearest, neighbour_pairs, pivot_order, usable_vectors
+from engram.llm.vectors import _fit, nearest, neighbour_pairs, pivot_order, usable_vectors
 
 
 @pytest.mark.parametrize("name", ["p3_found", "p5_found", "p7_found"])
@@ -166,7 +167,7 @@ def test_recall_with_files_and_blocks(spark):
     x = (centres[rng.integers(12, size=900)] + 0.6 * rng.normal(size=(900, 16))).astype(np.float32)
     rows = [("p", f"c{i:04d}", v.tolist(), "clash") for i, v in enumerate(x)]
     df = spark.createDataFrame(rows, "project_id string, chunk_id string, embedding array<float>, head string")
-    got = {(r.query, r.member) for r in nearest(df, dim=16, k=5, n_pivots=64, block=100).collect()}
+    got = {(r.query, r.member) for r in nearest(df, dim=16, k=5, file=32, block=100).collect()}
     u = x / np.linalg.norm(x, axis=1, keepdims=True).astype(np.float64)
     sim = np.round(u @ u.T, 9)
     np.fill_diagonal(sim, -9)
@@ -174,6 +175,52 @@ def test_recall_with_files_and_blocks(spark):
     assert len(got) == 4500 and len(got & want) / len(want) > 0.95
 
 
+@pytest.mark.parametrize(("kind", "n"), [("isotropic", 9_000), ("clustered", 9_000), ("clustered", 30_000)])
+def test_recall_at_production_parameters(spark, kind, n):
+    """One project; recall of a sample of queries against brute force."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(n, 64))
+    if kind == "clustered":
+        x = rng.normal(size=(n // 50, 64))[rng.integers(n // 50, size=n)] + 0.35 * x
+    x = x.astype(np.float32)
+    df = spark.createDataFrame(pd.DataFrame({"project_id": "p", "chunk_id": [f"{i:06d}" for i in range(n)], "embedding": list(x)}), "project_id string, chunk_id string, embedding array<float>")
+    got: dict[int, set] = {}
+    for q, m in nearest(df, dim=64).select("query", "member").toPandas().itertuples(index=False):
+        got.setdefault(int(q), set()).add(int(m))
+    assert len(got) == n and all(len(g) == 5 for g in got.values())
+    u = x / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    some = np.arange(0, n, n // 250)
+    sim = np.round(u[some] @ u.T, 9)
+    sim[np.arange(len(some)), some] = -9
+    hits = sum(len(got[i] & set(np.argsort(-row, kind="stable")[:5].tolist())) for i, row in zip(some, sim))
+    assert hits / (5 * len(some)) > 0.97
+
+
+def test_fitted_settings_and_exact_option(spark):
+    rows = [{"level": 4, "needs": [1, 1, 1, 1, 1], "closeness": 40}] * 99 + [{"level": 4, "needs": [1, 2, 4, 8, 16], "closeness": 3}]
+    assert _fit(rows, {4: 8_000}, 0.99) == {4: (16, 1, 1)}  # the rare case may be missed
+    assert _fit(rows, {4: 8_000}, 1.0) == {4: (1, 1, 1)}  # none may be missed: one file
+    assert _fit([], {0: 1}, 0.99) == {0: (1, 1, 0)}
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 8)).astype(np.float32)
+    df = spark.createDataFrame([("p", f"{i:03d}", v.tolist()) for i, v in enumerate(x)], "project_id string, chunk_id string, embedding array<float>")
+    got = {(int(r.query), int(r.member)) for r in nearest(df, dim=8, exact=True, file=16, block=64).collect()}
+    u = x / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    sim = np.round(u @ u.T, 9)
+    np.fill_diagonal(sim, -9)
+    assert got == {(i, j) for i in range(300) for j in np.argsort(-sim[i], kind="stable")[:5].tolist()}
+
+
+def test_a_query_far_from_all_looks_everywhere(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(1, 8)) + 40 * np.eye(8)[i % 7] for i in range(200)] + [40 * np.eye(8)[7:]]).astype(np.float32)
+    df = spark.createDataFrame([("p", f"{i:03d}", v.tolist()) for i, v in enumerate(x)], "project_id string, chunk_id string, embedding array<float>")
+    got: dict = {}
+    for r in nearest(df, dim=8, file=8, recall=0.5).collect():
+        got.setdefault(r.query, set()).add(r.member)
+    assert len(got) == 201 and all(len(g) == 5 for g in got.values())
+
+
 def test_many_copies_keep_the_smallest_ids(spark):
     rng = np.random.default_rng(8)
     hot = rng.normal(size=64).astype(np.float32)
