@@ -15,7 +15,7 @@ from engram.errors import EngramError, InvalidArgumentError
 from engram.functions.text import JS_SPACE, iso_now, js_trim
 from engram.functions.vectors import is_valid
 from engram.operators.recall import ranked, top_k
-from engram.operators.state import last_write, upsert
+from engram.operators.state import CHUNK_KEY, last_write
 from engram.session import cut
 from engram.sources.config import load_config, private_dir
 from engram.sources.store import CHUNK_SCHEMA, SnapshotTable
@@ -39,20 +39,23 @@ class ChunkStore:
 
     def __init__(self, spark: SparkSession, path: str, dim: int):
         self.spark, self.dim = spark, check_dim(dim)
-        self.table = SnapshotTable(spark, path, CHUNK_SCHEMA, self.dim, cluster=("project_id", "source_uri"))
+        self.table = SnapshotTable(spark, path, CHUNK_SCHEMA, self.dim)
 
     def put(self, chunks: DataFrame) -> DataFrame:
         """Upsert chunks (columns of the store but the times, plus ``ordinal`` for the order within the batch); all get one
         write time, created_at of known chunks stays, the last of equal keys wins. Broken rows fail the batch."""
-        self._check(chunks)
+        self.check(chunks)
         now = self.spark.range(1).select(iso_now().alias("now")).collect()[0]["now"]
         batch = chunks.withColumn("created_at", F.lit(now)).withColumn("updated_at", F.lit(now))
         if "ordinal" in batch.columns:
             batch = last_write(batch, ("project_id", "chunk_id"), "ordinal")
         batch = batch.select([F.col(f.name).cast(f.dataType) for f in CHUNK_SCHEMA])
-        return self.table.replace(lambda current: upsert(current, batch))
+        known = self.table.read().select(*CHUNK_KEY, F.col("created_at").alias("_old"))  # only keys and times are read
+        batch = batch.join(known, list(CHUNK_KEY), "left").withColumn("created_at", F.coalesce("_old", "created_at"))
+        return self.table.upsert(batch)
 
-    def _check(self, chunks: DataFrame) -> None:
+    def check(self, chunks: DataFrame) -> None:
+        """Raises for the first rule that a row breaks; vectors are looked at where there are any."""
         text = js_trim(F.col("text"))
         rules = [
             (F.col("chunk_id").isNull() | (F.col("chunk_id") == ""), "chunk_id must be a non-empty string"),
@@ -60,7 +63,9 @@ class ChunkStore:
             (text.isNull() | (text == ""), "text must be non-empty"),
             (F.octet_length("text") > TEXT_LIMIT_BYTES, f"text must be <= {TEXT_LIMIT_BYTES} bytes"),
             (F.octet_length("metadata_json") > METADATA_LIMIT_BYTES, f"metadata JSON must be <= {METADATA_LIMIT_BYTES} bytes"),
-            (~is_valid(F.col("embedding").cast("array<float>"), self.dim), f"embedding must have {self.dim} finite values"),
+            (F.col("metadata_json").isNotNull() & ~F.schema_of_variant(F.try_parse_json("metadata_json")).startswith("OBJECT"), "metadata must be a JSON object"),
+            (F.col("metadata_json").isNotNull() & F.try_parse_json("metadata_json").isNull(), "metadata must be valid JSON"),
+            *([(~is_valid(F.col("embedding").cast("array<float>"), self.dim), f"embedding must have {self.dim} finite values")] if "embedding" in chunks.columns else []),
         ]
         broken = F.coalesce(*[F.when(bad, F.lit(message)) for bad, message in rules])
         if found := chunks.select(broken.alias("broken")).where("broken is not null").limit(1).collect():
@@ -71,7 +76,7 @@ class ChunkStore:
         check_project(project_id)
         check_limit(limit, MAX_RECALL_LIMIT, "limit")
         query = check_embedding(embedding, self.dim)
-        return ranked(top_k(self.table.read(), query, limit, where=F.col("project_id") == project_id, ties=["chunk_id"]), "chunk_id")
+        return ranked(top_k(self.table.read(project_id), query, limit, where=F.col("project_id") == project_id, ties=["chunk_id"]), "chunk_id")
 
     def delete(self, project_id: str, chunk_ids: Sequence[str]) -> int:
         """How many chunks of the project went away."""
@@ -83,10 +88,10 @@ class ChunkStore:
         if any(not isinstance(c, str) or not c for c in chunk_ids):
             raise InvalidArgumentError("chunk_ids must be non-empty strings")
         gone = self.spark.createDataFrame([(project_id, c) for c in dict.fromkeys(chunk_ids)], "project_id string, chunk_id string")
-        key = ["project_id", "chunk_id"]
-        count = self.table.read().join(gone, key, "left_semi").count()
+        hit = self.table.read(project_id).join(gone, list(CHUNK_KEY), "left_semi").select(*CHUNK_KEY).collect()  # at most the ids given
+        count = len(hit)
         if count:
-            self.table.replace(lambda current: current.join(gone, key, "left_anti"))
+            self.table.delete(self.spark.createDataFrame(hit, "project_id string, chunk_id string"))
         return count
 
 
@@ -121,11 +126,9 @@ class Client:
         self._check_open()
         check_project(project_id)
         if isinstance(chunks, DataFrame):
-            names = [f for f in CHUNK_SCHEMA if f.name not in ("project_id", "text", "created_at", "updated_at", "embedding")]
-            have = [F.col(f.name).cast(f.dataType) if f.name in chunks.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in names]
-            order = F.col("ordinal") if "ordinal" in chunks.columns else F.monotonically_increasing_id().alias("ordinal")
-            rows = chunks.select(F.lit(project_id).alias("project_id"), js_trim(F.col("text")).alias("text"), *have, order)
-            rows = cut(with_embeddings(rows, self.embedder))  # ids and vectors are made once
+            rows = _input_rows(chunks, project_id)
+            self.store_.check(rows)
+            rows = cut(with_embeddings(cut(rows), self.embedder))  # ids and vectors are made once
         else:
             if not isinstance(chunks, Sequence) or isinstance(chunks, (str, bytes)):
                 raise InvalidArgumentError("chunks must be an array")
@@ -159,13 +162,24 @@ class Client:
     def status(self, project_id: str) -> int:
         """How many chunks the project has."""
         self._check_open()
-        return self.store_.table.read().where(F.col("project_id") == check_project(project_id)).count()
+        return self.store_.table.read(check_project(project_id)).count()
 
     def _check_open(self) -> None:
         if not self._open:
             raise EngramError("client is closed")
 
 
+def _input_rows(chunks: DataFrame, project_id: str) -> DataFrame:
+    """Input rows in the columns of the store, with ordinal. A null or missing chunk_id gets a new one. Without a column
+    ``ordinal`` rows are ordered by their content, so that the last of equal keys does not depend on partitions."""
+    names = [f for f in CHUNK_SCHEMA if f.name not in ("project_id", "text", "created_at", "updated_at", "embedding")]
+    have = [F.col(f.name).cast(f.dataType) if f.name in chunks.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in names]
+    rows = chunks.select(F.lit(project_id).alias("project_id"), js_trim(F.col("text")).alias("text"), *have, *(["ordinal"] if "ordinal" in chunks.columns else []))
+    if "ordinal" not in chunks.columns:
+        rows = rows.withColumn("ordinal", F.xxhash64(*rows.columns))
+    return rows.withColumn("chunk_id", F.coalesce("chunk_id", F.uuid()))
+
+
 def _public(rows: DataFrame, *more: str) -> DataFrame:
     """The public columns; metadata is parsed, times and vectors stay inside."""
     names = [c for c in PUBLIC if c != "metadata_json"]

@@ -16,13 +16,14 @@ from engram.functions.text import JS_SPACE, entry_chunk_id, iso_now, snippet
 from engram.operators.branches import active_chain
 from engram.operators.recall import ranked, search_filter, top_k
 from engram.operators.sessions import first_seen, parse_messages
-from engram.operators.state import new_rows, reconcile
+from engram.operators.state import ENTRY_KEY, new_rows, stale_rows
 from engram.session import cut
 from engram.sources.jsonl import read_sessions
 from engram.sources.store import SESSION_SCHEMA, SnapshotTable
 from engram.validate import DEFAULT_SEARCH_LIMIT, MAX_FILTERED_CANDIDATES, MAX_SEARCH_LIMIT, MAX_SESSION_DIM, check_dim, check_limit
 
-SOURCE_KIND = "session-jsonl"
+#: Fixed value: the kind of source that rows of session files carry.
+SOURCE_KIND = "pi-jsonl"
 POINTER = {"sourceKind": "source_kind", "sourceUri": "source_uri", "entryId": "entry_id", "parentId": "parent_id", "lineNumber": "line_number", "timestamp": "timestamp", "cwd": "cwd"}
 TIES = ("source_uri", "line_number", "chunk_id")
 
@@ -54,10 +55,11 @@ def index_records(messages: DataFrame, source_kind: str = SOURCE_KIND) -> DataFr
 class SessionIndex:
     """Index of session messages; rows are added once by (source_uri, entry_id) and never changed."""
 
-    def __init__(self, spark: SparkSession, path: str, embedder: Embedder):
+    def __init__(self, spark: SparkSession, path: str, embedder: Embedder, *, create: bool = True):
+        """create: False opens an index that must be there already, as a search does."""
         self.spark, self.embedder = spark, embedder
         check_dim(embedder.dim, 1, MAX_SESSION_DIM)
-        self.table = SnapshotTable(spark, path, SESSION_SCHEMA, embedder.dim, cluster=("source_uri",))
+        self.table = SnapshotTable(spark, path, SESSION_SCHEMA, embedder.dim, key=ENTRY_KEY, create=create)
 
     def index_messages(self, messages: DataFrame) -> IndexReport:
         """Adds messages of new entries; only these are embedded. The report counts repeated and known ones."""
@@ -66,14 +68,15 @@ class SessionIndex:
         total, new = found.count(), fresh.count()
         if new:
             added = cut(with_embeddings(index_records(fresh), self.embedder, "snippet"))
-            self.table.replace(lambda current: current.unionByName(added))
+            self.table.append(added)
         return IndexReport(True, new, total - new)
 
     def reconcile(self, active: DataFrame) -> None:
         """Drops rows of the files in ``active`` (source_uri, entry_id) whose entries are not active."""
         if not self.table.is_empty and active.limit(1).count():
-            active = cut(active)
-            self.table.replace(lambda current: reconcile(current, active))
+            stale = cut(stale_rows(self.table.read().select(*ENTRY_KEY), cut(active)))
+            if stale.limit(1).count():
+                self.table.delete(stale)
 
     def index_lines(self, lines: DataFrame, active: DataFrame | None = None) -> IndexReport:
         """One pass over session lines: stale entries go, new messages of active branches come. ``active`` None means no
@@ -112,7 +115,7 @@ class SessionIndex:
             raise EngramError(f"search store is unavailable: {self.table.path}")
         if self.table.is_empty:
             return None, "The session index is empty; index sessions first."
-        rows, where = self.table.read(), search_filter(**filters)
+        rows, where = self.table.read(filters.get("source_uri")), search_filter(**filters)
         if where is not None:
             n = rows.where(where).count()
             if n == 0:

@@ -165,10 +165,55 @@ def test_store_schema_rules(spark, tmp_path):
     assert table.clean() == 0
     table.replace(lambda cur: cur.limit(0))
     assert table.read().count() == 0 and table.clean() == 1
-    with open(os.path.join(path, "_CURRENT"), "w") as f:
+    with open(os.path.join(path, "_log", f"{table.entry:012d}.json"), "w") as f:
         f.write("{")
     with pytest.raises(EngramError, match="integrity"):
         SnapshotTable(spark, path, CHUNK_SCHEMA, 64)
+    with pytest.raises(EngramError, match="unavailable"):
+        SnapshotTable(spark, str(tmp_path / "none"), CHUNK_SCHEMA, 64, create=False)
+    assert not os.path.exists(tmp_path / "none")
+
+
+def _chunk_rows(spark, *ids, text="t", at="x"):
+    return spark.createDataFrame([("p", i, text, *[None] * 9, at, at, [0.0] * 64) for i in ids], CHUNK_SCHEMA)
+
+
+def test_overlapping_writers(spark, tmp_path):
+    """The second of two writers that started from the same version fails; nothing of the first is lost."""
+    path = str(tmp_path / "t")
+    a, b = (SnapshotTable(spark, path, CHUNK_SCHEMA, 64) for _ in range(2))
+    a.append(_chunk_rows(spark, "zero"))
+
+    def meanwhile(now):
+        a.append(_chunk_rows(spark, "a"))
+        return now.unionByName(_chunk_rows(spark, "b"))
+
+    with pytest.raises(EngramError, match="another writer"):
+        b.replace(meanwhile)
+    assert {r.chunk_id for r in b.read().collect()} == {"zero", "a"} and b.clean() == 0
+    b.append(_chunk_rows(spark, "b"))
+    assert {r.chunk_id for r in a.read().collect()} == {"zero", "a", "b"}
+
+
+def test_changes_only_add_files(spark, tmp_path):
+    path = str(tmp_path / "t")
+    table = SnapshotTable(spark, path, CHUNK_SCHEMA, 64)
+    state = lambda: {(r.chunk_id, r.text) for r in table.read().collect()}
+    table.append(_chunk_rows(spark, "a", "b", "c"))
+    files = {os.path.join(d, f) for d, _, fs in os.walk(path) for f in fs}
+    table.upsert(_chunk_rows(spark, "b", "d", text="new"))
+    table.delete(_chunk_rows(spark, "a", "none").select("project_id", "chunk_id"))
+    assert files <= {os.path.join(d, f) for d, _, fs in os.walk(path) for f in fs}
+    assert state() == {("b", "new"), ("c", "t"), ("d", "new")}
+    table.append(_chunk_rows(spark, "a", text="back"))
+    want = {("a", "back"), ("b", "new"), ("c", "t"), ("d", "new")}
+    assert state() == want and table.read("p").count() == 4 and table.read("q").count() == 0
+    table.compact()
+    assert state() == want and len(table.manifest["parts"]) == 1 and table.clean() == 4
+    for part in table.manifest["parts"]:
+        os.rename(os.path.join(path, part["at"]), os.path.join(path, "moved"))
+    with pytest.raises(EngramError, match="files are missing"):
+        SnapshotTable(spark, path, CHUNK_SCHEMA, 64)
 
 
 SESSION = [
