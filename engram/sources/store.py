@@ -48,6 +48,27 @@ SESSION_SCHEMA = T.StructType(
 )
 
 
+def last_entry(log: str) -> int:
+    """The number of the last entry of a log, 0 before the first."""
+    return max((int(f[:-5]) for f in os.listdir(log) if f.endswith(".json")), default=0) if os.path.isdir(log) else 0
+
+
+def claim_entry(log: str, entry: int, what: dict) -> None:
+    """Creates a log entry, complete and only if there is none of its number."""
+    draft = os.path.join(log, f"draft-{uuid.uuid4().hex}")
+    with open(draft, "w") as f:
+        json.dump(what, f)
+        f.flush()
+        os.fsync(f.fileno())
+    os.chmod(draft, 0o600)
+    try:
+        os.link(draft, os.path.join(log, f"{entry:012d}.json"))
+    except FileExistsError:
+        raise EngramError("another writer changed the table") from None
+    finally:
+        os.unlink(draft)
+
+
 class SnapshotTable:
     """One table of the store under ``path``; key columns are not null and unique in it."""
 
@@ -77,9 +98,7 @@ class SnapshotTable:
     @property
     def entry(self) -> int:
         """The number of the last log entry, 0 before the first."""
-        if not os.path.isdir(self._log):
-            return 0
-        return max((int(f[:-5]) for f in os.listdir(self._log) if f.endswith(".json")), default=0)
+        return last_entry(self._log)
 
     @property
     def manifest(self) -> dict | None:
@@ -185,19 +204,7 @@ class SnapshotTable:
         return self.read()
 
     def _claim(self, entry: int, what: dict) -> None:
-        """Creates a log entry, complete and only if there is none of its number."""
-        draft = os.path.join(self._log, f"draft-{uuid.uuid4().hex}")
-        with open(draft, "w") as f:
-            json.dump({"format": FORMAT, "columns": self.schema.names, "dim": self.dim, **what}, f)
-            f.flush()
-            os.fsync(f.fileno())
-        os.chmod(draft, 0o600)
-        try:
-            os.link(draft, os.path.join(self._log, f"{entry:012d}.json"))
-        except FileExistsError:
-            raise EngramError("another writer changed the table") from None
-        finally:
-            os.unlink(draft)
+        claim_entry(self._log, entry, {"format": FORMAT, "columns": self.schema.names, "dim": self.dim, **what})
 
     def clean(self) -> int:
         """Removes files that the table no longer names (left by failed writers, or replaced); returns how many sets. Not

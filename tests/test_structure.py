@@ -161,3 +161,34 @@ def test_change_store_survives_failures(spark, tmp_path):
     assert store.version == before
     assert {tuple(r) for r in store.run(second, ["k"], "v", lambda d: d).collect()} == {("b", 2), ("c", 1)}
     assert store.run(second, ["k"], "v", lambda d: d).count() == 0
+
+
+def test_a_small_change_reads_and_writes_few_ranges(spark, tmp_path):
+    """Changes in one source touch its range of the tree only; all other files stay as they are and are not read."""
+    store = ChangeStore(spark, str(tmp_path / "s"))
+    rows = [(f"file{i % 97}", f"e{i}", "v1") for i in range(3000)]
+    df = lambda r: spark.createDataFrame(r, "source_uri string, entry_id string, version string")
+    keys = ["source_uri", "entry_id"]
+    assert store.run(df(rows), keys, "version", lambda d: d).count() == 3000
+    first = store.state
+    changed = [(u, e, "v2" if e == "e5" else v) for u, e, v in rows if e != "e102"] + [("file5", "new", "v1")]  # all in file5
+    assert {tuple(r) for r in store.run(df(changed), keys, "version", lambda d: d).collect()} == {("file5", "e5", "v2"), ("file5", "new", "v1")}
+    second = store.state
+    assert len({r for r in second["ranges"] if second["ranges"][r] != first["ranges"].get(r)}) == 1
+    seen = []
+    inner = store._ranges
+    store._ranges = lambda state, part, ranges: seen.append((part, list(ranges))) or inner(state, part, ranges)
+    more = changed + [("file9", "late", None)]
+    assert [tuple(r) for r in store.run(df(more), keys, "version", lambda d: d).collect()] == [("file9", "late", None)]
+    assert seen and all(len(ranges) == 1 for _, ranges in seen)
+    assert store.run(df(more), keys, "version", lambda d: d).count() == 0
+    with pytest.raises(ZeroDivisionError):
+        store.run(df(rows), keys, "version", lambda d: 1 / 0)
+    assert store.version == 4 and store.read("handled").count() == 3001 and store.run(df(more[:10]), keys, "version", lambda d: d).count() == 0
+
+
+@pytest.mark.parametrize("levels", [3, 4, 6])
+def test_levels_give_the_same_result(spark, levels):
+    a = spark.createDataFrame([(f"k{i}", i % 5) for i in range(400)], "k string, v int")
+    b = spark.createDataFrame([(f"k{i}", i % 5 + (i % 50 == 0)) for i in range(10, 400)], "k string, v int")
+    assert {r.k for r in unseen(a, b, ["k"], "v", levels=levels).collect()} == {f"k{i}" for i in range(400) if i < 10 or i % 50 == 0}
