@@ -2,9 +2,9 @@
 
 Method: weighted disjoint-set forests. Every task links the rows it holds (``_local_forest``: each node gets the
 highest ancestor it can reach inside the task and its distance to it). Only the links that leave a task go on: they are
-a much smaller forest with weighted edges, which is merged group by group, and whatever is still open after that (groups
-larger than a task may hold) is closed by doubling, whose rounds are the logarithm of the open links. A node that never
-reaches a top is on a circle or below one.
+a much smaller forest with weighted edges, which is merged hierarchically: MERGE neighbouring blocks of a group at a time, then
+MERGE of those, until a group is whole. Whatever is still open after that (more open links than a task may hold) is closed
+by doubling, whose rounds are the logarithm of the open links. A node that never reaches a top is on a circle or below one.
 
 Nothing is collected: the memory of a task is bounded by ``batch_rows``, no matter how many rows a group has.
 """
@@ -26,6 +26,10 @@ from engram.session import cut, held
 BATCH_ROWS = 131_072
 #: Positions (line numbers) of one group that stay together in the first step.
 BLOCK_POSITIONS = 8_192
+#: Blocks of one group that are merged at a time.
+MERGE = 64
+#: Blocks that nodes without a position are spread over.
+SPREAD = 64
 
 
 def _rows_above(keys: np.ndarray, parents: np.ndarray) -> np.ndarray:
@@ -78,22 +82,23 @@ def _objects(table: pa.Table, name: str) -> np.ndarray:
 PATH_ELEMENTS = 500_000
 
 
-def _paths(ids: np.ndarray, up: np.ndarray) -> Iterator[tuple[int, int, pa.Array]]:
-    """Slices (from, to, paths) of the rows with the path from each row's top down to it; ``up`` is the row above, -1 at
-    a top, -2 where a row never reaches one and so has no path."""
+def _paths(ways: list, up: np.ndarray) -> Iterator[tuple[int, int, pa.Array]]:
+    """Slices (from, to, paths) of the rows with the path from each row's top down to it, put together of the rows' own ways;
+    ``up`` is the row above, -1 at a top, -2 where a row never reaches one and so has no path."""
     start, values, offsets, up = 0, [], [0], up.tolist()
-    for i in range(len(ids)):
+    for i in range(len(ways)):
         path, at = [], i if up[i] != -2 else -1
         while at >= 0:
-            path.append(ids[at])
+            path.append(ways[at])
             at = up[at]
-        values += path[::-1]
+        for way in path[::-1]:
+            values += way
         offsets.append(len(values))
         if len(values) >= PATH_ELEMENTS:
             yield start, i + 1, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.string()))
             start, values, offsets = i + 1, [], [0]
-    if start < len(ids):
-        yield start, len(ids), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.string()))
+    if start < len(ways):
+        yield start, len(ways), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.string()))
 
 
 def _link_step(schema: pa.Schema, batch_rows: int):
@@ -125,7 +130,7 @@ def _link_step(schema: pa.Schema, batch_rows: int):
                 continue
             up = _rows_above(keys, parents)
             up[circle] = -2
-            for start, end, paths in _paths(ids, up):
+            for start, end, paths in _paths([way or [] for way in table.column("_path").to_pylist()], up):
                 part = table.slice(start, end - start)
                 part = part.set_column(part.schema.get_field_index("_path"), "_path", paths)
                 yield from part.select(schema.names).cast(schema).to_batches()
@@ -164,7 +169,8 @@ def hierarchy(
     keep = [c for c in keep or [] if c not in {*group_cols, id_col, parent_col}]
     up = F.col(parent_col)
     up = F.when(up != "", up)
-    place = F.lit(0) if position_col is None else F.coalesce(F.floor(F.col(position_col) / block_positions), F.pmod(F.hash(id_col), F.lit(64)))
+    spread = F.pmod(F.hash(id_col), F.lit(SPREAD))
+    place = spread if position_col is None else F.coalesce(F.floor(F.col(position_col) / block_positions), spread)
     base = (
         nodes.where(F.col(id_col).isNotNull())
         .select(
@@ -180,7 +186,6 @@ def hierarchy(
         )
         .repartition("_g", "_place")
         .sortWithinPartitions("_g", "_place")
-        .drop("_place")
     )
     if with_paths:
         base = base.withColumn("_path", F.array("_id"))
@@ -207,13 +212,80 @@ def descendants(tree: DataFrame, group_cols: list[str], id_col: str) -> DataFram
     )
 
 
+def subtree_counts(tree: DataFrame, group_cols: list[str], id_col: str) -> DataFrame:
+    """How many nodes lie below each node that has any, from ``hierarchy(..., with_paths=True)``: group_cols, id_col, n.
+
+    Nodes are sorted by their paths, so that those below a node follow it at once; every task counts in one pass with a stack
+    as high as a path, and adds up to one row for each node and each ancestor of its first one. Nothing is multiplied out.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    rows = tree.where("depth >= 0").select(group_key(*[F.col(c) for c in group_cols]).alias("_g"), *group_cols, F.col(id_col).alias("_id"), "depth", "path")
+    fields = rows.select("_g", *group_cols, F.col("_id").alias(id_col), F.lit(0).cast("long").alias("n")).schema
+    ordered = rows.repartitionByRange("_g", "path").sortWithinPartitions("_g", "path")
+    parts = ordered.mapInArrow(_count_step(to_arrow_schema(fields), group_cols), fields)
+    return parts.groupBy("_g", id_col).agg(*[F.first(c).alias(c) for c in group_cols], F.sum("n").alias("n")).select(*group_cols, id_col, "n")
+
+
+def _count_step(schema: pa.Schema, group_cols: list[str]):
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stack: list[list] = []  # [id, nodes below] of the path that is open
+        group, values = None, None
+        out: list[list] = []
+
+        def close(to: int) -> None:
+            while len(stack) > to:
+                name, below = stack.pop()
+                if below:
+                    out.append([group, *values, name, below])
+                if stack:
+                    stack[-1][1] += below
+
+        def flush() -> pa.RecordBatch:
+            columns = [pa.array([row[i] for row in out], schema.field(i).type) for i in range(len(schema))]
+            out.clear()
+            return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+        for b in batches:
+            groups, ids, depths, paths = (b.column(c) for c in ("_g", "_id", "depth", "path"))
+            keys = [b.column(c).to_pylist() for c in group_cols]
+            for i, (g, name, depth) in enumerate(zip(groups.to_pylist(), ids.to_pylist(), depths.to_pylist())):
+                if g != group:
+                    close(0)
+                    group, values = g, [k[i] for k in keys]
+                above = None
+                if depth:
+                    above = paths[i].values[depth - 1].as_py()
+                if depth and not (len(stack) >= depth and stack[depth - 1][0] == above and stack[0][0] == paths[i].values[0].as_py()):
+                    close(0)  # the first node of the task, or of a tree: its ancestors were met elsewhere
+                    stack.extend([x, 0] for x in paths[i].as_py()[:-1])
+                close(depth)
+                if stack:
+                    stack[-1][1] += 1
+                stack.append([name, 0])
+            if len(out) >= PATH_ELEMENTS:
+                yield flush()
+        close(0)
+        yield flush()
+
+    return step
+
+
 def _close(local: DataFrame, batch_rows: int) -> DataFrame:
     """Root, distance and circle of every node that a link between tasks leads to: _g, _up, s_top, s_off, s_circle."""
     paths = "_path" in local.columns
     leaving = local.where(F.col("_up").isNotNull() & ~F.col("_circle")).select("_g", F.col("_up").alias("_id")).distinct()
-    between = local.drop("_row").join(leaving, ["_g", "_id"], "left_semi").withColumn("_w", F.col("_off") + 1)
-    # a link from a boundary node goes from its local top to the node above that; merged group by group
-    merged = cut(between if paths else _linked(between.repartition("_g").sortWithinPartitions("_g"), batch_rows))
+    between = local.drop("_row").join(leaving, ["_g", "_id"], "left_semi")
+    # a link from a boundary node goes from its local top to the node above that; merged over ever wider ranges of a group
+    merged = held(between)
+    places = merged.agg(F.max(F.abs("_place"))).collect()[0][0] or 0
+    while True:
+        merged = merged.withColumn("_place", F.floor(F.col("_place") / MERGE)).withColumn("_w", F.col("_off") + 1)
+        merged = _linked(merged.repartition("_g", "_place").sortWithinPartitions("_g", "_place"), batch_rows)
+        places //= MERGE
+        if places == 0:
+            break
+    merged = cut(merged)
     state = ["_g", "_id", "_up", "_top", "_off", "_circle", *(["_path"] if paths else [])]
     heads = merged.select("_g", F.col("_id").alias("_up"), F.lit(True).alias("_known"))
     merged = (  # a link to what is no node ends where it is

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from engram.functions.text import micros
 from engram.operators.changes import unseen
-from engram.operators.hierarchy import descendants, hierarchy
+from engram.operators.hierarchy import descendants, hierarchy, subtree_counts
 from engram.operators.nested import label_nodes
 from engram.operators.sessions import ROLES, current_versions, forest_nodes, session_entries
 from engram.plans import sql
@@ -21,19 +21,29 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("origin", "project_id", "source_uri", "node_id", "root_id", "depth")
 
 
+GROUP = ["origin", "project_id", "source_uri"]
+
+
+def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = forest_nodes(read_table(spark, sf_dir, "mixed_session"), read_table(spark, sf_dir, "source_chunks"))
+    return held(hierarchy(nodes, group_cols=GROUP, id_col="node_id", parent_col="parent_id", position_col="position", with_paths=True))
+
+
 def p2_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every node with its path and the number of nodes below it."""
-    group = ["origin", "project_id", "source_uri"]
-    nodes = forest_nodes(read_table(spark, sf_dir, "mixed_session"), read_table(spark, sf_dir, "source_chunks"))
-    tree = hierarchy(nodes, group_cols=group, id_col="node_id", parent_col="parent_id", position_col="position", with_paths=True)
-    tree = held(tree)
-    below = descendants(tree, group, "node_id").groupBy(*[F.col(c).alias(f"_{c}") for c in group], F.col("ancestor").alias("_node_id")).agg(F.count("*").alias("n"))
-    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*group, "node_id"]]
+    tree = _tree(spark, sf_dir)
+    below = subtree_counts(tree, GROUP, "node_id").select(*[F.col(c).alias(f"_{c}") for c in [*GROUP, "node_id"]], "n")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*GROUP, "node_id"]]
     return tree.join(below, same, "left").select(
-        *group, "node_id", "root_id", "depth", F.array_join("path", "/").alias("path"), F.coalesce("n", F.lit(0)).alias("descendants")
+        *GROUP, "node_id", "root_id", "depth", F.array_join("path", "/").alias("path"), F.coalesce("n", F.lit(0)).alias("descendants")
     )
 
 
+def p2_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of a node and one below it, with the number of links between them."""
+    return descendants(_tree(spark, sf_dir), GROUP, "node_id")
+
+
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each distinct line with JSON in it once."""
     return (
@@ -69,7 +79,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p6_found": p6_found, "p2_found": p2_found, "p2_tree": p2_tree, "p4_found": p4_found}
+QUERIES = {"p6_found": p6_found, "p2_found": p2_found, "p2_tree": p2_tree, "p2_descendants": p2_descendants, "p4_found": p4_found}
 
 
 _NODES = f"""(SELECT 'mixed_session' AS origin, '' AS project_id, source_uri, id AS node_id, nullif(parentId, '') AS parent_id FROM {sql.ENTRIES}
@@ -82,9 +92,21 @@ TREE = f"""WITH RECURSIVE nodes AS MATERIALIZED (SELECT * FROM {_NODES}),
         UNION ALL SELECT n.origin, n.project_id, n.source_uri, n.node_id, t.root_id, t.depth + 1 FROM tree t
             JOIN nodes n ON n.origin = t.origin AND n.project_id = t.project_id AND n.source_uri = t.source_uri AND n.parent_id = t.node_id)"""
 
+PATHS = f"""WITH RECURSIVE nodes AS MATERIALIZED (SELECT * FROM {_NODES}),
+    paths(origin, project_id, source_uri, node_id, p) AS (
+        SELECT n.origin, n.project_id, n.source_uri, n.node_id, [n.node_id] FROM nodes n WHERE n.parent_id IS NULL OR NOT EXISTS
+            (SELECT 1 FROM nodes p WHERE p.origin = n.origin AND p.project_id = n.project_id AND p.source_uri = n.source_uri AND p.node_id = n.parent_id)
+        UNION ALL SELECT n.origin, n.project_id, n.source_uri, n.node_id, list_append(t.p, n.node_id) FROM paths t
+            JOIN nodes n ON n.origin = t.origin AND n.project_id = t.project_id AND n.source_uri = t.source_uri AND n.parent_id = t.node_id)"""
+
 ORACLE = {
     "p2_found": f"""{TREE} SELECT n.origin, n.project_id, n.source_uri, n.node_id, coalesce(t.root_id, '') AS root_id, coalesce(t.depth, -1) AS depth
         FROM nodes n LEFT JOIN tree t USING (origin, project_id, source_uri, node_id)""",
+    "p2_tree": f"""{PATHS}, below AS (SELECT origin, project_id, source_uri, a AS node_id, count(*) AS n FROM paths, unnest(list_slice(p, 1, len(p) - 1)) u(a) GROUP BY ALL)
+        SELECT n.origin, n.project_id, n.source_uri, n.node_id, coalesce(t.p[1], '') AS root_id, coalesce(len(t.p) - 1, -1)::BIGINT AS depth, array_to_string(t.p, '/') AS path,
+            coalesce(b.n, 0) AS descendants FROM nodes n LEFT JOIN paths t USING (origin, project_id, source_uri, node_id) LEFT JOIN below b USING (origin, project_id, source_uri, node_id)""",
+    "p2_descendants": f"""{PATHS} SELECT origin, project_id, source_uri, p[i] AS ancestor, node_id AS descendant, (len(p) - i)::BIGINT AS distance
+        FROM paths, unnest(range(1, len(p))) u(i)""",
     "p6_found": f"""SELECT 'source_chunks' AS origin, c.project_id AS key_a, c.chunk_id AS key_b FROM {sql.CURRENT} c WHERE NOT EXISTS (SELECT 1 FROM index_ledger l
             JOIN index_runs r ON r.run_id = l.run_id AND r.attempt = l.attempt WHERE r.status = 'success' AND l.project_id = c.project_id AND l.chunk_id = c.chunk_id
             AND {sql.instant('l.seen_updated_at')} = {sql.instant('c.updated_at')})

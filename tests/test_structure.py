@@ -8,7 +8,7 @@ import pytest
 
 from engram.operators.branches import active_chain
 from engram.operators.changes import ChangeStore, changed_leaves, merkle_leaves, merkle_tree, unseen
-from engram.operators.hierarchy import descendants, hierarchy
+from engram.operators.hierarchy import descendants, hierarchy, subtree_counts
 from engram.operators.nested import _decode, _read_deep, label_document, label_nodes, nearest_container, node_tables
 
 EDGES = "g string, id string, up string, pos long, depth long, root_id string"
@@ -32,6 +32,23 @@ def test_random_forests_with_tiny_tasks(spark, paths, seed):
         assert all(r.path is None if r.depth < 0 else len(r.path) == r.depth + 1 and r.path[0] == r.root_id for r in out)
 
 
+@pytest.mark.parametrize("partitions", ["1", "7"])
+def test_subtree_counts(spark, partitions):
+    rng = random.Random(9)
+    rows = [(None if g else "g", f"n{i}", None if i < 3 else f"n{rng.randrange(max(0, i - 9), i)}", i) for g in range(2) for i in range(80)]
+    df = spark.createDataFrame(rows, "g string, id string, up string, pos long")
+    tree = hierarchy(df, group_cols=["g"], id_col="id", parent_col="up", with_paths=True, batch_rows=16)
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = {(r.g, r.id): r.n for r in subtree_counts(tree, ["g"], "id").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    want: dict = {}
+    for r in descendants(tree, ["g"], "id").collect():
+        want[r.g, r.ancestor] = want.get((r.g, r.ancestor), 0) + 1
+    assert got == want and subtree_counts(tree.limit(0), ["g"], "id").count() == 0
+
+
 def test_long_chain_over_many_tasks(spark):
     n = 300
     df = spark.createDataFrame([("a", str(i), str(i - 1) if i else None, i) for i in range(n)], "g string, id string, up string, pos long")
