@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from engram.functions.text import micros
 from engram.operators.changes import unseen
 from engram.operators.hierarchy import descendants, hierarchy, subtree_counts
-from engram.operators.nested import label_nodes
+from engram.operators.nested import inside, label_nodes, node_tables
 from engram.operators.sessions import ROLES, current_versions, forest_nodes, session_entries
 from engram.plans import sql
-from engram.session import held, read_table
+from engram.session import cut, held, read_table
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +54,45 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return label_nodes(_records(spark, sf_dir), ["source_uri", "line_number"], objects_only=True).distinct()
+    nodes = label_nodes(_records(spark, sf_dir), LINE, objects_only=True)
+    return nodes.select(*LINE, "node_path", "parent_path").distinct()
+
+
+LINE = ["source_uri", "line_number"]
+#: The flat tables: the scalars of each type of object that become columns.
+NODE_TYPES = {
+    "text": {"text": "text string"},
+    "thinking": {"thinking": "thinking string"},
+    "toolCall": {"call_id": "id string", "tool": "name string"},
+    "image": {"mime_type": "mimeType string"},
+    "arguments": {},
+    "usage": {"input": "input long", "output": "output long", "total_tokens": "totalTokens long"},
+}
+
+
+def _node_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return node_tables(cut(label_nodes(_records(spark, sf_dir).distinct(), LINE)), LINE, NODE_TYPES)  # parsed once
+
+
+def p4_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flat tables one under the other: interval labels, parent and the columns of every type (null where not its own)."""
+    tables = _node_tables(spark, sf_dir)
+    parts = [t.withColumn("node_type", F.lit(name)) for name, t in tables.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out.drop("root")
+
+
+def p4_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flat table of token counts, where there is one."""
+    return _node_tables(spark, sf_dir)["usage"].where("total_tokens is not null").select(*LINE, "node_path", "total_tokens")
+
+
+def p4_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arguments linked to the tool call around them, by containment of intervals."""
+    tables = _node_tables(spark, sf_dir)
+    return inside(tables["arguments"], tables["toolCall"], LINE).select(*LINE, "node_path", "around")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +117,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p6_found": p6_found, "p2_found": p2_found, "p2_tree": p2_tree, "p2_descendants": p2_descendants, "p4_found": p4_found}
+QUERIES = {"p6_found": p6_found, "p2_found": p2_found, "p2_tree": p2_tree, "p2_descendants": p2_descendants, "p4_found": p4_found, "p4_nodes": p4_nodes, "p4_usage": p4_usage, "p4_arguments": p4_arguments}
 
 
 _NODES = f"""(SELECT 'mixed_session' AS origin, '' AS project_id, source_uri, id AS node_id, nullif(parentId, '') AS parent_id FROM {sql.ENTRIES}
@@ -92,6 +130,17 @@ TREE = f"""WITH RECURSIVE nodes AS MATERIALIZED (SELECT * FROM {_NODES}),
         UNION ALL SELECT n.origin, n.project_id, n.source_uri, n.node_id, t.root_id, t.depth + 1 FROM tree t
             JOIN nodes n ON n.origin = t.origin AND n.project_id = t.project_id AND n.source_uri = t.source_uri AND n.parent_id = t.node_id)"""
 
+#: Every value of content and usage by its path, with the object around it; strings of JSON under ``arguments`` are opened.
+_JSON = f"""WITH RECURSIVE rec AS (SELECT DISTINCT source_uri, line_number, message.content AS content, message.usage AS usage FROM mixed_session),
+    roots AS (SELECT source_uri, line_number, 'content' AS path, CASE WHEN json_type(content) = 'VARCHAR' THEN to_json([{{'type': 'text', 'text': content::JSON->>'$'}}]) ELSE content::JSON END AS j
+            FROM rec WHERE json_valid(content) AND (json_type(content) <> 'VARCHAR' OR {sql.trimmed("(content::JSON->>'$')")} <> '')
+        UNION ALL SELECT source_uri, line_number, 'usage', usage::JSON FROM rec WHERE json_valid(usage)),
+    nodes(source_uri, line_number, path, name, j, around) AS (SELECT source_uri, line_number, path, path, j, '' FROM roots
+        UNION ALL SELECT n.source_uri, n.line_number, n.path || '.' || e.key, e.key,
+            CASE WHEN e.key = 'arguments' AND e.type = 'VARCHAR' AND json_valid(e.value->>'$') THEN (e.value->>'$')::JSON ELSE e.value END,
+            CASE WHEN json_type(n.j) = 'OBJECT' THEN n.path ELSE n.around END
+        FROM nodes n, json_each(n.j) e WHERE json_type(n.j) IN ('OBJECT', 'ARRAY'))"""
+
 PATHS = f"""WITH RECURSIVE nodes AS MATERIALIZED (SELECT * FROM {_NODES}),
     paths(origin, project_id, source_uri, node_id, p) AS (
         SELECT n.origin, n.project_id, n.source_uri, n.node_id, [n.node_id] FROM nodes n WHERE n.parent_id IS NULL OR NOT EXISTS
@@ -107,6 +156,13 @@ ORACLE = {
             coalesce(b.n, 0) AS descendants FROM nodes n LEFT JOIN paths t USING (origin, project_id, source_uri, node_id) LEFT JOIN below b USING (origin, project_id, source_uri, node_id)""",
     "p2_descendants": f"""{PATHS} SELECT origin, project_id, source_uri, p[i] AS ancestor, node_id AS descendant, (len(p) - i)::BIGINT AS distance
         FROM paths, unnest(range(1, len(p))) u(i)""",
+    "p4_found": f"{_JSON} SELECT DISTINCT source_uri, line_number, path AS node_path, around AS parent_path FROM nodes WHERE json_type(j) = 'OBJECT'",
+    "p4_usage": f"""{_JSON} SELECT * FROM (SELECT DISTINCT source_uri, line_number, path AS node_path, CASE WHEN json_type(j->'totalTokens') NOT IN ('OBJECT', 'ARRAY') THEN try_cast(j->>'totalTokens' AS BIGINT) END AS total_tokens
+        FROM nodes WHERE json_type(j) = 'OBJECT' AND CASE WHEN json_type(j->'type') = 'VARCHAR' AND j->>'type' <> '' THEN j->>'type' ELSE regexp_extract(path, '([^.]*[^.0-9][^.]*)(\\.[0-9]+)*$', 1) END = 'usage') WHERE total_tokens IS NOT NULL""",
+    "p4_arguments": f"""{_JSON}, named AS (SELECT *, CASE WHEN json_type(j->'type') = 'VARCHAR' AND j->>'type' <> '' THEN j->>'type' ELSE regexp_extract(path, '([^.]*[^.0-9][^.]*)(\\.[0-9]+)*$', 1) END AS kind
+            FROM nodes WHERE json_type(j) = 'OBJECT')
+        SELECT DISTINCT a.source_uri, a.line_number, a.path AS node_path, arg_max(c.path, length(c.path)) AS around FROM named a JOIN named c
+            ON a.source_uri = c.source_uri AND a.line_number = c.line_number AND starts_with(a.path, c.path || '.') WHERE a.kind = 'arguments' AND c.kind = 'toolCall' GROUP BY ALL""",
     "p6_found": f"""SELECT 'source_chunks' AS origin, c.project_id AS key_a, c.chunk_id AS key_b FROM {sql.CURRENT} c WHERE NOT EXISTS (SELECT 1 FROM index_ledger l
             JOIN index_runs r ON r.run_id = l.run_id AND r.attempt = l.attempt WHERE r.status = 'success' AND l.project_id = c.project_id AND l.chunk_id = c.chunk_id
             AND {sql.instant('l.seen_updated_at')} = {sql.instant('c.updated_at')})

@@ -9,7 +9,7 @@ import pytest
 from engram.operators.branches import active_chain
 from engram.operators.changes import ChangeStore, changed_leaves, merkle_leaves, merkle_tree, unseen
 from engram.operators.hierarchy import descendants, hierarchy, subtree_counts
-from engram.operators.nested import _decode, _read_deep, label_document, label_nodes, nearest_container, node_tables
+from engram.operators.nested import _decode, _read_deep, inside, label_document, label_nodes, nearest_container, node_tables
 
 EDGES = "g string, id string, up string, pos long, depth long, root_id string"
 
@@ -144,7 +144,26 @@ def test_node_tables(spark):
     found = {(r.key, r.node_path, r.parent_path, r.kind) for r in nodes.collect()}
     assert ("k", "content.0", "content", "object") not in found and ("k", "content.0", "", "object") in found
     assert (None, "usage.a", "usage", "object") in found and ("e", "usage", "", "scalar") in found
-    assert {k: t.count() for k, t in node_tables(nodes).items()}["object"] == 4
+    tables = node_tables(nodes, ["key"], {"text": {"text": "text string", "n": "n long"}, "usage": {}, "a": {}, "none": {}})
+    assert {k: t.count() for k, t in tables.items()} == {"text": 2, "usage": 1, "a": 1, "none": 0}
+    assert {(r.key, r.node_path, r.text, r.n) for r in tables["text"].collect()} == {("k", "content.0", "hello", None), (None, "content.0", "?", None)}
+
+
+def test_tables_are_linked_by_containment(spark):
+    call = {"type": "toolCall", "name": "f", "arguments": '{"a": {"type": "toolCall", "arguments": {"x": 1}}, "b": [{"arguments": {}}]}'}
+    rows = [("k", json.dumps([call, {"type": "text", "text": "t"}, {"arguments": {}}]), json.dumps({"totalTokens": "7", "cost": {"total": 1}}))]
+    nodes = label_nodes(spark.createDataFrame(rows, "key string, content string, usage string"), ["key"])
+    tables = node_tables(nodes, ["key"], {"toolCall": {}, "arguments": {}, "usage": {"total": "totalTokens long"}})
+    found = {(r.node_path, r.around) for r in inside(tables["arguments"], tables["toolCall"], ["key"]).collect()}
+    first = "content.0.arguments"
+    assert found == {(first, "content.0"), (f"{first}.a.arguments", f"{first}.a"), (f"{first}.b.0.arguments", "content.0")} and tables["usage"].collect()[0].total == 7
+    assert tables["arguments"].count() == 4
+    wide = spark.createDataFrame([("k", json.dumps([{"i": i} for i in range(120_000)]), None)], "key string, content string, usage string")
+    assert label_nodes(wide, ["key"], objects_only=True).count() == 120_000
+
+
+def test_empty_records(spark):
+    df = spark.createDataFrame([], "key string, content string, usage string")
     assert label_nodes(df.limit(0), ["key"]).count() == 0
 
 
