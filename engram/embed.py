@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+import os
 import re
 import time
 import urllib.error
@@ -24,6 +25,7 @@ from engram.validate import DEFAULT_DIM, check_dim
 # Fixed values of the HTTP embedder.
 MAX_RETRIES, BASE_DELAY_SECONDS = 3, 0.5
 DEFAULT_HOST = "http://localhost:11434"
+HOST_VARIABLE = "OLLAMA_HOST"
 
 
 class Embedder(Protocol):
@@ -96,17 +98,19 @@ class KeywordEmbedder(_Base):
 
 @dataclass
 class HttpEmbedder(_Base):
-    """POST {host}/api/embed with model and input; 429 and 5xx are tried again after 0.5, 1 and 2 seconds, network
+    """POST {host}/api/embed with model and input (host: as given, else from the environment, else local); 429 and 5xx are tried again after 0.5, 1 and 2 seconds, network
     errors are not."""
 
     model: str = "nomic-embed-text"
-    host: str = DEFAULT_HOST
+    host: str = ""
     dim: int = DEFAULT_DIM
     opener: Callable[[urllib.request.Request], Any] | None = field(default=None, repr=False)
     sleep: Callable[[float], None] = field(default=time.sleep, repr=False)
 
     def __post_init__(self) -> None:
         self.dim = check_dim(self.dim)
+        host = self.host or os.environ.get(HOST_VARIABLE, "").strip() or DEFAULT_HOST
+        self.host = host if "://" in host else f"http://{host}"
 
     def embed_batch(self, texts: Sequence[str]) -> list[list[float]]:
         if not texts:
@@ -162,14 +166,41 @@ class LocalEmbedder(_Base):
         self._model = None
 
 
+def onnx_loader(folder: str, max_tokens: int = 512) -> Callable[[], Callable[[str], Any]]:
+    """Loads model.onnx and tokenizer.json from a folder; the model gives one vector for each token of a text."""
+
+    def load() -> Callable[[str], Any]:
+        import onnxruntime
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(os.path.join(folder, "tokenizer.json"))
+        tokenizer.enable_truncation(max_tokens)
+        session = onnxruntime.InferenceSession(os.path.join(folder, "model.onnx"))
+        names = {i.name for i in session.get_inputs()}
+
+        def run(text: str):
+            found = tokenizer.encode(text)
+            ids = np.array([found.ids], dtype=np.int64)
+            feed = {"input_ids": ids, "attention_mask": np.ones_like(ids), "token_type_ids": np.zeros_like(ids)}
+            return session.run(None, {k: v for k, v in feed.items() if k in names})[0][0]
+
+        return run
+
+    return load
+
+
 def create_embedder(config: dict) -> Embedder:
-    """By engine: http (model, host, dim), hashing (dim)."""
+    """By engine: http (model, host, dim), hashing (dim), local (model: a folder with model.onnx and tokenizer.json, dim)."""
     engine = config.get("engine")
     rest = {k: v for k, v in config.items() if k != "engine" and v is not None}
     if engine == "http":
         return HttpEmbedder(**{k: v for k, v in rest.items() if k in ("model", "host", "dim")})
     if engine == "hashing":
         return HashingEmbedder(**{k: v for k, v in rest.items() if k == "dim"})
+    if engine == "local":
+        if not rest.get("model"):
+            raise EmbedderError("a local embedder needs the folder of its model")
+        return LocalEmbedder(onnx_loader(rest["model"]), rest.get("dim", DEFAULT_DIM))
     raise EmbedderError(f"unknown embedder engine {engine!r}")
 
 

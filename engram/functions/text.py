@@ -91,3 +91,8 @@ def group_key(*cols: Column) -> Column:
         c = c.cast("string")
         parts.append(F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-")))
     return F.concat(*parts)
+
+
+def composite_key(*parts: Column) -> Column:
+    """The parts as one JSON array, so that no two different keys are written alike."""
+    return F.to_json(F.array(*parts))

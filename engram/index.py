@@ -11,14 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engram.embed import Embedder, with_embeddings
-from engram.errors import EngramError, InvalidArgumentError
+from engram.errors import EngramError, InvalidArgumentError, SessionParseError
 from engram.functions.text import JS_SPACE, entry_chunk_id, iso_now, snippet
 from engram.operators.branches import active_chain
 from engram.operators.recall import ranked, search_filter, top_k
 from engram.operators.sessions import first_seen, parse_messages
 from engram.operators.state import ENTRY_KEY, new_rows, stale_rows
 from engram.session import cut
-from engram.sources.jsonl import read_sessions
+from engram.sources.jsonl import check_lines, malformed, parse_lines, read_lines
 from engram.sources.store import SESSION_SCHEMA, SnapshotTable
 from engram.validate import DEFAULT_SEARCH_LIMIT, MAX_FILTERED_CANDIDATES, MAX_SEARCH_LIMIT, MAX_SESSION_DIM, check_dim, check_limit
 
@@ -52,6 +52,34 @@ def index_records(messages: DataFrame, source_kind: str = SOURCE_KIND) -> DataFr
     )
 
 
+@dataclass(frozen=True)
+class FileEvent:
+    """How a file is to be indexed. active_ids: the entries of its active branch; an empty list, like None, has the branch
+    derived from the file. no_branch: all messages count. at_startup: a file that is not there yet is skipped."""
+
+    active_ids: tuple[str, ...] | None = None
+    no_branch: bool = False
+    at_startup: bool = False
+
+    @property
+    def mode(self) -> str:
+        return "none" if self.no_branch else "given" if self.active_ids else "derived"
+
+
+def _plain_uri(uri: str) -> str:
+    return uri.replace("file:///", "file:/", 1)
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return _plain_uri(at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString())
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 class SessionIndex:
     """Index of session messages; rows are added once by (source_uri, entry_id) and never changed."""
 
@@ -94,14 +122,63 @@ class SessionIndex:
         start-up, is skipped."""
         if path is None:
             return IndexReport(True)
-        if at_startup and not os.path.exists(path):
+        if at_startup and not _exists(self.spark, path):
             return IndexReport(True, session_file=path)
         try:
-            done = self.index_lines(read_sessions(self.spark, path, strict=True), active)
+            lines = cut(read_lines(self.spark, path))
+            check_lines(lines)
+            done = self.index_lines(parse_lines(lines), active)
             return IndexReport(True, done.indexed, done.skipped_duplicate, path)
         except Exception as e:
             return IndexReport(False, session_file=path, error=str(e))
 
+    def index_files(self, wanted: Mapping[str, FileEvent]) -> list[IndexReport]:
+        """Indexes the files of one trigger, with a report for each: one that is missing or has a malformed line fails alone. The
+        others are read once and added together."""
+        reports: dict[str, IndexReport] = {}
+        for path, event in wanted.items():
+            if not _exists(self.spark, path):
+                reports[path] = IndexReport(event.at_startup, session_file=path, error=None if event.at_startup else f"session file not found: {path}")
+        there = [p for p in wanted if p not in reports]
+        if there:
+            try:
+                lines = cut(read_lines(self.spark, there))
+                path_of = {_qualified(self.spark, p): p for p in there}
+                for r in malformed(lines).collect():  # at most one row a file of the trigger
+                    path = path_of.get(_plain_uri(r["source_uri"]), r["source_uri"])
+                    reports[path] = IndexReport(False, session_file=path, error=str(SessionParseError(r["source_uri"], r["line_number"])))
+                uri_of = {path_of.get(_plain_uri(r[0]), r[0]): r[0] for r in lines.select("source_uri").distinct().collect()}
+                good = [p for p in there if p not in reports]
+                counts = self._index_good({uri_of[p]: wanted[p] for p in good if p in uri_of}, parse_lines(lines))
+                for p in good:
+                    reports[p] = IndexReport(True, *counts.get(uri_of.get(p), (0, 0)), p)
+            except Exception as e:
+                for p in there:
+                    reports.setdefault(p, IndexReport(False, session_file=p, error=str(e)))
+        return [reports[p] for p in wanted]
+
+    def _index_good(self, events: Mapping[str, FileEvent], lines: DataFrame) -> dict[str, tuple[int, int]]:
+        """By file: how many messages were added, and how many were known."""
+        if not events:
+            return {}
+        named = self.spark.createDataFrame([(u, e.mode) for u, e in events.items()], "source_uri string, mode string")
+        lines = cut(lines.join(F.broadcast(named), "source_uri"))  # one row for each file of the trigger
+        given = [(u, i) for u, e in events.items() if e.mode == "given" for i in e.active_ids or ()]
+        active = self.spark.createDataFrame(given, "source_uri string, entry_id string")
+        if any(e.mode == "derived" for e in events.values()):
+            active = active.unionByName(active_chain(lines.where("mode = 'derived'")))
+        active = cut(active)
+        self.reconcile(active)
+        plain = lines.drop("mode")
+        free = plain.join(named.where("mode = 'none'").select("source_uri"), "source_uri", "left_semi")
+        bound = plain.join(named.where("mode <> 'none'").select("source_uri"), "source_uri", "left_semi")
+        found = cut(parse_messages(free).unionByName(parse_messages(bound, active)))
+        fresh = cut(new_rows(self.table.read(), first_seen(found)))
+        total, new = (dict(side.groupBy("source_uri").count().collect()) for side in (found, fresh))
+        if new:
+            self.table.append(cut(with_embeddings(index_records(fresh), self.embedder, "snippet")))
+        return {u: (new.get(u, 0), total.get(u, 0) - new.get(u, 0)) for u in events}
+
     def search(self, query: str, *, limit: int = DEFAULT_SEARCH_LIMIT, **filters: Any) -> tuple[DataFrame | None, str | None]:
         """Hits (rank, score, chunkId, snippet, sourcePointer) and a message where there is something to say."""
         text = query.strip(JS_SPACE) if isinstance(query, str) else ""

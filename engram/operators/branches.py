@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,12 +37,36 @@ def active_chain(lines: DataFrame) -> DataFrame:
     return found.unionByName(_circular_walks(tree.where("depth < 0"), leaves.where("depth < 0")))
 
 
+#: Circular nodes of a file up to which one task walks them; beyond it the walks of the file are extended by doubling jumps.
+WALK_NODES = 262_144
+
+
+def _walk(key: tuple, table: pa.Table) -> pa.Table:
+    """The entries on the way up from the leaf of one file until one comes again."""
+    up = dict(zip(table.column("id").to_pylist(), table.column("parent").to_pylist()))
+    at, met = table.column("leaf")[0].as_py(), {}
+    while at in up and at not in met:
+        met[at] = True
+        at = up[at]
+    return pa.table({"source_uri": pa.array([key[0].as_py()] * len(met), pa.string()), "entry_id": pa.array(list(met), pa.string())})
+
+
 def _circular_walks(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
-    """All entries met on the way up from leaves that lead into circles: the set is extended by jumps of doubling width."""
+    """All entries met on the way up from leaves that lead into circles."""
+    mine = held(nodes.join(leaves.select("grp", F.col("id").alias("leaf")), "grp").select("grp", "id", "parent", "leaf"))
+    sizes = mine.groupBy("grp").agg(F.count("*").alias("n"))
+    small = mine.join(sizes.where(F.col("n") <= WALK_NODES), "grp", "left_semi")
+    walked = small.groupBy("grp").applyInArrow(_walk, "source_uri string, entry_id string")
+    large = sizes.where(F.col("n") > WALK_NODES).select("grp")
+    if not large.limit(1).count():
+        return walked
+    return walked.unionByName(_doubled_walks(mine.join(large, "grp", "left_semi"), leaves.join(large, "grp", "left_semi")))
+
+
+def _doubled_walks(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
+    """The same for files of any size: the set is extended by jumps of doubling width."""
     passed = cut(leaves.select("grp", "id"))
-    if not passed.limit(1).count():
-        return passed.select(F.col("grp").alias("source_uri"), F.col("id").alias("entry_id"))
-    jumps = cut(nodes.join(passed.select("grp").distinct(), "grp", "left_semi").select("grp", "id", F.col("parent").alias("up")))
+    jumps = cut(nodes.select("grp", "id", F.col("parent").alias("up")))
     known = passed.count()
     while True:  # after k rounds the walks are 2 ** k entries long; they end once nothing new is met
         further = passed.join(jumps, ["grp", "id"]).select("grp", F.col("up").alias("id"))

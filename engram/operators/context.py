@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engram.functions.text import tsv_escape
-from engram.operators.sessions import ROLES
+from engram.operators.sessions import ROLES, line_block
+from engram.session import held
 
 BEFORE, AFTER = 5, 10
 TSV_COLUMNS = ("lineNumber", "entryId", "parentId", "timestamp", "role", "text")
@@ -46,18 +47,27 @@ def visible_messages(lines: DataFrame) -> DataFrame:
 
 
 def numbered(messages: DataFrame) -> DataFrame:
-    """Adds ``ordinal``: the number of a visible message within its file."""
-    return messages.withColumn("ordinal", F.row_number().over(Window.partitionBy("source_uri").orderBy("lineNumber", "entryId", "text")))
+    """Adds ``ordinal``: the number of a visible message within its file. Files are numbered block by block and the numbers of
+    earlier blocks added, so that a large file is no single task."""
+    rows = messages.withColumn("_block", line_block("lineNumber"))
+    counts = rows.groupBy("source_uri", "_block").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("source_uri").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select(F.col("source_uri").alias("_uri"), F.col("_block").alias("_at"), F.coalesce(before, F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("source_uri", "_block").orderBy("lineNumber", "entryId", "text"))
+    found = rows.withColumn("_own", own).join(offsets, F.col("source_uri").eqNullSafe(F.col("_uri")) & (F.col("_block") == F.col("_at")))
+    return found.withColumn("ordinal", (F.col("_before") + F.col("_own")).cast("int")).drop("_block", "_uri", "_at", "_before", "_own")
 
 
 def context(lines: DataFrame, hits: DataFrame, *, before: int = BEFORE, after: int = AFTER) -> DataFrame:
     """The visible messages around each hit: hit_id and the columns of ``visible_messages``, in order of ordinal.
 
     hits: hit_id, source_uri and ``line`` or ``entry`` (null or 0 or '' where not used); the first message that matches
-    either is the middle. A hit without a match has no rows. before and after count visible messages, not lines.
+    either is the middle. A hit without a match has no rows. before and after count visible messages, not lines. Only files
+    with a hit are parsed and numbered.
     """
-    messages = numbered(visible_messages(lines))
     right = hits.select("hit_id", "source_uri", *[F.col(c) for c in ("line", "entry") if c in hits.columns])
+    inside = lines.join(right.select("source_uri").distinct(), "source_uri", "left_semi")
+    messages = held(numbered(visible_messages(inside)))
     line = (F.col("line") > 0) & (F.col("lineNumber") == F.col("line")) if "line" in hits.columns else F.lit(False)
     entry = (F.col("entry") != "") & (F.col("entryId") == F.col("entry")) if "entry" in hits.columns else F.lit(False)
     found = (

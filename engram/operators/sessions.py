@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engram.functions.text import blank_to_null, message_text, micros
@@ -38,11 +38,33 @@ def session_entries(lines: DataFrame, *, with_text: bool = False, with_digest: b
     return rows.withColumn("_rn", F.row_number().over(newest)).where("_rn = 1").drop("_rn")
 
 
-def with_cwd(lines: DataFrame) -> DataFrame:
-    """Adds ``session_cwd``: the last non-empty cwd of a session line up to the row's line, null before the first."""
-    so_far = Window.partitionBy("source_uri").orderBy("line_number").rowsBetween(Window.unboundedPreceding, 0)
-    own = F.when((F.col("type") == "session") & (F.col("cwd") != ""), F.col("cwd"))
-    return lines.withColumn("session_cwd", F.last(own, ignorenulls=True).over(so_far))
+#: Lines of one file that are sorted together; what reaches beyond is carried over from block to block.
+BLOCK_LINES = 16_384
+
+
+def line_block(line: str = "line_number") -> Column:
+    return F.coalesce(F.floor(F.col(line) / BLOCK_LINES), F.lit(-1)).cast("long").alias("_block")
+
+
+def with_cwd(lines: DataFrame, keep: Column | None = None) -> DataFrame:
+    """Adds ``session_cwd``: the last non-empty cwd of a session line up to the row's line, null before the first.
+
+    Files are sorted block by block, so that a large one is no single task: the last cwd of every block, one row each, is
+    carried on to the blocks behind it. keep: only these rows come out; others but session lines are not even sorted.
+    """
+    session = (F.col("type") == "session") & (F.col("cwd") != "")
+    rows = lines.withColumn("_cwd", F.when(session, F.col("cwd"))).withColumn("_block", line_block())
+    if keep is not None:
+        rows = rows.withColumn("_kept", F.coalesce(keep, F.lit(False))).where(F.col("_kept") | F.col("_cwd").isNotNull())
+    at = F.when(F.col("_cwd").isNotNull(), F.coalesce("line_number", F.lit(-1)))
+    blocks = rows.groupBy("source_uri", "_block").agg(F.max_by("_cwd", at).alias("_last"))
+    before = F.last("_last", ignorenulls=True).over(Window.partitionBy("source_uri").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    carried = blocks.select(F.col("source_uri").alias("_uri"), F.col("_block").alias("_at"), before.alias("_before")).where("_before is not null")
+    within = F.last("_cwd", ignorenulls=True).over(Window.partitionBy("source_uri", "_block").orderBy("line_number").rowsBetween(Window.unboundedPreceding, 0))
+    filled = rows.withColumn("_within", within).join(carried, F.col("source_uri").eqNullSafe(F.col("_uri")) & (F.col("_block") == F.col("_at")), "left")
+    if keep is not None:
+        filled = filled.where("_kept")
+    return filled.withColumn("session_cwd", F.coalesce("_within", "_before")).drop("_cwd", "_block", "_within", "_uri", "_at", "_before", *(["_kept"] if keep is not None else []))
 
 
 def parse_messages(lines: DataFrame, active: DataFrame | None = None) -> DataFrame:
@@ -52,20 +74,20 @@ def parse_messages(lines: DataFrame, active: DataFrame | None = None) -> DataFra
     Kept are rows of type message with a non-empty id, a role of user or assistant and non-blank text. ``active``
     (source_uri, entry_id) restricts them to an active branch; an empty one keeps nothing. Absent values are null.
     """
-    found = (
-        with_cwd(lines)
-        .where((F.col("type") == "message") & F.col("message.role").isin(*ROLES) & (F.col("id") != ""))
-        .select(
-            "source_uri",
-            F.col("id").alias("entry_id"),
-            blank_to_null(F.col("parentId")).alias("parent_id"),
-            "line_number",
-            blank_to_null(F.col("timestamp")).alias("timestamp"),
-            F.col("session_cwd").alias("cwd"),
-            F.col("message.role").alias("role"),
-            message_text(F.col("message.content")).alias("text"),
-        )
-        .where("text <> ''")
+    message = (F.col("type") == "message") & F.col("message.role").isin(*ROLES) & (F.col("id") != "")
+    slim = lines.select(  # text is made before rows are sorted, so that no message is sorted as JSON
+        "source_uri", "id", "parentId", "line_number", "timestamp", "type", F.when(F.col("type") == "session", F.col("cwd")).alias("cwd"),
+        F.when(message, F.col("message.role")).alias("role"), F.when(message, message_text(F.col("message.content"))).alias("text"),
+    )
+    found = with_cwd(slim, (F.col("role").isNotNull()) & (F.col("text") != "")).select(
+        "source_uri",
+        F.col("id").alias("entry_id"),
+        blank_to_null(F.col("parentId")).alias("parent_id"),
+        "line_number",
+        blank_to_null(F.col("timestamp")).alias("timestamp"),
+        F.col("session_cwd").alias("cwd"),
+        "role",
+        "text",
     )
     return found if active is None else found.join(active, ["source_uri", "entry_id"], "left_semi")
 

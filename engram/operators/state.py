@@ -55,12 +55,16 @@ def deleted_count(current: DataFrame, project_id: str, chunk_ids: DataFrame) ->
 def reconcile(current: DataFrame, active: DataFrame) -> DataFrame:
     """Without the rows of files in ``active`` (source_uri, entry_id) whose entry is not active there; files that have no
     active entry at all are left as they are."""
-    files = active.select("source_uri").distinct()
-    untouched = current.join(files, "source_uri", "left_anti")
-    alive = current.join(active, list(ENTRY_KEY), "left_semi")
-    return untouched.unionByName(alive)
+    return _flagged(current, active).where("_files is null or _entries is not null").drop("_files", "_entries")
 
 
 def stale_rows(current: DataFrame, active: DataFrame) -> DataFrame:
     """The rows that ``reconcile`` takes away."""
-    return current.join(active.select("source_uri").distinct(), "source_uri", "left_semi").join(active, list(ENTRY_KEY), "left_anti")
+    return _flagged(current, active).where("_files is not null and _entries is null").drop("_files", "_entries")
+
+
+def _flagged(current: DataFrame, active: DataFrame) -> DataFrame:
+    """Adds _files (not null where the file has active entries) and _entries (not null where the entry is active)."""
+    entries = active.select(*ENTRY_KEY).distinct().withColumn("_entries", F.lit(1))
+    files = active.where(F.col("source_uri").isNotNull()).select("source_uri").distinct().withColumn("_files", F.lit(1))
+    return current.join(files, "source_uri", "left").join(entries, list(ENTRY_KEY), "left").select(current.columns + ["_files", "_entries"])

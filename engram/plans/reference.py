@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from engram.embed import HashingEmbedder, with_embeddings
-from engram.functions.text import SNIPPET_LIMIT, entry_chunk_id, js_trim, snippet
+from engram.functions.text import SNIPPET_LIMIT, composite_key as json_key, entry_chunk_id, js_trim, snippet
 from engram.functions.vectors import is_valid
 from engram.index import TIES, hit_rows, index_records
 from engram.operators.branches import active_chain
@@ -224,7 +224,7 @@ def metadata_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).distinct()
 
 
-@query(f"""SELECT DISTINCT chunk_id, '{{"role":' || to_json(role) || ',"sourcePointer":{{"sourceKind":"session-jsonl","sourceUri":' || to_json(source_uri) || ',"entryId":' || to_json(entry_id)
+@query(f"""SELECT DISTINCT chunk_id, '{{"role":' || to_json(role) || ',"sourcePointer":{{"sourceKind":"pi-jsonl","sourceUri":' || to_json(source_uri) || ',"entryId":' || to_json(entry_id)
     || CASE WHEN parent_id IS NULL THEN '' ELSE ',"parentId":' || to_json(parent_id) END || ',"lineNumber":' || line_number
     || CASE WHEN timestamp IS NULL THEN '' ELSE ',"timestamp":' || to_json(timestamp) END || CASE WHEN cwd IS NULL THEN '' ELSE ',"cwd":' || to_json(cwd) END || '}}}}' AS metadata_json
     FROM (SELECT *, sha256(source_uri || chr(0) || entry_id) AS chunk_id FROM {sql.PARSED})""")
@@ -276,9 +276,22 @@ def rrf_custom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fused(spark, sf_dir, 1)
 
 
+@query("SELECT DISTINCT project_id, chunk_id, chunk_key FROM vec_source_chunks WHERE project_id IS NOT NULL AND chunk_id IS NOT NULL AND chunk_key IS NOT NULL")
+def composite_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key of each vector as it is built here; the SQL reads the one in the table."""
+    rows = read_table(spark, sf_dir, "vec_source_chunks").where("project_id is not null and chunk_id is not null and chunk_key is not null")
+    return rows.select("project_id", "chunk_id", json_key(F.col("project_id"), F.col("chunk_id")).alias("chunk_key")).distinct()
+
+
 # --- sessions ---------------------------------------------------------------------------------------------------------
+def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "mixed_session")
+
+
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "mixed_session").distinct()
+    """Each line once, with the columns that parsing needs."""
+    message = F.when(F.col("message").isNotNull(), F.struct("message.role", "message.content")).alias("message")
+    return _raw(spark, sf_dir).select("source_uri", "line_number", "type", "id", "parentId", "timestamp", "cwd", message).distinct()
 
 
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -323,25 +336,25 @@ def new_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT * FROM {sql.CHAIN}")
 def active_branch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The active chain of every file."""
-    return active_chain(_lines(spark, sf_dir))
+    return active_chain(_raw(spark, sf_dir))
 
 
 @query(f"SELECT p.source_uri, p.entry_id, p.line_number FROM {sql.PARSED} p SEMI JOIN {sql.CHAIN} c USING (source_uri, entry_id)")
 def active_branch_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _lines(spark, sf_dir)
-    return parse_messages(lines, active_chain(lines)).select("source_uri", "entry_id", "line_number")
+    return parse_messages(lines, active_chain(_raw(spark, sf_dir))).select("source_uri", "entry_id", "line_number")
 
 
 @query(f"""SELECT i.source_uri, i.entry_id FROM {_INDEX} i SEMI JOIN (SELECT DISTINCT source_uri FROM {sql.CHAIN}) f USING (source_uri)
     ANTI JOIN {sql.CHAIN} c ON i.source_uri = c.source_uri AND i.entry_id = c.entry_id""")
 def stale_index_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stale_rows(_index(spark, sf_dir), active_chain(_lines(spark, sf_dir))).select("source_uri", "entry_id")
+    return stale_rows(_index(spark, sf_dir), active_chain(_raw(spark, sf_dir))).select("source_uri", "entry_id")
 
 
 @query(f"""WITH chain AS MATERIALIZED (SELECT * FROM {sql.CHAIN}) SELECT chunk_id, source_uri, entry_id FROM {_INDEX} i WHERE source_uri NOT IN (SELECT source_uri FROM chain)
     OR EXISTS (SELECT 1 FROM chain c WHERE c.source_uri = i.source_uri AND c.entry_id = i.entry_id)""")
 def reconcile_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reconcile(_index(spark, sf_dir), held(active_chain(_lines(spark, sf_dir)))).select("chunk_id", "source_uri", "entry_id")
+    return reconcile(_index(spark, sf_dir), held(active_chain(_raw(spark, sf_dir)))).select("chunk_id", "source_uri", "entry_id")
 
 
 @query(f"""SELECT (SELECT count(*) FROM {_FIRST} f ANTI JOIN {_INDEX} i USING (source_uri, entry_id)) AS indexed, (SELECT count(*) FROM {sql.PARSED}) AS messages,

@@ -42,7 +42,10 @@ def shared_dir(spark: SparkSession) -> str:
     if current.isDefined():
         return current.get()
     folder = configured
-    if folder is None:  # tests and notebooks on one machine
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        # tests and notebooks on one machine
         local = tempfile.mkdtemp(prefix="engram-ckpt-")
         atexit.register(shutil.rmtree, local, ignore_errors=True)
         folder = "file://" + local

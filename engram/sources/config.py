@@ -26,7 +26,8 @@ def private_dir(path: str) -> str:
 
 
 def init(base_dir: str) -> str:
-    """Folders and a default configuration; what is there already is left as it is."""
+    """Folders, a default configuration and an empty chunk store; a configuration that is there already is checked and left
+    as it is. The store gets the dimension of the configured embedder."""
     for part in ("", "keys", "data"):
         os.makedirs(os.path.join(base_dir, part), mode=0o700, exist_ok=True)
     path = os.path.join(base_dir, CONFIG_FILE)
@@ -34,6 +35,9 @@ def init(base_dir: str) -> str:
         with open(path, "w") as f:
             json.dump(DEFAULT_CONFIG, f, indent=2)
         os.chmod(path, 0o600)
+    load_config(base_dir)
+    for part in ("chunks", os.path.join("chunks", "_log")):
+        os.makedirs(os.path.join(base_dir, "data", part), mode=0o700, exist_ok=True)
     return base_dir
 
 
@@ -49,7 +53,9 @@ def load_config(base_dir: str) -> dict:
         raise ConfigError(f"Invalid JSON in {path}: {e}") from e
     if not isinstance(raw, dict):
         raise ConfigError(f"{CONFIG_FILE} must be a JSON object")
-    embedder = raw.get("embedder")
+    if "embedder" not in raw:  # the default embedder
+        return {"embedder": dict(DEFAULT_CONFIG["embedder"])}
+    embedder = raw["embedder"]
     if not isinstance(embedder, dict):
         raise ConfigError(f'"embedder" in {CONFIG_FILE} must be an object')
     if embedder.get("engine") not in ENGINES:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from engram.errors import SessionParseError
 from engram.functions.text import js_trim
 
 #: Columns of a session line; content and usage stay JSON text.
@@ -23,8 +24,8 @@ def split_lines(files: DataFrame, uri_col: str, text_col: str) -> DataFrame:
     )
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """The numbered lines of all files under ``path``."""
+def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """The numbered lines of all files under ``path`` (or several)."""
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source_uri"), "value")
     return split_lines(files, "source_uri", "value")
 
@@ -39,6 +40,18 @@ def _raw(doc: Column, path: str) -> Column:
     return F.to_json(F.try_variant_get(doc, path, "variant"))
 
 
+def malformed(lines: DataFrame) -> DataFrame:
+    """source_uri, line_number of the first line of each file that is no JSON; files without one are not in it."""
+    bad = F.try_parse_json("line").isNull() & (js_trim(F.col("line")) != "null")
+    return lines.where(bad).groupBy("source_uri").agg(F.min("line_number").alias("line_number"))
+
+
+def check_lines(lines: DataFrame) -> None:
+    """Raises SessionParseError for a line that is no JSON."""
+    if found := malformed(lines).orderBy("source_uri").limit(1).collect():
+        raise SessionParseError(found[0]["source_uri"], found[0]["line_number"])
+
+
 def parse_lines(lines: DataFrame, *, strict: bool = False) -> DataFrame:
     """Session lines as columns, in the shape of a session table. Lines that are no JSON object are left out; with
     ``strict`` a line that is no JSON at all fails the job, naming file and line."""

@@ -315,6 +315,56 @@ def test_stream_of_events(spark, tmp_path):
     assert not reports[-1].ok
 
 
+def test_one_bad_file_fails_alone(spark, tmp_path):
+    """A missing and a malformed file beside good ones: one report each, the good ones are indexed."""
+    say = lambda i, up: {"type": "message", "id": i, "parentId": up, "message": {"role": "user", "content": i}}
+    good, fork = write(tmp_path / "good.jsonl", SESSION), [say("root", None), say("orphan", "root"), say("active", "root")]
+    bad = write(tmp_path / "bad.jsonl", [SESSION[1], "{broken"])
+    given, free, derived = (write(tmp_path / f"{n}.jsonl", fork) for n in ("given", "free", "derived"))
+    index, reports, closed = SessionIndex(spark, str(tmp_path / "index"), HashingEmbedder(8)), [], []
+    (tmp_path / "events").mkdir()
+    rows = [
+        {"event": "agent_end", "session_file": good}, {"event": "agent_end", "session_file": str(tmp_path / "gone.jsonl")}, {"event": "agent_end", "session_file": bad},
+        {"event": "session_start", "session_file": str(tmp_path / "later.jsonl"), "reason": "startup"}, {"event": "session_start", "session_file": str(tmp_path / "lost.jsonl"), "reason": "resume"},
+        {"event": "agent_end", "session_file": given, "active_ids": ["root", "orphan"]}, {"event": "agent_end", "session_file": free, "no_branch": True},
+        {"event": "agent_end", "session_file": derived, "active_ids": []}, {"event": "session_shutdown"},
+    ]
+    (tmp_path / "events" / "1.json").write_text("".join(json.dumps(r) + "\n" for r in rows))
+    events = spark.readStream.schema(EVENT_SCHEMA).json(str(tmp_path / "events"))
+    start(events, index, str(tmp_path / "cp"), report=reports.append, on_shutdown=lambda: closed.append(1)).awaitTermination()
+    got = {os.path.basename(r.session_file): (r.ok, r.indexed) for r in reports}
+    assert got == {"good.jsonl": (True, 3), "gone.jsonl": (False, 0), "bad.jsonl": (False, 0), "later.jsonl": (True, 0), "lost.jsonl": (False, 0), "given.jsonl": (True, 2), "free.jsonl": (True, 3), "derived.jsonl": (True, 2)}, reports
+    assert "Malformed session line 2" in next(r.error for r in reports if r.session_file == bad) and closed == [1]
+    kept = {os.path.basename(r.source_uri): set() for r in index.table.read().collect()}
+    for r in index.table.read().collect():
+        kept[os.path.basename(r.source_uri)].add(r.entry_id)
+    assert kept["given.jsonl"] == {"root", "orphan"} and kept["free.jsonl"] == {"root", "orphan", "active"} and kept["derived.jsonl"] == {"root", "active"}
+    assert not index.index_file(bad).ok and "Malformed session line 2" in index.index_file(bad).error
+    assert {r.source_kind for r in index.table.read().collect()} == {"pi-jsonl"}
+
+
+def test_store_dataframe_without_ids(spark, tmp_path):
+    with Client(spark, str(tmp_path / "c"), HashingEmbedder(64)) as client:
+        df = spark.createDataFrame([("a", None), ("b", "{}")], "text string, metadata_json string")
+        rows = client.store(df, project_id="p").collect()
+        assert len({r.chunk_id for r in rows}) == 2 and client.status("p") == 2
+        for text, meta in (("a", "[1]"), ("a", "{"), (" ", None), (None, None)):
+            client.embedder.embed_batch = None  # checked before anything is embedded
+            with pytest.raises(InvalidArgumentError):
+                client.store(spark.createDataFrame([(text, meta)], df.schema), project_id="p")
+        assert client.status("p") == 2
+
+
+def test_embedders_from_configuration(tmp_path, monkeypatch):
+    local = create_embedder({"engine": "local", "model": str(tmp_path), "dim": 64})
+    with pytest.raises(EmbedderError, match="failed to load"):
+        local.embed("x")
+    with pytest.raises(EmbedderError, match="folder"):
+        create_embedder({"engine": "local"})
+    monkeypatch.setenv("OLLAMA_HOST", "box:1")
+    assert create_embedder({"engine": "http"}).host == "http://box:1" and create_embedder({"engine": "http", "host": "https://a"}).host == "https://a"
+
+
 def test_context(spark):
     lines = [("f", 2 * i, "message", f"e{i}", None, f"t{i}", ("user" if i % 2 else "assistant", json.dumps(f"m\t{i}"))) for i in range(20)]
     noise = [("f", 2 * i + 1, "message", f"x{i}", None, None, ("toolResult", json.dumps("noise"))) for i in range(20)]
@@ -396,11 +446,16 @@ def test_config(tmp_path):
         load_config(base)
     init(base)
     assert load_config(base) == {"embedder": {"engine": "hashing", "dim": 768}} and os.stat(base).st_mode & 0o077 == 0
-    for raw in ("{", "[]", "{}", '{"embedder": {"engine": "x"}}', '{"embedder": {"engine": "http", "model": ""}}', '{"embedder": {"engine": "http", "dim": 3}}'):
+    for raw in ("{", "[]", '{"embedder": []}', '{"embedder": {"engine": "x"}}', '{"embedder": {"engine": "http", "model": ""}}', '{"embedder": {"engine": "http", "dim": 3}}'):
         with open(os.path.join(base, "models.json"), "w") as f:
             f.write(raw)
         with pytest.raises(ConfigError):
             load_config(base)
+        with pytest.raises(ConfigError):
+            init(base)
+    with open(os.path.join(base, "models.json"), "w") as f:
+        f.write("{}")
+    assert load_config(base) == {"embedder": {"engine": "hashing", "dim": 768}} and os.path.isdir(os.path.join(base, "data", "chunks"))
     with open(os.path.join(base, "models.json"), "w") as f:
         json.dump({"embedder": {"engine": "http", "model": "m", "more": 1}, "x": 2}, f)
     init(base)
