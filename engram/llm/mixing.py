@@ -5,7 +5,7 @@ cut into blocks of the hash range. The quota of a source is a number of whole pa
 which is met to within one text. A splitting tree hands the blocks of all sources to output shards: at every node a
 multivariate hypergeometric draw divides the exact block counts between the two halves of its shards. Each shard then
 gets disjoint blocks of every source and is shuffled by itself. Plans are made from block totals only, of which there
-are at most sources x BLOCKS; texts are never collected.
+are at most sources x MAX_BLOCKS; texts are never collected.
 """
 
 from __future__ import annotations
@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 
 from engram.session import held
 
-BLOCKS = 1_024
+#: Blocks of a source: at least BLOCKS, and more (up to MAX_BLOCKS, which bounds the plan on the driver) where there are more
+#: shards to fill.
+BLOCKS, MAX_BLOCKS = 1_024, 65_536
 SEED = 20_240_229
 #: Tokens that a shard holds about; there are never more shards than blocks in the mixture.
 SHARD_TOKENS = 500_000
@@ -122,8 +124,11 @@ def mix(
     first = F.min(F.struct("source", id_col, "size")).alias("t")
     unique = named.groupBy(identity_col).agg(first).select(f"t.{id_col}", "t.source", "t.size")
     h = F.xxhash64(id_col, F.lit(seed))
-    placed = held(unique.withColumn("_h", h).withColumn("block", F.shiftrightunsigned("_h", 64 - (BLOCKS - 1).bit_length()).cast("int")))
-    blocks = placed.groupBy("source", "block").agg(F.sum("size").alias("tokens")).toPandas()  # at most len(want) x BLOCKS rows
+    unique = held(unique.withColumn("_h", h))
+    tokens = unique.agg(F.sum("size")).collect()[0][0] or 0
+    bits = max(BLOCKS, min(MAX_BLOCKS, int(4 * tokens / SHARD_TOKENS))).bit_length() - 1
+    placed = unique.withColumn("block", F.shiftrightunsigned("_h", 64 - bits).cast("int"))
+    blocks = placed.groupBy("source", "block").agg(F.sum("size").alias("tokens")).toPandas()  # at most len(want) x MAX_BLOCKS rows
     totals = {s: int(t) for s, t in blocks.groupby("source").tokens.sum().items()}
     quota = quotas(totals, {s: w for s, (w, _) in want.items()}, {s: int(r) for s, (_, r) in want.items()}, total)
     units = spark.createDataFrame(block_plan(blocks, quota, shards, seed), PLAN)

@@ -21,6 +21,8 @@ from engram.session import held
 CAPACITY = 4_096
 #: Parts that texts of one length are numbered in, so that a length that many texts share is no single task.
 SALTS = 64
+#: Texts of one length in one part, about: there are more parts where a length is more common.
+PART_ROWS = 1_000_000
 
 
 class _PairSums:
@@ -158,7 +160,8 @@ def pack(sizes: DataFrame, *, id_col: str, size_col: str, capacity: int = CAPACI
     )
     histogram = {r["size"]: r["n"] for r in items.where("size > 0").groupBy("size").agg(F.count("*").alias("n")).collect()}
     table, containers = _slots(plan(histogram, capacity))
-    numbered = ranked(items, "size", [id_col, "part_no"], salts)
+    most = items.groupBy("size").count().agg(F.max("count")).collect()[0][0] or 0
+    numbered = ranked(items, "size", [id_col, "part_no"], max(salts, most // PART_ROWS))
     schema = items.withColumn("container", F.lit(0).cast("long")).schema
     names = items.columns
     wide = int(table[:, 1].max(initial=0)) + 1

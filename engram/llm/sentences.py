@@ -1,11 +1,14 @@
 """Sentence boundaries across languages and scripts.
 
-Method: boundary rules compiled into a finite transducer. A lexer turns a text into symbols (stops, opening and closing
-marks with what follows them, ends of blocks); the transducer's tables say for every symbol and state the next state and
-whether a unit ends. States are: at the start of a unit, inside one, and inside each kind of quotation or bracket opened
-at the start or in the middle of one. The symbols of all texts of a task form one stream, cut into chunks that are read
-side by side: a first pass gives each chunk's function from state to state, a parallel prefix scan composes them, and a
-second pass emits the boundaries from the states now known. A long document is thus read like many short ones.
+Method: boundary rules compiled into a finite transducer. A lexer turns a text into symbols: stops with the class of the word
+before them and the class of what follows, opening and closing marks with what follows them, ends of blocks. The rules say
+for every pair of classes whether a stop ends a sentence; they are compiled, once, into the transducer's tables, which say
+for every symbol and state the next state and whether a unit ends. States are: at the start of a unit, inside one, and
+inside each kind of quotation or bracket opened at the start or in the middle of one. The symbols of all texts of a task
+form one stream, cut into chunks that are read side by side: a first pass gives each chunk's function from state to state,
+a parallel prefix scan composes them, and a second pass emits the boundaries from the states now known. A long document is
+thus read like many short ones. The lexer looks at no more than a few words around a stop; runs of marks and white space
+are measured once, so its time is in proportion to the text.
 """
 
 from __future__ import annotations
@@ -70,7 +73,7 @@ JOINED_WORD = re.compile(rf"[^\W\d_{UPPER}]+\.[{UPPER}]")
 # A word that begins a sentence without a space before it.
 JOINED = re.compile(rf"[{UPPER}][^\W\d_]*(?:[ \t\r\n\xa0’'-]|\.\.\.|[,:] |\.[a-z]{{1,3}} )")
 EVENT = re.compile(
-    rf"\.+(?=[\s{re.escape(TRAILING)}]|$|[{CJK}{UPPER}])|[!?؟۔।॥…]+|[。！？．｡]+|;(?=\s|$)|(?:{THAI_END})(?=\s|$)|[“”„«»「」『』()（）\"]"
+    rf"(?<!\.)\.++(?=[\s{re.escape(TRAILING)}]|$|[{CJK}{UPPER}])|[!?؟۔।॥…]+|[。！？．｡]+|;(?=\s|$)|(?:{THAI_END})(?=\s|$)|[“”„«»「」『』()（）\"]"
 )
 LINE_END = re.compile("\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")
 HEADING = re.compile(r"#{1,6}(?:[ \t\xa0\u3000]|$)")
@@ -89,17 +92,68 @@ MARKS = list(dict.fromkeys([*OPENERS, *CLOSERS]))
 CAN_OPEN, ENDS_START, ENDS_MIDDLE = 1, 2, 4
 
 
+# Classes of what stands before a full stop, and of what follows a stop.
+(NO_WORD, OPEN, NUMBER, CLOSED, CLOSED_DOTTED, CLOSED_ANY, CLOSED_SR, INITIAL, SMALL_LETTER, ORDINAL, WORD, ELLIPSIS, EXCLAIMED, TRAILED_OFF, OTHER_MARK) = LEFTS = range(15)
+(AT_END, GLUED, GLUED_CJK, GLUED_JOINED, GLUED_OTHER, LOWER, LOWER_TECHNICAL, LOWER_SMALL, LOWER_ASCII, LOWER_GOING_ON, DIGIT, CAPITAL, LETTER, PAUSE, ELSE) = RIGHTS = range(15)
+ANY_GLUED = (GLUED, GLUED_CJK, GLUED_JOINED, GLUED_OTHER)
+ANY_LOWER = (LOWER, LOWER_TECHNICAL, LOWER_SMALL, LOWER_ASCII, LOWER_GOING_ON)
+
+
+def ends_sentence(left: int, right: int) -> bool:
+    """The rules: whether a stop with ``left`` before it and ``right`` behind it ends a sentence."""
+    if right == AT_END:
+        return True
+    if left == ELLIPSIS:
+        return right not in ANY_GLUED and right not in ANY_LOWER and right != DIGIT
+    if left == TRAILED_OFF:  # a sign for an ellipsis
+        return right == CAPITAL
+    if left == EXCLAIMED and right in ANY_GLUED:
+        return right != GLUED
+    if left in (EXCLAIMED, OTHER_MARK):
+        return right not in (PAUSE, LOWER_GOING_ON)
+    if right in ANY_GLUED:  # no space: before a script that has none, or where one was forgotten
+        return right in (GLUED_CJK, GLUED_JOINED)
+    if left == NO_WORD:
+        return True
+    if left == OPEN:
+        return False
+    if left == NUMBER:
+        return right not in ANY_LOWER and right != DIGIT
+    if left in (CLOSED, CLOSED_DOTTED, CLOSED_ANY, CLOSED_SR):
+        if right in ANY_LOWER:
+            return right == LOWER_TECHNICAL or left == CLOSED_ANY and right == LOWER_ASCII
+        if right == DIGIT:
+            return left in (CLOSED_DOTTED, CLOSED_ANY)
+        return right != PAUSE and not (left == CLOSED_SR and right == CAPITAL)
+    if left == INITIAL:
+        return right not in ANY_LOWER and right not in (CAPITAL, LETTER)
+    if left == SMALL_LETTER:  # a part such as in d. h.
+        return right not in ANY_LOWER
+    if left == ORDINAL and (right in ANY_LOWER or right in (CAPITAL, LETTER)):
+        return False
+    return right != PAUSE
+
+
 def mark_symbol(mark: str, bits: int) -> int:
     return 4 + 8 * MARKS.index(mark) + bits
 
 
+FIRST_STOP = 4 + 8 * len(MARKS)
+
+
+def stop_symbol(left: int, right: int) -> int:
+    return FIRST_STOP + left * len(RIGHTS) + right
+
+
 def _compile() -> tuple[np.ndarray, np.ndarray]:
     """Next state and output (1: a unit ends behind the symbol) by symbol and state."""
-    n = 4 + 8 * len(MARKS)
+    n = FIRST_STOP + len(LEFTS) * len(RIGHTS)
     move = np.tile(np.arange(N_STATES, dtype=np.int8), (n, 1))
     emit = np.zeros((n, N_STATES), dtype=bool)
-    move[TEXT, AT_START] = INSIDE
-    move[STOP, INSIDE], emit[STOP, INSIDE] = AT_START, True
+    stops = [STOP] + [stop_symbol(x, y) for x in LEFTS for y in RIGHTS if ends_sentence(x, y)]
+    texts = [TEXT] + [stop_symbol(x, y) for x in LEFTS for y in RIGHTS if not ends_sentence(x, y)]
+    move[texts, AT_START] = INSIDE
+    move[stops, INSIDE], emit[stops, INSIDE] = AT_START, True
     move[END, :], emit[END, 1:] = AT_START, True
     for mark in MARKS:
         for bits in range(8):
@@ -201,11 +255,46 @@ def blocks(text: str) -> Iterator[tuple[int, int, int, bool]]:
         yield para[0], para[0], para[1], False
 
 
-def _follow(text: str, at: int, end: int) -> tuple[int, str]:
-    """The next position that is not white space, and its character ('' at the end)."""
-    while at < end and text[at] in SPACE:
-        at += 1
-    return at, text[at] if at < end else ""
+class _Runs:
+    """Ends of the runs of closing marks and of white space in a block; each run is measured once."""
+
+    def __init__(self, text: str, begin: int, end: int):
+        self.text, self.begin, self.end = text, begin, end
+        self.ahead = {TRAILING: (0, 0), SPACE: (0, 0)}
+        self.behind = {TRAILING: (0, 0), SPACE: (0, 0)}
+        self.last: dict[str, int] = {}
+
+    def after(self, at: int, kind) -> int:
+        """The first position from ``at`` on that is not in a run of this kind."""
+        low, high = self.ahead[kind]
+        if low <= at < high:
+            return high
+        look = at
+        while look < self.end and self.text[look] in kind:
+            look += 1
+        self.ahead[kind] = (at, look)
+        return look
+
+    def before(self, at: int, kind) -> int:
+        """The last position before ``at`` that is not in a run of this kind."""
+        low, high = self.behind[kind]
+        back = at - 1
+        while back >= self.begin and self.text[back] in kind:
+            back = low - 1 if low <= back < high else back - 1
+        self.behind[kind] = (back + 1, at)
+        return back
+
+    def follow(self, at: int) -> tuple[int, str]:
+        """The next position that is not white space, and its character ('' at the end)."""
+        at = self.after(at, SPACE)
+        return at, self.text[at] if at < self.end else ""
+
+    def comes(self, marks: str, at: int) -> bool:
+        """Whether one of the marks comes at ``at`` or later."""
+        for c in marks:
+            if c not in self.last:
+                self.last[c] = self.text.rfind(c, self.begin, self.end)
+        return any(self.last[c] >= at for c in marks)
 
 
 def _is_cjk(c: str) -> bool:
@@ -227,42 +316,79 @@ def _technical(word: str) -> bool:
     return any(c in "_/." or c.isdigit() or c.isupper() for c in word[1:])
 
 
-def _point_ends(text: str, begin: int, at: int, after: int, end: int) -> bool:
-    """Whether the points at [at, after) end a sentence that began in the block at ``begin``."""
-    look = after
-    while look < end and text[look] in TRAILING:
-        look += 1
-    nxt, c = _follow(text, look, end)
-    if not c:
-        return True
-    if after - at > 1:  # an ellipsis
-        return nxt > look and not c.islower() and not c.isdigit()
+#: Code points before a stop in which an abbreviation can begin: more than the longest has.
+BACK = 16
+
+
+def _before_point(text: str, begin: int, at: int) -> int:
+    """The class of the word before a single full stop at ``at``."""
     start = at
-    while start > begin and (text[start - 1].isalnum() or text[start - 1] == "." or "\u0900" <= text[start - 1] <= "\u097f"):
+    while start > begin and at - start < BACK and (text[start - 1].isalnum() or text[start - 1] == "." or "\u0900" <= text[start - 1] <= "\u097f"):
         start -= 1
     word = text[start:at].lower()
-    if nxt == look:  # no space: before a script that has none, or where one was forgotten
-        return _is_cjk(c) or _joined(text, begin, at, nxt)
     if not word:
-        return True
+        return NO_WORD
+    if len(word) == BACK:
+        return WORD
     if word in OPEN_ABBREVIATIONS:
-        return False
+        return OPEN
     if word in NUMBER_ABBREVIATIONS:
-        return not (c.isdigit() or c.islower())
+        return NUMBER
     if word in CLOSED_ABBREVIATIONS:
-        if c.islower():
-            following = _word(text, nxt, end)
-            return _technical(following) or word in BEFORE_ANY and following.isascii() and following not in SMALL_WORDS
-        if c.isdigit():
-            return word in BEFORE_ANY or "." in word or word in ("usw", "inc", "ltd")
-        return c not in ",;:" and not (word == "sr" and text[start].isupper() and c.isupper())
-    if len(word) == 1 and word.isalpha() and not _is_cjk(word):  # an initial, or a part such as in d. h.
-        return not (c.isalpha() if text[start].isupper() else c.islower())
-    if word.isdigit() and len(word) <= 2 and c.isalpha():
+        if word == "sr" and text[start].isupper():
+            return CLOSED_SR
+        return CLOSED_ANY if word in BEFORE_ANY else CLOSED_DOTTED if "." in word or word in ("usw", "inc", "ltd") else CLOSED
+    if len(word) == 1 and word.isalpha() and not _is_cjk(word):
+        return INITIAL if text[start].isupper() else SMALL_LETTER
+    if word.isdigit() and len(word) <= 2 and 0 < int(word):
         before = text[max(begin, start - 12) : start].split()
-        if before and before[-1].lower() in ORDINAL_BEFORE and 0 < int(word):
-            return False
-    return c not in ",;:"
+        if before and before[-1].lower() in ORDINAL_BEFORE:
+            return ORDINAL
+    return WORD
+
+
+def _behind(text: str, c: str, nxt: int, end: int, left: int) -> int:
+    """The class of what follows a stop after white space: the character ``c`` at ``nxt`` and, where it matters, its word."""
+    if c.islower():
+        if left in (CLOSED, CLOSED_DOTTED, CLOSED_ANY, CLOSED_SR):
+            word = _word(text, nxt, end)
+            if _technical(word):
+                return LOWER_TECHNICAL
+            return LOWER if not word.isascii() else LOWER_SMALL if word in SMALL_WORDS else LOWER_ASCII
+        if left in (EXCLAIMED, OTHER_MARK) and _word(text, nxt, end) in GOING_ON:
+            return LOWER_GOING_ON
+        return LOWER
+    if c.isdigit():
+        return DIGIT
+    if c.isalpha():
+        return CAPITAL if c.isupper() else LETTER
+    return PAUSE if c in ",;:" or c in "，、；：" and left in (EXCLAIMED, OTHER_MARK) else ELSE
+
+
+def _stop(text: str, at: int, after: int, runs: _Runs) -> int:
+    """The symbol of the points, or marks such as ! and ?, at [at, after)."""
+    begin, end, stopped = runs.begin, runs.end, text[at:after]
+    if text[at] == ".":
+        left = ELLIPSIS if after - at > 1 else None
+    elif "…" in stopped and "!" not in stopped and "?" not in stopped:
+        left = TRAILED_OFF
+    else:
+        left = EXCLAIMED if stopped[-1] in "!?" else OTHER_MARK
+    look = runs.after(after, TRAILING)
+    nxt, c = runs.follow(look)
+    if not c:
+        return stop_symbol(WORD if left is None else left, AT_END)
+    if nxt == look and (left is None or left in (ELLIPSIS, TRAILED_OFF, EXCLAIMED)):
+        if _is_cjk(c):
+            right = GLUED_CJK
+        elif left == EXCLAIMED and not (c.isascii() or c.isalpha()) or left == EXCLAIMED and "\u0e00" <= c <= "\u0e7f":
+            right = GLUED_OTHER
+        else:
+            right = GLUED_JOINED if left in (None, EXCLAIMED) and _joined(text, begin, at, nxt) else GLUED
+        return stop_symbol(WORD if left is None else left, right)
+    if left is None:
+        left = _before_point(text, begin, at)
+    return stop_symbol(left, _behind(text, c, nxt, end, left))
 
 
 def _joined(text: str, begin: int, at: int, nxt: int) -> bool:
@@ -277,42 +403,20 @@ def _joined(text: str, begin: int, at: int, nxt: int) -> bool:
     return "@" not in token and "=" not in token and "://" not in token and token.lower() not in OPEN_ABBREVIATIONS
 
 
-def _mark_ends(text: str, at: int, after: int, begin: int, end: int) -> bool:
-    """Whether !, ? and the like at [at, after) end a sentence."""
-    look = after
-    while look < end and text[look] in TRAILING:
-        look += 1
-    nxt, c = _follow(text, look, end)
-    if not c:
-        return True
-    last = text[after - 1]
-    if "…" in text[at:after] and not ({"!", "?"} & set(text[at:after])):
-        return nxt > look and c.isupper()
-    if last in "!?" and nxt == look:
-        return not (c.isascii() or c.isalpha()) or _is_cjk(c) or "\u0e00" <= c <= "\u0e7f" or _joined(text, begin, at, nxt)
-    if c in ",;:，、；：":
-        return False
-    return not (c.islower() and _word(text, nxt, end) in GOING_ON)
-
-
-def _close_bits(text: str, at: int, begin: int, end: int) -> int:
+def _close_bits(text: str, at: int, runs: _Runs) -> int:
     """What a closing mark at ``at`` ends: a unit that its opening mark began, one in whose middle it was opened."""
-    back = at - 1
-    while back >= begin and text[back] in SPACE:
-        back -= 1
+    begin, end = runs.begin, runs.end
+    back = runs.before(at, SPACE)
     if back < begin or (text[back] not in STOPS and text[back] not in "”’」』»\"'"):
         return 0
     stop = text[back]
     if stop not in STOPS:
-        while back >= begin and text[back] in TRAILING:
-            back -= 1
+        back = runs.before(back + 1, TRAILING)
         if back < begin or text[back] not in STOPS:
             return 0
         stop = text[back]
-    look = at + 1
-    while look < end and text[look] in TRAILING:
-        look += 1
-    nxt, c = _follow(text, look, end)
+    look = runs.after(at + 1, TRAILING)
+    nxt, c = runs.follow(look)
     if not c:
         return ENDS_START | ENDS_MIDDLE
     if c in ",;:，、；：—–-。！？．｡.!?؟।":
@@ -338,7 +442,7 @@ def lex(text: str, symbols: list[int], ends: list[int]) -> None:
             symbols += (TEXT, END)
             ends += (stop, stop)
             continue
-        at, greek = body, None
+        at, greek, runs = body, None, _Runs(text, body, stop)
         for m in EVENT.finditer(text, body, stop):
             s, e = m.span()
             if at < s and not text[at:s].isspace():
@@ -351,29 +455,22 @@ def lex(text: str, symbols: list[int], ends: list[int]) -> None:
                 if c in OPENERS:
                     before, after = text[s - 1] if s > body else " ", text[e] if e < stop else " "
                     fits = c != '"' or (not (before.isalnum() and before.isascii()) and before not in ".!?" and not after.isspace())
-                    if fits and any(text.find(x, e, stop) >= 0 for x in CLOSED_BY[c]):
+                    if fits and runs.comes(CLOSED_BY[c], e):
                         bits |= CAN_OPEN
                 if c in CLOSERS:
-                    bits |= _close_bits(text, s, body, stop)
+                    bits |= _close_bits(text, s, runs)
                 symbols.append(mark_symbol(c, bits))
-                ends.append(e)
-                continue
-            if c == ".":
-                hit = _point_ends(text, body, s, e, stop)
             elif c == ";":
                 if greek is None:
                     greek = GREEK.search(text, body, stop) is not None
-                hit = greek and not _follow(text, e, stop)[1].islower()
-                hit = hit and GREEK.search(text, max(body, s - 60), s) is not None
-            elif c in "。！？｡":
-                hit = True
+                hit = greek and not runs.follow(e)[1].islower() and GREEK.search(text, max(body, s - 60), s) is not None
+                symbols.append(STOP if hit else TEXT)
+            elif c in "。！？｡" or "\u0e00" <= c <= "\u0e7f":
+                symbols.append(STOP)
             elif c == "．":
-                hit = not (e < stop and text[e].isdigit())
-            elif "\u0e00" <= c <= "\u0e7f":
-                hit = True
+                symbols.append(TEXT if e < stop and text[e].isdigit() else STOP)
             else:
-                hit = _mark_ends(text, s, e, body, stop)
-            symbols.append(STOP if hit else TEXT)
+                symbols.append(_stop(text, s, e, runs))
             ends.append(e)
         if at < stop and not text[at:stop].isspace():
             symbols.append(TEXT)
@@ -397,6 +494,8 @@ def sentence_ends(texts: list[str | None], chunk: int = CHUNK) -> list[list[int]
         mine: list[int] = []
         for i in np.flatnonzero(found[a:b]).tolist():
             e = ends[a + i]
+            if mine and e <= mine[-1]:
+                continue
             while e < len(text) and text[e] in TRAILING:  # closing marks that nothing opened
                 e += 1
             if not mine or e > mine[-1]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -15,8 +16,11 @@ from pyspark.sql import functions as F
 VOCABULARY = os.environ.get("ENGRAM_VOCABULARY", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 # Fixed value: the pattern that the public byte-level vocabularies split text by.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Code points encoded at once; a longer text is encoded in parts, split before white space where there is any.
+#: Code points encoded at once, about. A longer text is encoded in parts, split before a space or line feed with a letter or
+#: digit behind it. The pattern always starts a new piece there, and no token goes beyond a piece, so the parts have as many
+#: tokens as the whole. A text without such a place is one part.
 PART = 65_536
+SPLIT = re.compile(r"[ \n](?=[^\W_])")
 
 
 @lru_cache(maxsize=2)
@@ -31,11 +35,11 @@ def encoder(path: str):
 def text_parts(text: str, part: int = PART) -> Iterator[str]:
     start = 0
     while len(text) - start > part:
-        end = start + part
-        space = max(text.rfind(c, start + 1, end) for c in " \n")
-        end = space if space > 0 else end
-        yield text[start:end]
-        start = end
+        found = SPLIT.search(text, start + part)
+        if found is None:
+            break
+        yield text[start : found.start()]
+        start = found.start()
     yield text[start:]
 
 

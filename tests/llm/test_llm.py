@@ -15,7 +15,9 @@ from engram.llm.conversations import ANSWERED, BROKEN, START, conversations, run
 from engram.llm.mentions import candidates, find_mentions, mentions, normal_form, redact, redacted, trained_weights
 from engram.llm.mixing import block_plan, mix, quotas, shares, splitting_tree
 from engram.llm.packing import fill_report, pack, plan
-from engram.llm.sentences import N_STATES, blocks, sentence_ends, sentences, transduce
+from engram.llm.sentences import (
+    AT_START, CAPITAL, DIGIT, EMIT, INSIDE, LEFTS, MOVE, N_STATES, NUMBER, OPEN, RIGHTS, blocks, ends_sentence, sentence_ends, sentences, stop_symbol, transduce,
+)
 from engram.llm.splitting import split_points, split_texts
 from engram.llm.tokens import VOCABULARY, count_tokens, encoder, text_parts, with_tokens
 from engram.llm.vectors import _fit, nearest, neighbour_pairs, pivot_order, usable_vectors
@@ -359,7 +361,11 @@ def test_pack_rows(spark):
 
 def test_tokens(spark):
     text = "The indexer drops rows. 索引は最新です。 " * 50
-    assert "".join(text_parts(text, 100)) == text and all(len(p) <= 100 for p in text_parts(text, 100))
+    assert "".join(text_parts(text, 100)) == text and all(100 <= len(p) <= 160 for p in list(text_parts(text, 100))[:-1])
+    rng = random.Random(6)
+    for _ in range(60):  # parts have as many tokens as the whole, whatever stands around the places to split
+        odd = "".join(rng.choice([" ", "  ", "\n", "\n\n", "\t", "a", "bc", "7", "é", "字", "'s", "...", "_", "\u3000", "word"]) for _ in range(400))
+        assert sum(len(encoder(VOCABULARY).encode_ordinary(p)) for p in text_parts(odd, 30)) == len(encoder(VOCABULARY).encode_ordinary(odd)), repr(odd)
     assert count_tokens("") == 0 and count_tokens("hello world") == len(encoder(VOCABULARY).encode_ordinary("hello world")) > 1
     df = spark.createDataFrame([(1, None, 5), (2, "", 5), (3, "hello world", 5)], "id long, text string, n_tokens long")
     assert {(r.id, r.n_tokens) for r in with_tokens(df).collect()} == {(1, 0), (2, 0), (3, count_tokens("hello world"))}
@@ -435,6 +441,23 @@ def test_boundaries(text):
     assert units == CASES[text] and not text[at:].strip()
 
 
+def test_rules_are_in_the_tables():
+    """Every pair of classes of a stop is a symbol of its own that moves as the rules say."""
+    for left in LEFTS:
+        for right in RIGHTS:
+            symbol = stop_symbol(left, right)
+            assert EMIT[symbol, INSIDE] == ends_sentence(left, right) and MOVE[symbol, INSIDE] == (AT_START if ends_sentence(left, right) else INSIDE)
+    assert not ends_sentence(OPEN, CAPITAL) and ends_sentence(NUMBER, CAPITAL) and not ends_sentence(NUMBER, DIGIT)
+
+
+def test_runs_cost_no_more_than_their_length():
+    n = 40_000
+    for text in ("a." + '"' * n, "a." + ")" * n, "(" * n + "a.", "." * n + "x", "A." * n, " " * n + ".", "! " * n, '"a." ' * (n // 4), "。”" * n, "a." + "” " * n):
+        start = time.process_time()
+        sentence_ends([text])
+        assert time.process_time() - start < 2, text[:6]
+
+
 def test_chunks_change_nothing():
     texts = list(CASES) + [None, "", "  ", "\n".join(CASES), "(" * 500 + "." * 500, "a" * 5000]
     whole = sentence_ends(texts, chunk=10_000)
