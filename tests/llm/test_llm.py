@@ -4,7 +4,7 @@ import math
 import random
 import time
 
-import brute
+import brute_llm as brute
 import numpy as np
 import pandas as pd
 import pytest
