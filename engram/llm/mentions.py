@@ -453,7 +453,7 @@ def _name_features(text: str, tokens: list[tuple[int, int]], cue: str, title: bo
     if "," in between:
         out.append("name:comma")
         if between.count(",") == 1 and len(core) == 2 and between.split(",")[0].endswith(core[0]):
-            out += ("name:reversed", f"name:{strong}:reversed")
+            out += ("name:reversed", f"name:{strong}:reversed", f"name:{strong}:reversed:right={right}")
     dotted = [w.endswith(".") and not i for w, i in zip(words, initials)]
     if any(dotted):
         out.append("name:dot_inside" if any(dotted[:-1]) else "name:dot_at_end")
