@@ -12,6 +12,7 @@ no more than its last, and only where it has no boundary; the limit and the over
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,6 +61,43 @@ def _candidates(text: str, at: np.ndarray, cell: int) -> tuple[np.ndarray, np.nd
     return chosen, penalty[chosen]
 
 
+def _best_ways(where: list[int], begin: list[int], penalty: list[float], limit: int, even: float, weight: float) -> list[int]:
+    """For each cut the cut before it on the cheapest way there; all earlier cuts within the limit are considered.
+
+    The cost of a piece is convex in its size, so of two earlier cuts the later one, once better, stays better as the end
+    moves on. The cuts that are best for some end form a queue with the end from which each is best; the end at which one
+    overtakes another has a closed form, and a cut further than the limit is overtaken at once.
+    """
+    n = len(where)
+    cost, back = [0.0] * n, [0] * n
+    queue, since, head = [0], [1], 0  # cuts, and the number of the end from which each is best
+    for j in range(1, n):
+        while head + 1 < len(queue) and since[head + 1] <= j:
+            head += 1
+        i = queue[head]
+        back[j] = i
+        here = cost[j] = cost[i] + weight * (where[j] - begin[i] - even) ** 2 + (penalty[j] + 1e-9 if j < n - 1 else 0.0)
+        y = begin[j]
+        while True:
+            k = queue[-1]
+            gone = bisect_right(where, begin[k] + limit, j)  # the first end that k is too far from
+            if y > begin[k]:
+                x = even + (y + begin[k]) / 2 + (here - cost[k]) / (2 * weight * (y - begin[k]))
+                better = bisect_right(where, x, j)
+            else:
+                better = j if here < cost[k] else n
+            better = max(j + 1, min(better, gone))
+            if len(queue) - 1 > head and better <= since[-1]:
+                queue.pop()
+                since.pop()
+                continue
+            break
+        if better < n:
+            queue.append(j)
+            since.append(better)
+    return back
+
+
 def split_points(text: str, limit: int, overlap: int, imbalance: float = IMBALANCE) -> list[tuple[int, int]]:
     """Start and end (code points) of each piece of ``text``; one piece where it is within the limit, none where empty.
 
@@ -80,17 +118,7 @@ def split_points(text: str, limit: int, overlap: int, imbalance: float = IMBALAN
     begin = at[starts]
     pieces = -(-(total - overlap) // (limit - overlap))
     even = overlap + (total - overlap) / pieces
-    cost = np.full(len(cuts), np.inf)
-    cost[0] = 0.0
-    back = np.zeros(len(cuts), dtype=np.int64)
-    first = np.searchsorted(begin, where - limit)  # the earliest cut a piece that ends here may follow
-    for j in range(1, len(cuts)):
-        i = first[j]
-        size = where[j] - begin[i:j]
-        way = cost[i:j] + imbalance * ((size - even) / even) ** 2
-        best = int(np.argmin(way))
-        back[j] = i + best
-        cost[j] = way[best] + (0.0 if j == len(cuts) - 1 else penalty[j] + 1e-9)
+    back = _best_ways(where.tolist(), begin.tolist(), penalty.tolist(), limit, even, imbalance / even**2)
     out, j = [], len(cuts) - 1
     while j > 0:
         out.append((int(starts[back[j]]), int(cuts[j])))
