@@ -25,7 +25,7 @@ from engram.validate import DEFAULT_DIM, check_dim
 # Fixed values of the HTTP embedder.
 MAX_RETRIES, BASE_DELAY_SECONDS = 3, 0.5
 DEFAULT_HOST = "http://localhost:11434"
-HOST_VARIABLE = "OLLAMA_HOST"
+HOST_VARIABLE = "OLLAMA_HOST"  # the variable that the public server of this interface reads
 
 
 class Embedder(Protocol):
@@ -45,7 +45,7 @@ def check_vectors(vectors: Any, count: int, dim: int) -> list[list[float]]:
         if not isinstance(v, Sequence) and not isinstance(v, np.ndarray):
             raise EmbedderError(f"embedding[{i}] must be an array")
         if len(v) != dim:
-            raise EmbedderError(f"embedder is configured for dim={dim} but produced {len(v)}-d output")
+            raise EmbedderError(f"the embedder gives {len(v)} values where dim={dim} is configured")
         for j, x in enumerate(v):
             if not math.isfinite(x):
                 raise EmbedderError(f"embedding[{i}][{j}] must be finite")
@@ -119,7 +119,7 @@ class HttpEmbedder(_Base):
         request = urllib.request.Request(f"{self.host.rstrip('/')}/api/embed", body, {"Content-Type": "application/json"})
         answer = self._answer(request)
         if not isinstance(answer, dict) or not isinstance(answer.get("embeddings"), list):
-            raise EmbedderError('embedding API returned unexpected response shape: missing "embeddings" array')
+            raise EmbedderError('the embedding server answered without a list of embeddings')
         return check_vectors(answer["embeddings"], len(texts), self.dim)
 
     def _answer(self, request: urllib.request.Request) -> Any:
@@ -131,10 +131,10 @@ class HttpEmbedder(_Base):
                 if (e.code == 429 or e.code >= 500) and attempt < MAX_RETRIES:
                     self.sleep(BASE_DELAY_SECONDS * 2**attempt)
                     continue
-                raise EmbedderError(f"embedding API error: {e.code} {e.reason}") from e
+                raise EmbedderError(f"the embedding server refused: {e.code} {e.reason}") from e
             except (OSError, ValueError) as e:
-                raise EmbedderError(f"embedding request failed: {e}. Is the server running at {self.host}?") from e
-        raise EmbedderError(f"embedding request failed: max retries exceeded at {self.host}")
+                raise EmbedderError(f"no answer from the embedding server at {self.host}: {e}") from e
+        raise EmbedderError(f"the embedding server at {self.host} kept failing")
 
 
 class LocalEmbedder(_Base):
@@ -154,7 +154,7 @@ class LocalEmbedder(_Base):
             try:
                 self._model = self._load()
             except Exception as e:
-                raise EmbedderError(f"failed to load embedding model: {e}") from e
+                raise EmbedderError(f"the embedding model failed to load: {e}") from e
         out = []
         for text in texts:
             v = np.asarray(self._model(text), dtype=np.float64)

@@ -191,16 +191,16 @@ class SessionIndex:
         if not os.path.isdir(self.table.path):
             raise EngramError(f"search store is unavailable: {self.table.path}")
         if self.table.is_empty:
-            return None, "The session index is empty; index sessions first."
+            return None, "Nothing is indexed yet."
         rows, where = self.table.read(filters.get("source_uri")), search_filter(**filters)
         if where is not None:
             n = rows.where(where).count()
             if n == 0:
-                return None, "No session hits matched the provided filters."
+                return None, "No indexed message passes these filters."
             if n > MAX_FILTERED_CANDIDATES:
-                return None, f"The filter matches {n} rows; narrow filters below {MAX_FILTERED_CANDIDATES} rows."
+                return None, f"These filters pass {n} rows, of which at most {MAX_FILTERED_CANDIDATES} are searched; narrow them."
         hits = hit_rows(ranked(top_k(rows, self.embedder.embed(text), limit, where=where, ties=TIES), *TIES))
-        return hits, None if hits.limit(1).count() else "No session hits found."
+        return hits, None if hits.limit(1).count() else "Nothing was found."
 
 
 def hit_rows(hits: DataFrame) -> DataFrame:

@@ -48,7 +48,7 @@ def load_config(base_dir: str) -> dict:
         with open(path) as f:
             raw = json.load(f)
     except FileNotFoundError:
-        raise ConfigError(f"Model config not found: {path}. Run init() to create a default one.") from None
+        raise ConfigError(f"no configuration at {path}; init() makes a default one") from None
     except ValueError as e:
         raise ConfigError(f"Invalid JSON in {path}: {e}") from e
     if not isinstance(raw, dict):

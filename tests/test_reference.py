@@ -251,7 +251,7 @@ def test_session_parse(spark, tmp_path):
 def test_index_twice_reconcile_and_search(spark, tmp_path):
     path = write(tmp_path / "a.jsonl", SESSION)
     index = SessionIndex(spark, str(tmp_path / "index"), KeywordEmbedder(["sapphire", "amber", "cedar"]))
-    assert index.search("x")[1] == "The session index is empty; index sessions first."
+    assert index.search("x")[1] == "Nothing is indexed yet."
     first = index.index_file(path)
     assert first.ok and (first.indexed, first.skipped_duplicate) == (3, 0), first.error
     again = index.index_file(path)
@@ -261,7 +261,7 @@ def test_index_twice_reconcile_and_search(spark, tmp_path):
     assert message is None and [(r.rank, r.snippet) for r in hits.collect()] == [(1, "sapphire?"), (2, "amber\ntwo")]
     hits, _ = index.search("sapphire", entry_id="u2", source_uri=uri, timestamp_to=None)
     assert [r.sourcePointer.entryId for r in hits.collect()] == ["u2"]
-    assert index.search("x", cwd="/none") == (None, "No session hits matched the provided filters.")
+    assert index.search("x", cwd="/none") == (None, "No indexed message passes these filters.")
     for bad in ({"query": " "}, {"query": "x", "limit": 21}, {"query": "x", "line_number": 0}):
         with pytest.raises(InvalidArgumentError):
             index.search(**bad)
@@ -293,7 +293,7 @@ def test_too_broad_filter(spark, tmp_path):
     rows = spark.range(5001).selectExpr("'f' as source_uri", "string(id) as entry_id", "string(null) as parent_id", "id as line_number", "'t' as timestamp", "'/w' as cwd", "'user' as role", "'x' as text")
     added = with_embeddings(index_records(rows), index.embedder, "snippet")
     index.table.replace(lambda cur: cur.unionByName(added))
-    assert index.search("x", cwd="/w") == (None, "The filter matches 5001 rows; narrow filters below 5000 rows.")
+    assert index.search("x", cwd="/w") == (None, "These filters pass 5001 rows, of which at most 5000 are searched; narrow them.")
 
 
 def test_stream_of_events(spark, tmp_path):
