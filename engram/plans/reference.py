@@ -6,17 +6,19 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from engram.embed import HashingEmbedder, with_embeddings
-from engram.functions.text import SNIPPET_LIMIT, composite_key as json_key, entry_chunk_id, js_trim, snippet
+from engram.functions.text import SNIPPET_LIMIT, composite_key as json_key, entry_chunk_id, js_trim, micros, snippet
 from engram.functions.vectors import is_valid
-from engram.index import TIES, hit_rows, index_records
+from engram.index import TIES, SessionIndex, hit_rows, index_records
 from engram.operators.branches import active_chain
 from engram.operators.context import context, tsv, visible_messages
 from engram.operators.fusion import rrf
 from engram.operators.recall import batch_top_k, ranked, search_filter, top_k, top_k_cosine
 from engram.operators.sessions import current_versions, first_seen, parse_messages, with_cwd
-from engram.operators.state import delete, deleted_count, insert_or_ignore, new_rows, reconcile, stale_rows, upsert
+from engram.operators.state import delete, deleted_count, insert_or_ignore, last_write, new_rows, reconcile, stale_rows, upsert
 from engram.plans import sql
-from engram.session import held, read_table
+from engram.session import held, local_path, read_table
+from engram.sources.jsonl import parse_lines, split_lines
+from engram.sources.store import CHUNK_SCHEMA, SnapshotTable
 from engram.validate import METADATA_LIMIT_BYTES, TEXT_LIMIT_BYTES
 
 QUERIES: dict = {}
@@ -452,3 +454,69 @@ def delete_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 def delete_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = read_table(spark, sf_dir, "source_chunks").select("project_id", "chunk_id")
     return deleted_count(chunks, "harbor-ledger", read_table(spark, sf_dir, "vec_source_chunks").where("project_id = 'harbor-ledger'"))
+
+
+# --- stores and files -------------------------------------------------------------------------------------------------
+_PART_LINES = 1_000
+
+
+@query(f"""SELECT source_uri || '#' || (line_number // {_PART_LINES}) AS source_uri, row_number() OVER (PARTITION BY source_uri, line_number // {_PART_LINES} ORDER BY line_number, type, id)::BIGINT AS line_number,
+    type, id, text FROM (SELECT DISTINCT source_uri, line_number, type, coalesce(id, '') AS id, coalesce("content", '') AS text FROM mixed_session WHERE source_uri IS NOT NULL AND type IS NOT NULL)""")
+def jsonl_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines written as JSON text, up to 1,000 to a file, then split, numbered and parsed again."""
+    blank = lambda c: F.coalesce(F.col(c), F.lit(""))
+    rows = _raw(spark, sf_dir).where("source_uri is not null and type is not null").select("source_uri", "line_number", "type", blank("id").alias("id"), blank("content").alias("content")).distinct()
+    line = F.to_json(F.struct("type", "id", "content"))
+    name = F.concat_ws("#", "source_uri", F.floor(F.col("line_number") / _PART_LINES).cast("string"))
+    lines = F.array_sort(F.collect_list(F.struct("line_number", "type", "id", line.alias("line"))))  # at most 1,000, and repeats
+    files = rows.groupBy(name.alias("uri")).agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\r\n").alias("text"))
+    return parse_lines(split_lines(files, "uri", "text")).select("source_uri", "line_number", "type", "id", F.col("content").alias("text"))
+
+
+@query(f"""SELECT project_id, chunk_id, max({sql.instant('updated_at')}) AS at, count(*) AS versions FROM (SELECT DISTINCT project_id, chunk_id, updated_at FROM source_chunks
+    WHERE project_id IS NOT NULL AND chunk_id IS NOT NULL AND updated_at IS NOT NULL) GROUP BY ALL""")
+def last_write_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a batch with repeated keys the last write, and how many there were."""
+    rows = read_table(spark, sf_dir, "source_chunks").where("project_id is not null and chunk_id is not null and updated_at is not null")
+    rows = rows.select("project_id", "chunk_id", "updated_at").distinct().withColumn("at", micros(F.col("updated_at")))
+    counts = rows.groupBy("project_id", "chunk_id").agg(F.count("*").alias("versions"))
+    return last_write(rows, ["project_id", "chunk_id"], "at").select("project_id", "chunk_id", "at").join(counts, ["project_id", "chunk_id"])
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> SnapshotTable:
+    """A store filled by an append of half of the chunks in an old state, an upsert of all and a delete of some."""
+    chunks = held(
+        current_versions(read_table(spark, sf_dir, "source_chunks"), ["text"])
+        .where("project_id is not null and chunk_id is not null and text is not null")
+        .select("project_id", "chunk_id", "text")
+    )
+    absent = [F.lit(None).cast(f.dataType).alias(f.name) for f in CHUNK_SCHEMA if f.name not in chunks.columns]
+    rows = chunks.select("*", *absent).select(CHUNK_SCHEMA.names)
+    table = SnapshotTable(spark, local_path(spark, "store"), CHUNK_SCHEMA, 64)
+    table.append(rows.where("length(chunk_id) % 2 = 0").withColumn("text", F.lit("old")))
+    table.upsert(rows)
+    table.delete(chunks.where("chunk_id like '%7'"))
+    return table
+
+
+@query(f"SELECT project_id, chunk_id, text FROM {sql.CURRENT} WHERE text IS NOT NULL AND project_id IS NOT NULL AND chunk_id IS NOT NULL AND chunk_id NOT LIKE '%7'")
+def store_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored(spark, sf_dir).read().select("project_id", "chunk_id", "text")
+
+
+@query(f"SELECT project_id, chunk_id, text FROM {sql.CURRENT} WHERE text IS NOT NULL AND chunk_id IS NOT NULL AND chunk_id NOT LIKE '%7' AND project_id = {_PROJECT}")
+def store_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One project of a store, from its bucket alone, after its log has been folded."""
+    table = _stored(spark, sf_dir)
+    table.compact()
+    return table.read(_PROJECT.strip("'")).select("project_id", "chunk_id", "text")
+
+
+@query(f"SELECT source_uri, entry_id, text AS snippet, cwd FROM {_FIRST} f SEMI JOIN {sql.CHAIN} c USING (source_uri, entry_id)")
+def index_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The session index after all messages were added, the rows of abandoned branches taken away and the files seen again."""
+    lines = _lines(spark, sf_dir)
+    index = SessionIndex(spark, local_path(spark, "index"), HashingEmbedder(8))
+    index.index_lines(lines)
+    index.index_lines(lines, spark.createDataFrame([], "source_uri string, entry_id string"))
+    return index.table.read().select("source_uri", "entry_id", "snippet", "cwd")

@@ -86,3 +86,9 @@ def ship(spark: SparkSession) -> None:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def local_path(spark: SparkSession, name: str) -> str:
+    """A scratch folder of the shared folder as a plain path, for stores, whose log is kept with the driver's file calls."""
+    path = scratch_path(spark, name)
+    return path[len("file:") :].replace("//", "/", 1) if path.startswith("file:") else path
