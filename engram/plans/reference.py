@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from engram.embed import HashingEmbedder, with_embeddings
+from engram.embed import HashingEmbedder, KeywordEmbedder, with_embeddings
 from engram.functions.text import SNIPPET_LIMIT, composite_key as json_key, entry_chunk_id, js_trim, micros, snippet
 from engram.functions.vectors import is_valid
 from engram.index import TIES, SessionIndex, hit_rows, index_records
@@ -234,12 +234,15 @@ def metadata_role_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index_records(parse_messages(read_table(spark, sf_dir, "mixed_session").distinct())).select("chunk_id", "metadata_json").distinct()
 
 
-@query()
+_KEYWORDS = ("session", "index", "the", "a chunk", "7")
+
+
+@query("SELECT doc_id, 5 AS dim, " + ", ".join(f"contains(lower(text), '{k}')::INT AS v{i}" for i, k in enumerate(_KEYWORDS)) + " FROM documents WHERE text IS NOT NULL")
 def embed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts embedded in Arrow batches by a deterministic embedder."""
+    """Texts embedded in Arrow batches, with the values of their vectors."""
     docs = read_table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text")
-    done = with_embeddings(docs, HashingEmbedder(64))
-    return done.select("doc_id", F.size("embedding").alias("dim"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x), 3).alias("norm"))
+    done = with_embeddings(docs, KeywordEmbedder(_KEYWORDS))
+    return done.select("doc_id", F.size("embedding").alias("dim"), *[F.get("embedding", F.lit(i)).cast("int").alias(f"v{i}") for i in range(len(_KEYWORDS))])
 
 
 # --- fusion -----------------------------------------------------------------------------------------------------------
