@@ -8,6 +8,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from engram.embed import HashingEmbedder, with_embeddings
+from engram.session import read_table
 
 CORE = [n for n in entry.queries() if n not in (dict(entry.llm_queries.QUERIES) if entry.llm_queries else {})]
 
@@ -63,4 +65,7 @@ def test_entry(spark):
 
 def test_embed_documents(spark, tables):
     rows = entry.queries()["embed_documents"](spark, tables).collect()
-    assert rows and {r.dim for r in rows} == {64} and {r.norm for r in rows} <= {0.0, 1.0}
+    assert rows and {r.dim for r in rows} == {5} and {x for r in rows for x in (r.v0, r.v1, r.v2, r.v3, r.v4)} == {0, 1}
+    texts = read_table(spark, tables, "documents").where("text is not null").select("doc_id", "text")
+    vectors = [r.embedding for r in with_embeddings(texts, HashingEmbedder(64)).collect()]
+    assert vectors and {len(v) for v in vectors} == {64} and {round(sum(x * x for x in v), 3) for v in vectors} <= {0.0, 1.0}
